@@ -76,6 +76,8 @@ def scan(
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs``.
 
+    ``labels`` has the base labels and, of each block, those of the best matching notices.
+
     A null or empty text has no words and no labels (empty strings, score 0). first_word and last_word
     are null without a base place. score: the best containment of a template (1 for a base place). Ids
     should be unique: rows that share one share their labels. A row with a null id gets its n_words only.
@@ -136,6 +138,9 @@ def scan(
         .select("_id", "_block", "_t", "_label", "_phrase", "_share")
         .distinct()
     )
+    # Versions of one notice differ in a word or two: of a block's notices, the best matches name it.
+    best = F.max(F.when(~F.col("_phrase"), F.col("_share"))).over(Window.partitionBy("_id", "_block"))
+    named = matched.withColumn("_best", best).where("not _phrase and _share >= _best").drop("_best")
     by_doc = Window.partitionBy("_id").orderBy("_pos")
     longest = max((len(t.words) for t in phrases), default=1)
     ahead = hits.select("_id", "_pos", "_rank").distinct()
@@ -154,7 +159,7 @@ def scan(
         .join(matched.where("_phrase").select("_id", "_block", "_t", "_label"), ["_id", "_block", "_t"])
     )
     found_rows = places.select("_id", "_label", F.col("_pos"), F.lit(1.0).alias("_share")).unionByName(
-        matched.where("not _phrase").select("_id", "_label", F.lit(None).cast("long").alias("_pos"), "_share")
+        named.select("_id", "_label", F.lit(None).cast("long").alias("_pos"), "_share")
     )
     base = F.col("_pos").isNotNull()
     labels = found_rows.groupBy("_id").agg(
