@@ -63,7 +63,7 @@ def exact_dedup(
     norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col))
     log = written(source.select("_id", digest(norm).alias("_digest")), "lsm-log")
-    index = compacted(memtable_runs(log, memtables, keep), keep)
+    index = written(compacted(memtable_runs(log, memtables, keep), keep), "lsm-index")
     merged = written(log.join(index, "_digest", "left").select("_id", "_digest", "_keep", "_n"), "lsm-merged")
 
     # Byte verification: the texts of hits are grouped by their bytes, copies combined before the shuffle.
