@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import exact_dedup, language_id, license_scan, packing, token_files
+from reefline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, packing, token_files
 from reefline.llm.common import new_path, table
 
 
@@ -21,6 +21,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), width=4, threshold="0.85")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -34,6 +38,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -50,6 +58,15 @@ FROM d WINDOW w AS (PARTITION BY h)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_binary, op5_language_id, op6_license_scan, op8_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_token_binary,
+        op4_jaccard_join,
+        op5_language_id,
+        op6_license_scan,
+        op7_embedding_dedup,
+        op8_exact_dedup,
+    )
 }
 SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
