@@ -48,9 +48,9 @@ def id_filter(ids: DataFrame, col: str, bits: int = FILTER_BITS) -> DataFrame:
     """A Bloom filter (one hash) of a column as rows (bucket, bitmap); its size is bounded by ``bits``."""
     h = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
     return (
-        ids.select(F.floor(h / _BITMAP_BITS).cast("long").alias("_bucket"), (h % _BITMAP_BITS).alias("_pos"))
-        .groupBy("_bucket")
-        .agg(F.bitmap_construct_agg("_pos").alias("_bitmap"))
+        ids.select(F.floor(h / _BITMAP_BITS).cast("long").alias("__bucket"), (h % _BITMAP_BITS).alias("__bit"))
+        .groupBy("__bucket")
+        .agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
     )
 
 
@@ -59,14 +59,19 @@ def maybe_in(df: DataFrame, col: str, bitmaps: DataFrame, bits: int = FILTER_BIT
     most ``bits`` / 8 bytes."""
     h = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
     pos = (h % _BITMAP_BITS).cast("int")
-    byte = "cast(conv(hex(substring(_bitmap, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int)"
+    byte = "cast(conv(hex(substring(__bitmap, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
     return (
-        df.withColumns({"_bucket": F.floor(h / _BITMAP_BITS).cast("long"), "_pos": pos})
-        .join(F.broadcast(bitmaps), "_bucket")
-        .where(F.expr(f"(shiftright({byte}, _pos % 8) & 1) = 1"))
+        df.withColumns({"__bucket": F.floor(h / _BITMAP_BITS).cast("long"), "__bit": pos})
+        .join(F.broadcast(bitmaps), "__bucket")
+        .where(F.expr(f"(shiftright({byte}, __bit % 8) & 1) = 1"))
         .select(*df.columns)
     )
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows for the session: texts of many lengths keep a worker's memory small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

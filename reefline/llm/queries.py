@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, packing, token_files
+from reefline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, pii, token_files
 from reefline.llm.common import new_path, table
 
 
@@ -21,6 +21,11 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return line_dedup.drop_boilerplate(pages, "page_id", line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), width=4, threshold="0.85")
 
@@ -48,6 +53,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="reefline")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -62,11 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op2_token_binary,
+        op3_line_dedup,
         op4_jaccard_join,
         op5_language_id,
         op6_license_scan,
         op7_embedding_dedup,
         op8_exact_dedup,
+        op9_pii_surrogates,
+        op10_mixing,
     )
 }
 SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
