@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reefline.llm.common import small_batches
 from reefline.llm.tokenizing import word_bpe
 
 #: (values, bits) of selectors 1 to 14.
@@ -38,37 +39,28 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid[:n] = ids
     end = np.minimum((np.arange(runs) + 1) * RUN, n)
     last = np.repeat(end, RUN)[:n]
-    # The largest value of the n that begin at each place; values beyond the run are 0 there.
+    # For each place the densest word that fits: the largest of the next 1, 2, 4, ... values, taken only as
+    # far as denser words can fit; values beyond the run are 0 there.
     choice = np.zeros(n, dtype=np.uint8)
-    place = np.arange(n)
-    room = last - place
-    top = ids
-    widest: dict[int, np.ndarray] = {1: top}
-    size = 1
-    while size < 64 and int(ids.min()) < 1 << 30:
-        beyond = np.zeros_like(top)
-        beyond[: n - size] = widest[size][size:] if n > size else beyond[:0]
-        beyond[room <= size] = 0
-        widest[size * 2] = np.maximum(widest[size], beyond)
-        size *= 2
+    room = last - np.arange(n)
+    narrow = ids.astype(np.uint32) if int(ids.max()) < 1 << 32 else ids
+
+    def with_next(largest: np.ndarray, shift: int) -> np.ndarray:
+        beyond = np.zeros_like(largest)
+        if n > shift:
+            beyond[: n - shift] = largest[shift:]
+        beyond[room <= shift] = 0
+        return np.maximum(largest, beyond)
+
+    largest, power = narrow, 1
     for k in range(len(SELECTORS), 0, -1):  # from one value a word to the densest
         count, bits = SELECTORS[k - 1]
-        limit = np.uint64(1) << np.uint64(bits)
-        if count == 1:
-            fits = ids < limit
-        else:
-            power = 1 << (count.bit_length() - 1)
-            if power not in widest:
-                continue
-            fits = widest[power] < limit
-            if not fits.any():
-                break  # denser words hold smaller values still
-            if count > power:
-                shift = count - power
-                beyond = np.zeros(n, dtype=np.uint64)
-                beyond[: n - shift] = widest[power][shift:] if n > shift else beyond[:0]
-                beyond[room <= shift] = 0
-                fits &= beyond < limit
+        while power * 2 <= count:
+            largest, power = with_next(largest, power), power * 2
+        wide = largest if count == power else with_next(largest, count - power)
+        fits = wide < (1 << bits) if bits < 32 or wide.dtype == np.uint64 else np.ones(n, dtype=bool)
+        if not fits.any() and bits < 32:
+            break  # denser words hold smaller values still
         choice[fits] = k
     counts = np.array([1, *(c for c, _ in SELECTORS)], dtype=np.int64)
     at = np.arange(runs) * RUN
@@ -144,6 +136,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     Rows are dealt into ranges of ids (``files`` of them, else one for each shuffle partition), so files
     follow one another. Null ids come first; a null text counts as empty.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
