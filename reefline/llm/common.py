@@ -54,20 +54,30 @@ def id_filter(ids: DataFrame, col: str, bits: int = FILTER_BITS) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, col: str, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose ``col`` may be in the filter: never drops one that is. The broadcast side holds at
-    most ``bits`` / 8 bytes."""
+def _flagged(df: DataFrame, col: str, bitmaps: DataFrame, bits: int) -> DataFrame:
     h = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
-    pos = (h % _BITMAP_BITS).cast("int")
     byte = "cast(conv(hex(substring(__bitmap, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
     return (
-        df.withColumns({"__bucket": F.floor(h / _BITMAP_BITS).cast("long"), "__bit": pos})
-        .join(F.broadcast(bitmaps), "__bucket")
-        .where(F.expr(f"(shiftright({byte}, __bit % 8) & 1) = 1"))
-        .select(*df.columns)
+        df.withColumns({"__bucket": F.floor(h / _BITMAP_BITS).cast("long"), "__bit": (h % _BITMAP_BITS).cast("int")})
+        .join(F.broadcast(bitmaps), "__bucket", "left")
+        .withColumn("__maybe", F.expr(f"coalesce((shiftright({byte}, __bit % 8) & 1) = 1, false)"))
     )
 
 
+def maybe_in(df: DataFrame, col: str, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose ``col`` may be in the filter: never drops one that is. The broadcast side holds at
+    most ``bits`` / 8 bytes."""
+    return _flagged(df, col, bitmaps, bits).where("__maybe").select(*df.columns)
+
+
+def without(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``col`` is in ``ids`` (a written table with that column). Only rows
+    that the id filter can't tell apart from them are shuffled. Rows with a null stay."""
+    flagged = _flagged(df, col, id_filter(ids, col), FILTER_BITS)
+    rest = flagged.where("__maybe").select(*df.columns).join(ids.select(col).distinct(), col, "left_anti")
+    return flagged.where("not __maybe").select(*df.columns).unionByName(rest.select(*df.columns))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows for the session: texts of many lengths keep a worker's memory small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
