@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import id_filter, maybe_in, written
+from reefline.llm.common import id_filter, maybe_in, small_batches, written
 from reefline.llm.graph import components
 from reefline.llm.shingles import chunks, mix, shingle_sets
 
@@ -169,6 +169,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and is its own component. Equal texts link. Rows that repeat an id count as one document each and get
     one component; a row with a null id stays alone, with a null component. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     t = Fraction(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = written(profiles(docs, width, t, token_classes(docs, width)), "profiles")

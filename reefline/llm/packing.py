@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reefline.llm.common import written
+from reefline.llm.common import small_batches, written
 from reefline.llm.tokenizing import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -112,6 +112,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(pieces, PIECES + (", ids binary" if with_ids else ""))
 
