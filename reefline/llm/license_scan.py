@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reefline.llm.common import ascii_lower, written
+from reefline.llm.common import id_filter, maybe_in, written
 
-#: What isn't a word, after A-Z are lower-cased: ASCII but for digits and letters.
-WORD = "([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"
+#: What parts words, after A-Z are lower-cased: ASCII but for digits and letters.
+GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 STRIDE = 32
 
 
@@ -61,8 +61,10 @@ NOTICES = (
 )
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(1))
+def split_words(text: Column) -> Column:
+    """The words, with an empty string before or after them where the text begins or ends with a gap.
+    ``lower`` does for words that are compared with ASCII ones, but for the Kelvin sign, which it makes a k."""
+    return F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("ķ"))), GAP, -1)
 
 
 def scan(
@@ -87,11 +89,16 @@ def scan(
     vocabulary = sorted({w for t in templates for w in t.words})
     if max(len(t.words) for t in templates) > STRIDE:
         raise ValueError(f"templates hold up to {STRIDE} words")
-    source = docs.select(F.col(id_col).alias("_id"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
+    # One pass over the texts: a row for each vocabulary word, and one at least for each text.
+    led = (F.get("_words", F.lit(0)) == "").cast("int")
+    ended = ((F.element_at("_words", -1) == "") & (F.size("_words") > 1)).cast("int")
+    split = docs.select(F.col(id_col).alias("_id"), split_words(F.col(text_col)).alias("_words"))
+    spoken = split.select("_id", (F.size("_words") - led - ended).cast("long").alias("n_words"), led.alias("_led"), F.posexplode_outer("_words").alias("_at", "_w"))
+    spoken = spoken.where(F.col("_w").isin(vocabulary) | (F.col("_at") == 0))
+    read = written(spoken.select("_id", "n_words", (F.col("_at") == 0).alias("_first"), (F.col("_at") - F.col("_led")).cast("long").alias("_pos"), F.when(F.col("_w").isin(vocabulary), F.col("_w")).alias("_w")), "license-words")
 
     # Counts of the vocabulary over the whole corpus: as many rows as it has words.
-    spoken = source.select(F.explode("_words").alias("_w")).where(F.col("_w").isin(vocabulary))
-    counts = {r[0]: r[1] for r in spoken.groupBy("_w").count().collect()}
+    counts = {r[0]: r[1] for r in read.where("_w is not null").groupBy("_w").count().collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     spark = docs.sparkSession
     index, facts = [], []
@@ -105,18 +112,10 @@ def scan(
     rare = {rank for rank, _ in index}
     rare_words = [w for w in vocabulary if order[w] in rare]
 
-    # Texts without any prefix word are done with their number of words.
-    found = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in rare_words]))
-    spotted = F.when(
-        found,
-        F.filter(F.transform("_words", lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("w"))), lambda x: x["w"].isin(vocabulary)),
-    )
-    read = written(source.select("_id", F.size("_words").cast("long").alias("n_words"), spotted.alias("_hits")), "license-words")
+    # Texts without any prefix word are done with.
     ranks = F.create_map(*[F.lit(v) for w in vocabulary for v in (w, order[w])])
-    hits = (
-        read.where("_id is not null").select("_id", "n_words", F.explode("_hits").alias("_h"))
-        .select("_id", "n_words", F.col("_h.pos").alias("_pos"), F.element_at(ranks, F.col("_h.w")).alias("_rank"))
-    )
+    seen = read.where("_id is not null and _w is not null")
+    hits = maybe_in(seen, "_id", id_filter(seen.where(F.col("_w").isin(rare_words)), "_id")).select("_id", "n_words", "_pos", F.element_at(ranks, F.col("_w")).alias("_rank"))
     last = F.floor(F.col("_pos") / STRIDE).cast("long")
     blocks = (
         hits.withColumn("_block", F.explode(F.array_distinct(F.array(last, F.greatest(last - 1, F.lit(0))))))
@@ -170,7 +169,7 @@ def scan(
         F.array_join(F.array_sort(F.collect_set("_label")), ",").alias("labels"),
         F.max("_share").alias("score"),
     )
-    return read.select("_id", "n_words").join(labels, "_id", "left").select(
+    return read.where("_first").select("_id", "n_words").join(labels, "_id", "left").select(
         F.col("_id").alias(id_col),
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
