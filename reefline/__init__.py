@@ -1,0 +1 @@
+"""Conservation-coverage analytics on Spark."""

@@ -1,0 +1,13 @@
+"""Folders for what queries write: below the shared folder the cluster names, a temporary one only without it."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reefline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
