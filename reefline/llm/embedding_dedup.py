@@ -29,6 +29,8 @@ from reefline.llm.graph import components
 #: Rows drawn to choose pivots from, and pivots at most: what the driver and the tasks hold.
 SAMPLE = 2048
 PIVOTS = 256
+#: Visitors that are compared at once.
+STRIP = 256
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -86,26 +88,37 @@ def block_links(threshold: float):
             return none
         h, v = (np.frombuffer(b"".join(x.unit), "<f8").reshape(len(x), -1) for x in (homes, visitors))
         hid, vid = homes.rep.to_numpy(), visitors.rep.to_numpy()
-        hit = (v @ h.T >= threshold) & (vid[:, None] != hid[None, :])
-        if not hit.any():
+        weight = homes.weight.to_numpy()
+        n = np.zeros(len(vid), dtype=np.int64)
+        linked_h = np.zeros(len(hid), dtype=bool)
+        bits = []  # the links, a bit each
+        for k in range(0, len(vid), STRIP):
+            hit = (v[k : k + STRIP] @ h.T >= threshold) & (vid[k : k + STRIP, None] != hid)
+            n[k : k + STRIP] = hit @ weight
+            linked_h |= hit.any(0)
+            bits.append((k, np.packbits(hit, axis=1)) if hit.any() else None)
+        if not linked_h.any():
             return none
-        n = hit @ homes.weight.to_numpy()
-        rows, cols = np.nonzero(hit)
-        low = pd.Series(np.concatenate([vid, hid]), index=np.concatenate([vid, hid])).groupby(level=0).first()
-        a, b = low.index.get_indexer(vid[rows]), low.index.get_indexer(hid[cols])
-        part = low.to_numpy(copy=True)
-        while True:  # the smallest id within reach, by rounds over the links of this block
-            least = np.minimum(part[a], part[b])
-            new = part.copy()
-            np.minimum.at(new, a, least)
-            np.minimum.at(new, b, least)
-            if (new == part).all():
+        # The smallest id within reach over the links of this block: a vector that is home and visitor
+        # here has one place.
+        ids, place = np.unique(np.concatenate([vid[n > 0], hid[linked_h]]), return_inverse=True)
+        at_v, at_h = np.full(len(vid), -1), np.full(len(hid), -1)
+        at_v[n > 0], at_h[linked_h] = place[: int((n > 0).sum())], place[int((n > 0).sum()) :]
+        part = ids.copy()
+        far = np.iinfo(np.int64).max
+        while True:
+            before = part.copy()
+            for k, packed in filter(None, bits):
+                hit = np.unpackbits(packed, axis=1, count=len(hid)).astype(bool)
+                rows = np.flatnonzero(hit.any(1))
+                hit, to_v = hit[rows], at_v[k + rows]
+                least = np.minimum(np.where(hit, np.where(at_h >= 0, part[at_h], far), far).min(1), part[to_v])
+                np.minimum.at(part, to_v, least)
+                np.minimum.at(part, at_h[linked_h], np.where(hit, least[:, None], far).min(0)[linked_h])
+            if (part == before).all():
                 break
-            part = new
-        linked = np.unique(np.concatenate([a, b]))
         own = pd.Series(n, index=vid)
-        ids = low.index.to_numpy()[linked]
-        return pd.DataFrame({"rep": ids, "n": own.reindex(ids).fillna(0).to_numpy(np.int64), "part": part[linked]})
+        return pd.DataFrame({"rep": ids, "n": own.reindex(ids).fillna(0).to_numpy(np.int64), "part": part})
 
     return join
 
@@ -118,7 +131,7 @@ def near_vectors(
     *,
     cosine: float = 0.93,
     cell_rows: int = 20_000,
-    block_rows: int = 512,
+    block_rows: int = 4096,
 ) -> DataFrame:
     """(id, n_links, component_id, kept): vectors of equal labels link if their cosine reaches ``cosine``.
 
