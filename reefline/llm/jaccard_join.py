@@ -9,8 +9,8 @@
    the threshold share one of their first n - ceil(t n) + 1 tokens in any order, so a group without one
    of a class's first tokens can't hold a partner. The order puts rare tokens first (counts of all
    documents in a sketch of fixed size), so passages that many documents share open few groups.
-4. Open groups: their members that share a first token with the class, are not too short or long, can
-   still reach the overlap from there on, and whose parity bitmaps don't differ too much, are compared.
+4. Open groups: their members that share a first token with the class, are not too short, can still
+   reach the overlap from there on, and whose parity bitmaps don't differ too much, are compared.
 5. Links join groups into components.
 
 Compared means: both whole texts are read again and their sets intersected. Pairs within a group are
@@ -193,10 +193,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = written(matrix.where("lo <> hi").select("token"), "shared-tokens")
     opened = written(maybe_in(rows, "token", id_filter(shared, "token")).join(shared, "token"), "open-rows")
     x, y = (opened.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "grp", "n", "pos"))) for s in "ab")
-    size = t.numerator * F.greatest("n_a", "n_b") <= t.denominator * F.least("n_a", "n_b")
-    # The first token that two sets share leaves at most the tokens from there on in either of them.
-    reach = (t.denominator * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))) >= t.numerator * F.greatest("n_a", "n_b")
-    pairs = x.join(y, "token").where((F.col("grp_a") < F.col("grp_b")) & size & reach).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.first("grp_a").alias("grp_a"), F.first("grp_b").alias("grp_b"))
+    # a is the larger set. J >= t asks for an overlap of t / (1 + t) (n_a + n_b); the first token that two
+    # sets share leaves at most the tokens from there on in either of them.
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") > F.col("rep_b")))
+    size = t.numerator * F.col("n_a") <= t.denominator * F.col("n_b")
+    reach = (t.denominator + t.numerator) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= t.numerator * (F.col("n_a") + F.col("n_b"))
+    pairs = x.join(y, "token").where((F.col("grp_a") != F.col("grp_b")) & larger & size & reach).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.first("grp_a").alias("grp_a"), F.first("grp_b").alias("grp_b"))
     pairs = written(pairs, "open-pairs")
     facts_a, facts_b = (reps.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab")
     sifted = written(near(pairs.join(facts_a, "a").join(facts_b, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), t), "near-pairs")
