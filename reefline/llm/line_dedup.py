@@ -21,6 +21,8 @@ UNSEEN = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 #: Tags that begin or end a line.
 BREAKS = "(?i)</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|nav|tr|td|th|table|article|section|header|footer|title|head|body|html|blockquote|pre)\\b[^>]*>|[\\r\\n]+"
 #: Entities that are written out; &amp; comes last.
+#: What is trimmed off a line: spaces, tabs, carriage returns, form feeds, no-break spaces.
+BLANKS = " \t\r\f\u00a0"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 
@@ -35,7 +37,7 @@ def html_lines(html: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    return F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
 def host_of(url: Column) -> Column:
