@@ -67,17 +67,18 @@ def same_entity(kind: Column, mention: Column) -> Column:
 
 def byte(seed: Column, i: Column) -> Column:
     """The i-th pseudorandom number, 0 to 65535, of a seed (the hex digits of a SHA-512)."""
-    return F.conv(F.substring(seed, i % 32 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    return F.conv(F.substring(seed, i % 32 * 4 + 1 + F.floor(i / 32).cast("int") % 3, F.lit(4)), 16, 10).cast("int")
 
 
 def shaped(form: Column, seed: Column, keep: Column | None = None) -> Column:
-    """``form`` with each letter and digit replaced by one of its case and script; ``keep`` leading
-    characters stay."""
+    """``form`` with each letter and digit replaced by one of its case and script (hexadecimal text by
+    hexadecimal digits); ``keep`` leading characters stay."""
+    is_hex = form.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (F.length(form) >= 16)
 
     def one(c: Column, i: Column) -> Column:
         r = byte(seed, i)
         pick = lambda alphabet: F.substring(F.lit(alphabet), r % len(alphabet) + 1, F.lit(1))
-        out = F.when(i < (keep if keep is not None else F.lit(0)), c).when(c.rlike("[0-9]"), (r % 10).cast("string"))
+        out = F.when(is_hex, pick("0123456789abcdef")).when(i < (keep if keep is not None else F.lit(0)), c).when(c.rlike("[0-9]"), (r % 10).cast("string"))
         for script, alphabet in (("\\p{IsCyrillic}", "cyrillic"), ("\\p{IsGreek}", "greek"), ("\\p{L}", "latin")):
             small = pick(ALPHABETS[alphabet])
             out = out.when(c.rlike(f"^(?=\\p{{Lu}}){script}"), F.upper(small)).when(c.rlike(script), small)
@@ -105,6 +106,7 @@ def surrogate(kind: Column, entity: Column, key: str, turn: int) -> Column:
         F.when(kind == "ip", ip).when(kind == "email", email).when(kind.startswith("person"), person)
         .when(kind == "access_key", shaped(entity, seed, F.lit(4)))
         .when(kind == "card", shaped(entity, seed, F.lit(1)))
+        .when((kind == "phone") & F.lit(turn < 8) & entity.rlike("555\\d{4}$"), F.concat(shaped(F.substring(entity, F.lit(1), F.length(entity) - 7), seed, F.greatest(F.length(entity) - 10, F.lit(0))), F.lit("555"), shaped(F.substring(entity, F.lit(-4), F.lit(4)), F.sha2(seed, 512))))
         .when(kind == "phone", shaped(entity, seed, F.greatest(F.length(entity) - 10, F.lit(0))))
         .otherwise(shaped(entity, seed))
     )
@@ -142,12 +144,16 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str) -> DataFrame:
-    """``docs`` with surrogates in the text, and n_entities int: how many places were replaced.
+    """``docs`` with surrogates in the text, and n_entities int: how many places were replaced (named
+    n_entities_ where there is such a column already).
 
     All columns stay, whatever their names; the text of a row without an entity stays as it is, null and
     empty ones too (n_entities 0). Rows may repeat: each is replaced alike. An empty table stays empty.
     """
     expression = pattern()
+    counted = "n_entities"
+    while counted in docs.columns:
+        counted += "_"
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(F.struct(*columns).alias("_doc"))
     text = F.col(f"_doc.`{text_col}`")
@@ -167,6 +173,6 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str) -> DataFr
     in_row = written(places.join(spelled, ["kind", "mention"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "new"))).alias("_new")), "pii-rows")
     replaced = F.array_join(F.zip_with("_gaps", F.transform("_new", lambda x: x["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     kept = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
-    changed = found.join(in_row, "_row").select(*[replaced.alias(c) if c == text_col else k for c, k in zip(docs.columns, kept, strict=True)], F.size("_mentions").alias("n_entities"))
-    same = packed.where(~has).select(*kept, F.lit(0).alias("n_entities"))
+    changed = found.join(in_row, "_row").select(*[replaced.alias(c) if c == text_col else k for c, k in zip(docs.columns, kept, strict=True)], F.size("_mentions").alias(counted))
+    same = packed.where(~has).select(*kept, F.lit(0).alias(counted))
     return same.union(changed)
