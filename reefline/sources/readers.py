@@ -171,7 +171,7 @@ def read_zipped_shapefile(spark: SparkSession, path: str, columns: list[str], *,
                         continue
                     shapes = parse_shp(z.read(n))
                     names, rows = parse_dbf(z.read(n[:-4] + (".dbf" if n[:-4] + ".dbf" in z.namelist() else ".DBF")))
-                    data = pd.DataFrame(rows, columns=names).reindex(columns=columns)
+                    data = pd.DataFrame(rows, columns=names, dtype=object).reindex(columns=columns).astype(object)
                     data["geometry"] = [K.to_wkb(K.make_valid(K.from_wkb(s))) if valid and s else s for s in shapes]
                     yield data
 
