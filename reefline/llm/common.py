@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
+_WORKSPACES: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_WORKSPACES[-1] if _WORKSPACES else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[None]:
+    """A folder for the tables an operator writes on its way, deleted at its end; what is to outlive it is
+    written by ``kept``. Shuffle files go when the driver's collector finds their plans gone, so it runs."""
+    path = new_path(spark, name)
+    _WORKSPACES.append(path)
+    try:
+        yield
+    finally:
+        _WORKSPACES.pop()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -39,6 +61,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, outside the current workspace."""
+    inner = _WORKSPACES.pop()
+    try:
+        return written(df, name)
+    finally:
+        _WORKSPACES.append(inner)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` gives the same on pure ASCII and is much faster there."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
@@ -55,27 +86,26 @@ def id_filter(ids: DataFrame, col: str, bits: int = FILTER_BITS) -> DataFrame:
 
 
 def _flagged(df: DataFrame, col: str, bitmaps: DataFrame, bits: int) -> DataFrame:
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
+    """(__row, __maybe): the rows as structs, so that no column's name can clash with these."""
+    h = F.pmod(F.xxhash64(F.col(f"`{col}`")), F.lit(bits))
     byte = "cast(conv(hex(substring(__bitmap, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    return (
-        df.withColumns({"__bucket": F.floor(h / _BITMAP_BITS).cast("long"), "__bit": (h % _BITMAP_BITS).cast("int")})
-        .join(F.broadcast(bitmaps), "__bucket", "left")
-        .withColumn("__maybe", F.expr(f"coalesce((shiftright({byte}, __bit % 8) & 1) = 1, false)"))
-    )
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.floor(h / _BITMAP_BITS).cast("long").alias("__bucket"), (h % _BITMAP_BITS).cast("int").alias("__bit"))
+    return rows.join(F.broadcast(bitmaps), "__bucket", "left").select("__row", F.expr(f"coalesce((shiftright({byte}, __bit % 8) & 1) = 1, false)").alias("__maybe"))
 
 
 def maybe_in(df: DataFrame, col: str, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows whose ``col`` may be in the filter: never drops one that is. The broadcast side holds at
     most ``bits`` / 8 bytes."""
-    return _flagged(df, col, bitmaps, bits).where("__maybe").select(*df.columns)
+    return _flagged(df, col, bitmaps, bits).where("__maybe").select("__row.*")
 
 
 def without(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """``df`` without the rows whose ``col`` is in ``ids`` (a written table with that column). Only rows
     that the id filter can't tell apart from them are shuffled. Rows with a null stay."""
     flagged = _flagged(df, col, id_filter(ids, col), FILTER_BITS)
-    rest = flagged.where("__maybe").select(*df.columns).join(ids.select(col).distinct(), col, "left_anti")
-    return flagged.where("not __maybe").select(*df.columns).unionByName(rest.select(*df.columns))
+    known = ids.select(F.col(col).alias("__id")).distinct()
+    rest = flagged.where("__maybe").join(known, F.col(f"__row.`{col}`") == F.col("__id"), "left_anti")
+    return flagged.where("not __maybe").select("__row.*").union(rest.select("__row.*"))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

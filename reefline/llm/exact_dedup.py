@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import ascii_lower, id_filter, maybe_in, written
+from reefline.llm.common import ascii_lower, id_filter, kept, maybe_in, workspace, written
 
 
 def sha256(text: Column) -> Column:
@@ -62,26 +62,28 @@ def exact_dedup(
     pick = F.max if keep == "largest" else F.min
     norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col))
-    log = written(source.select("_id", digest(norm).alias("_digest")), "lsm-log")
-    index = written(compacted(memtable_runs(log, memtables, keep), keep), "lsm-index")
-    merged = written(log.join(index, "_digest", "left").select("_id", "_digest", "_keep", "_n"), "lsm-merged")
-
-    # Byte verification: the texts of hits are grouped by their bytes, copies combined before the shuffle.
-    hits = merged.where("_n > 1").select("_id")
-    texts = maybe_in(source, "_id", id_filter(hits, "_id")).select("_id", norm.alias("_norm"))
-    verified = texts.groupBy(digest(F.col("_norm")).alias("_digest"), "_norm").agg(pick("_id").alias("_vkeep"), F.count("*").alias("_vn"))
-    clashes = written(verified.groupBy("_digest").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_digest"), "lsm-clashes")
-    out = merged.select("_id", "_digest", "_keep", "_n")
-    if not clashes.isEmpty():
-        # Digests that several texts share: those rows are grouped by their texts instead.
-        alone = merged.join(clashes, "_digest", "left_anti").select("_id", "_digest", "_keep", "_n")
-        rows = source.select("_id", norm.alias("_norm")).withColumn("_digest", digest(F.col("_norm"))).join(clashes, "_digest", "left_semi")
-        groups = rows.groupBy("_norm").agg(pick("_id").alias("_keep"), F.count("*").alias("_n"))
-        out = alone.unionByName(rows.join(groups, "_norm").select("_id", "_digest", "_keep", "_n"))
-    return out.select(
-        F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        F.col("_n").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_digest").alias("digest"),
-    )
+    with workspace(df.sparkSession, "lsm"):
+        log = written(source.select("_id", digest(norm).alias("_digest")), "lsm-log")
+        index = written(compacted(memtable_runs(log, memtables, keep), keep), "lsm-index")
+        merged = written(log.join(index, "_digest", "left").select("_id", "_digest", "_keep", "_n"), "lsm-merged")
+
+        # Byte verification: the texts of hits are grouped by their bytes, copies combined before the shuffle.
+        hits = merged.where("_n > 1").select("_id")
+        texts = maybe_in(source, "_id", id_filter(hits, "_id")).select("_id", norm.alias("_norm"))
+        verified = texts.groupBy(digest(F.col("_norm")).alias("_digest"), "_norm").agg(pick("_id").alias("_vkeep"), F.count("*").alias("_vn"))
+        clashes = written(verified.groupBy("_digest").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_digest"), "lsm-clashes")
+        out = merged.select("_id", "_digest", "_keep", "_n")
+        if not clashes.isEmpty():
+            # Digests that several texts share: those rows are grouped by their texts instead.
+            alone = merged.join(clashes, "_digest", "left_anti").select("_id", "_digest", "_keep", "_n")
+            rows = source.select("_id", norm.alias("_norm")).withColumn("_digest", digest(F.col("_norm"))).join(clashes, "_digest", "left_semi")
+            groups = rows.groupBy("_norm").agg(pick("_id").alias("_keep"), F.count("*").alias("_n"))
+            out = alone.unionByName(rows.join(groups, "_norm").select("_id", "_digest", "_keep", "_n"))
+        out = out.select(
+            F.col("_id").alias(id_col),
+            F.col("_keep").alias("keep_id"),
+            F.col("_n").alias("group_size"),
+            F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
+            F.col("_digest").alias("digest"),
+        )
+        return kept(out, "lsm-result")

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import id_filter, maybe_in, small_batches, written
+from reefline.llm.common import id_filter, kept, maybe_in, small_batches, workspace, written
 from reefline.llm.graph import components
 from reefline.llm.shingles import chunks, mix, shingle_sets
 
 BANDS = 4
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 _PART_BITS = 14
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -48,17 +48,18 @@ def least_overlap(n: int | Column, t: Fraction) -> int | Column:
 
 
 def token_classes(docs: DataFrame, width: int) -> np.ndarray:
-    """How frequent the tokens of each of 2^SKETCH_BITS buckets are: 0 up to twice the mean, then one
-    more for each doubling. Tasks send their counts compressed; sums are taken part by part."""
+    """How frequent the tokens of each of 2^k buckets are: 0 up to three deviations above what chance
+    gives a bucket, then one more for each doubling. There are 16 to 32 buckets for each document, up to
+    2^22. Tasks send their counts compressed; sums are taken part by part."""
+    bits = min(max(int(16 * docs.count()).bit_length(), 16), SKETCH_BITS)
     part = 1 << _PART_BITS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        seen = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
-            for texts in chunks(x.as_py() or "" for x in batch.column(0)):
-                tokens = [s for s in shingle_sets(texts, width)]
-                buckets = np.concatenate(tokens) >> np.uint64(64 - SKETCH_BITS)
-                seen += np.bincount(buckets.astype(np.int64), minlength=len(seen)).astype(np.uint32)
+            for texts in chunks((x.as_py() or "" for x in batch.column(0)), 1 << 21):
+                buckets = np.concatenate([s for t in chunks(texts) for s in shingle_sets(t, width)]) >> np.uint64(64 - bits)
+                np.add.at(seen, buckets.astype(np.int64), np.uint32(1))
         blobs = [zlib.compress(seen[k : k + part].tobytes(), 1) for k in range(0, len(seen), part)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
@@ -66,16 +67,18 @@ def token_classes(docs: DataFrame, width: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
-                sums[k] = sums[k] + counts if k in sums else counts.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
+                counts = np.frombuffer(zlib.decompress(blob), dtype=np.uint32).astype(np.uint64)
+                sums[k] = sums[k] + counts if k in sums else counts
+        data = [np.minimum(s, (1 << 32) - 1).astype(np.uint32).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["part", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "part int, counts binary").repartition(1 << (SKETCH_BITS - _PART_BITS), "part")
-    sums = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
+    parts = docs.select("text").mapInArrow(count, "part int, counts binary").repartition(1 << max(bits - _PART_BITS - 2, 0), "part")
+    sums = np.zeros(1 << bits, dtype=np.float64)
     for r in parts.mapInArrow(add, "part int, counts binary").toLocalIterator():
-        sums[r.part * part : (r.part + 1) * part] = np.frombuffer(r.counts, dtype=np.uint64)
-    scale = np.uint64(max(1, 2 * int(sums.sum()) >> SKETCH_BITS))
-    return np.ceil(np.log2(sums // scale + 1)).astype(np.uint8)
+        sums[r.part * part : (r.part + 1) * part] = np.frombuffer(r.counts, dtype=np.uint32)
+    mean = max(float(np.median(sums)), 1.0)
+    over = (sums - mean) / (3 * mean**0.5)
+    return np.where(over > 1, 1 + np.floor(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -99,6 +102,7 @@ PROFILE = "doc_id long, n_shingles long, class binary, bands array<long>, bitmap
 
 def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
     """For each document its set's size, class, min-hash bands, bitmap and first tokens."""
+    shift = np.uint64(65 - len(frequent).bit_length())
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +116,7 @@ def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) ->
                     key = np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64), (s * _SEEDS[0]).sum(dtype=np.uint64) ^ np.uint64(n)], dtype="<u8").tobytes()
                     least = np.array([(s * seed).min() for seed in _SEEDS])
                     bands = mix(least[::2] * _SEEDS[0] + least[1::2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                    order = np.argsort(frequent[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                    order = np.argsort(frequent[(s >> shift).astype(np.int64)], kind="stable")
                     prefix = s[order[: n - least_overlap(n, t) + 1]].view(np.int64)
                     rows.append((n, key, bands, bitmap(s), prefix))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -172,43 +176,43 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     t = Fraction(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = written(profiles(docs, width, t, token_classes(docs, width)), "profiles")
-    linked = profile.where("class is not null and doc_id is not null")
-    classes = written(linked.groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    # The rows that stand for their classes, at once with the row id's own columns.
-    reps = written(linked.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"]).dropDuplicates(["doc_id"]).drop("class").withColumnRenamed("doc_id", "rep"), "reps")
-
-    # Groups of similar classes.
-    banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    pivots = written(banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
-    fits = (t.numerator * F.greatest("n", "pivot_n") <= t.denominator * F.least("n", "pivot_n")) & (F.col("rep") != F.col("pivot"))
-    first = banded.join(pivots, "band").where(fits).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(verified(written(first, "pairs"), docs, width, t), "links")
-    groups = components(links).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-
-    # The matrix of tokens and groups; only tokens in two groups or more can open one.
-    grouped = written(reps.select("rep", "n_shingles", "prefix").join(groups, "rep", "left").select("rep", F.coalesce("grp", "rep").alias("grp"), F.col("n_shingles").alias("n"), "prefix"), "grouped")
-    rows = grouped.select("rep", "grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    matrix = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-    shared = written(matrix.where("lo <> hi").select("token"), "shared-tokens")
-    opened = written(maybe_in(rows, "token", id_filter(shared, "token")).join(shared, "token"), "open-rows")
-    x, y = (opened.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "grp", "n", "pos"))) for s in "ab")
-    # a is the larger set. J >= t asks for an overlap of t / (1 + t) (n_a + n_b); the first token that two
-    # sets share leaves at most the tokens from there on in either of them.
-    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") > F.col("rep_b")))
-    size = t.numerator * F.col("n_a") <= t.denominator * F.col("n_b")
-    reach = (t.denominator + t.numerator) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= t.numerator * (F.col("n_a") + F.col("n_b"))
-    pairs = x.join(y, "token").where((F.col("grp_a") != F.col("grp_b")) & larger & size & reach).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.first("grp_a").alias("grp_a"), F.first("grp_b").alias("grp_b"))
-    pairs = written(pairs, "open-pairs")
-    facts_a, facts_b = (reps.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab")
-    sifted = written(near(pairs.join(facts_a, "a").join(facts_b, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), t), "near-pairs")
-    more = verified(sifted, docs, width, t).join(pairs, ["a", "b"]).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
-    merged = components(more).select(F.col("node").alias("grp"), F.col("component").alias("top"))
-
-    found = written(
-        classes.join(grouped.select("rep", "grp").join(merged, "grp", "left").select("rep", F.coalesce("top", "grp").alias("component_id")), "rep").select("class", "component_id"),
-        "class-components",
-    )
-    return profile.select("doc_id", "n_shingles", "class").join(found, "class", "left").select(
-        F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    with workspace(docs.sparkSession, "jaccard"):
+        profile = written(profiles(docs, width, t, token_classes(docs, width)), "profiles")
+        linked = profile.where("class is not null and doc_id is not null")
+        classes = written(linked.groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
+        # The rows that stand for their classes, at once with the row id's own columns.
+        reps = written(linked.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"]).dropDuplicates(["doc_id"]).drop("class").withColumnRenamed("doc_id", "rep"), "reps")
+
+        # Groups of similar classes.
+        banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+        pivots = written(banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+        fits = (t.numerator * F.greatest("n", "pivot_n") <= t.denominator * F.least("n", "pivot_n")) & (F.col("rep") != F.col("pivot"))
+        first = banded.join(pivots, "band").where(fits).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        links = written(verified(written(first, "pairs"), docs, width, t), "links")
+        groups = components(links).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+
+        # The matrix of tokens and groups; only tokens in two groups or more can open one.
+        grouped = written(reps.select("rep", "n_shingles", "prefix").join(groups, "rep", "left").select("rep", F.coalesce("grp", "rep").alias("grp"), F.col("n_shingles").alias("n"), "prefix"), "grouped")
+        rows = grouped.select("rep", "grp", "n", F.posexplode("prefix").alias("pos", "token"))
+        matrix = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+        shared = written(matrix.where("lo <> hi").select("token"), "shared-tokens")
+        opened = written(maybe_in(rows, "token", id_filter(shared, "token")).join(shared, "token"), "open-rows")
+        x, y = (opened.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "grp", "n", "pos"))) for s in "ab")
+        # a is the larger set. J >= t asks for an overlap of t / (1 + t) (n_a + n_b); the first token that two
+        # sets share leaves at most the tokens from there on in either of them.
+        larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") > F.col("rep_b")))
+        size = t.numerator * F.col("n_a") <= t.denominator * F.col("n_b")
+        reach = (t.denominator + t.numerator) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= t.numerator * (F.col("n_a") + F.col("n_b"))
+        pairs = x.join(y, "token").where((F.col("grp_a") != F.col("grp_b")) & larger & size & reach).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.first("grp_a").alias("grp_a"), F.first("grp_b").alias("grp_b"))
+        pairs = written(pairs, "open-pairs")
+        facts_a, facts_b = (reps.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab")
+        sifted = written(near(pairs.join(facts_a, "a").join(facts_b, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), t), "near-pairs")
+        more = verified(sifted, docs, width, t).join(pairs, ["a", "b"]).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
+        merged = components(more).select(F.col("node").alias("grp"), F.col("component").alias("top"))
+
+        found = written(
+            classes.join(grouped.select("rep", "grp").join(merged, "grp", "left").select("rep", F.coalesce("top", "grp").alias("component_id")), "rep").select("class", "component_id"),
+            "class-components",
+        )
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        return kept(profile.select("doc_id", "n_shingles", "class").join(found, "class", "left").select(F.col("doc_id").alias(id_col), "n_shingles", component), "jaccard-result")
