@@ -86,4 +86,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_mixing,
     )
 }
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+_BLANKS = "' ' || chr(9) || chr(13) || chr(12) || chr(160)"
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.UNSEEN}', '', 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char in line_dedup.ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_entity}', {"chr(39)" if _char == "'" else repr(_char)})"
+OP3_SQL = f"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         [trim(x, {_BLANKS}) FOR x IN string_split({_TEXT}, chr(10)) IF trim(x, {_BLANKS}) <> ''] AS lines FROM pages),
+site AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+bad AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN site USING (host)
+        GROUP BY host, line, pages HAVING count(*) >= 3 AND count(*) > 0.1 * pages),
+l AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM p),
+k AS (SELECT l.page_id, count(*) AS n, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM l LEFT JOIN bad USING (host, line) WHERE bad.line IS NULL GROUP BY 1)
+SELECT p.page_id, p.host, CAST(len(lines) AS INTEGER) AS n_lines, CAST(coalesce(n, 0) AS INTEGER) AS n_kept, coalesce(k.text, '') AS text FROM p LEFT JOIN k USING (page_id)
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, reach) AS (SELECT a, a FROM e2 UNION SELECT r.node, e2.b FROM r JOIN e2 ON r.reach = e2.a),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, label IS NOT NULL AND coalesce(len(embedding), 0) > 0 AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0
+         AND len([y FOR y IN embedding IF y <> 0]) > 0 AS ok FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
