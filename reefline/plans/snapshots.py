@@ -86,7 +86,6 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", identifier(F.lit("marine"), F.col("o_orderkey"), F.lit(None).cast("string"), part).alias("identifier"))
 
 
-_CUT = "1995-01-01 00:00:00"
 
 
 @query("""
