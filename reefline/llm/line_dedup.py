@@ -56,7 +56,7 @@ def drop_boilerplate(pages: DataFrame, page_col: str, host: Column, lines: Colum
     read = written(pages.select(F.col(page_col).alias("_page"), host.alias("_host"), lines.alias("_lines")).withColumn("_row", F.monotonically_increasing_id()), "page-lines")
     key = F.unhex(F.md5(F.concat_ws("\n", "_host", "_line")))
     spoken = read.select("_host", F.explode(F.array_distinct("_lines")).alias("_line")).select("_host", key.alias("_key"))
-    sites = read.groupBy("_host").agg(F.count("*").alias("_pages"))
+    sites = written(read.groupBy("_host").agg(F.count("*").alias("_pages")), "sites")
     counts = written(spoken.groupBy("_host", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages), "line-counts")
     boilerplate = written(counts.join(sites, "_host").where(F.col("_n") > F.lit(ratio) * F.col("_pages")).select("_key"), "boilerplate")
     places = maybe_in(read.select("_row", F.posexplode("_lines").alias("_at", "_line"), "_host").select("_row", "_at", key.alias("_key")), "_key", id_filter(boilerplate, "_key"))
