@@ -2,8 +2,8 @@
 
 1. A text becomes a set of shingle hashes. Documents with equal sets are one class; its smallest id
    stands for it.
-2. Similar classes form groups: classes that share a pair of min-hashes are compared with the smallest
-   class among them, and those that do link are joined.
+2. Similar classes form groups: classes that share a pair of min-hashes are compared with the most
+   connected class among them, and those that do link are joined.
 3. The matrix holds a row for each token of a group's union and the group. Only the first tokens of each
    set in one corpus-wide order are needed to bound overlaps: two sets whose Jaccard similarity reaches
    the threshold share one of their first n - ceil(t n) + 1 tokens in any order, so a group without one
@@ -27,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm.common import id_filter, kept, maybe_in, small_batches, workspace, written
@@ -40,11 +40,9 @@ _PART_BITS = 14
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def least_overlap(n: int | Column, t: Fraction) -> int | Column:
+def least_overlap(n: int, t: Fraction) -> int:
     """ceil(t n): what two sets must share at least if the larger one has n tokens."""
-    if isinstance(n, int):
-        return -(-t.numerator * n // t.denominator)
-    return F.expr(f"({t.numerator} * {n._jc.toString()} + {t.denominator - 1}) div {t.denominator}")
+    return -(-t.numerator * n // t.denominator)
 
 
 def token_classes(docs: DataFrame, width: int) -> np.ndarray:
@@ -97,7 +95,7 @@ def differ_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-PROFILE = "doc_id long, n_shingles long, class binary, bands array<long>, bitmap binary, prefix array<long>"
+PROFILE = "doc_id long, n_shingles long, n_rare long, class binary, bands array<long>, bitmap binary, prefix array<long>"
 
 
 def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
@@ -111,17 +109,18 @@ def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) ->
                 for s in shingle_sets(texts, width):
                     n = len(s)
                     if not n:
-                        rows.append((0, None, None, None, None))
+                        rows.append((0, 0, None, None, None, None))
                         continue
                     key = np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64), (s * _SEEDS[0]).sum(dtype=np.uint64) ^ np.uint64(n)], dtype="<u8").tobytes()
                     least = np.array([(s * seed).min() for seed in _SEEDS])
                     bands = mix(least[::2] * _SEEDS[0] + least[1::2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                    order = np.argsort(frequent[(s >> shift).astype(np.int64)], kind="stable")
+                    common = frequent[(s >> shift).astype(np.int64)]
+                    order = np.argsort(common, kind="stable")
                     prefix = s[order[: n - least_overlap(n, t) + 1]].view(np.int64)
-                    rows.append((n, key, bands, bitmap(s), prefix))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_shingles", "class", "bands", "bitmap", "prefix"])
+                    rows.append((n, int((common == 0).sum()), key, bands, bitmap(s), prefix))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_shingles", "n_rare", "class", "bands", "bitmap", "prefix"])
 
     return docs.mapInArrow(profile, PROFILE)
 
@@ -184,8 +183,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         reps = written(linked.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"]).dropDuplicates(["doc_id"]).drop("class").withColumnRenamed("doc_id", "rep"), "reps")
 
         # Groups of similar classes.
-        banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-        pivots = written(banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+        # A band's pivot is the class that shares most bands with others, of those the one with the fewest
+        # rare tokens: the text that copies were made from, if it is there, shares all and has none.
+        banded = written(reps.select("rep", F.col("n_shingles").alias("n"), "n_rare", F.explode("bands").alias("band")), "bands")
+        crowds = written(banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "crowds")
+        shared_bands = written(banded.join(crowds, "band"), "shared-bands")
+        scores = written(shared_bands.groupBy("rep").agg(F.sum("c").alias("score")), "scores")
+        rank = F.struct(F.col("score"), (-F.col("n_rare")).alias("common"), (-F.col("rep")).alias("first"), F.col("n"))
+        pivots = written(shared_bands.join(scores, "rep").groupBy("band").agg(F.max(rank).alias("p")).select("band", (-F.col("p.first")).alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+        banded = shared_bands.select("rep", "n", "band")
         fits = (t.numerator * F.greatest("n", "pivot_n") <= t.denominator * F.least("n", "pivot_n")) & (F.col("rep") != F.col("pivot"))
         first = banded.join(pivots, "band").where(fits).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
         links = written(verified(written(first, "pairs"), docs, width, t), "links")
