@@ -35,7 +35,7 @@ _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS], dtype=np.uint8)
 BITS = 16
 SEGMENT = 64
 #: Characters that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @cache

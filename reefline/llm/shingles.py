@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Characters that are worked on at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,7 +42,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs other than of ASCII white space, A-Z as a-z) and words of each text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    n = 1 << max(20, int(len(data) - 1).bit_length())
+    n = 1 << max(19, int(len(data) - 1).bit_length())
     power, inverse = powers(n)
     space = _SPACE[data]
     inside = ~space
