@@ -2,6 +2,9 @@
 
 Token counts are summed by cell (source, language, topic), the cells' weights are raked until every
 margin has its target share, and documents are sampled by the calibrated probability of their cell.
+Probabilities are raked too, with 1 as their bound: what a full cell can't give, the others of its
+category give. Where a category has fewer tokens than its target asks for, all of them stay and the
+margin's other categories share the rest in proportion to their targets.
 
 Raking needs the cells only. Up to ``max_cells`` of them the driver rakes (their number is counted
 first); beyond that each step is a DataFrame aggregation and the cells stay distributed.
@@ -18,6 +21,9 @@ from reefline.llm.common import written
 MAX_CELLS = 200_000
 ROUNDS = 60
 TOLERANCE = 1e-10
+#: For probabilities: margins that exclude each other (each possible alone) end with the rounds.
+BOUND_ROUNDS = 200
+BOUND_TOLERANCE = 1e-8
 
 
 def word_count(text: Column) -> Column:
@@ -75,6 +81,72 @@ def scale_for(tokens: np.ndarray, ratio: np.ndarray, share: float) -> float:
     return float(1 / r[r > 0].min()) if (r > 0).any() else 1.0
 
 
+def bounded(tokens: np.ndarray, ratio: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], share: float) -> np.ndarray:
+    """Probabilities with a kept share of ``share`` and every margin at its targets as far as its tokens go.
+
+    ratio: the raked weight by token. A step fixes full cells at 1 and scales the category's others to what
+    its target leaves for them.
+    """
+    p = ratio * scale_for(tokens, ratio, share)
+    wants = []
+    for member, target in zip(members, targets, strict=True):
+        have = np.bincount(member, weights=tokens * (ratio > 0), minlength=len(target))
+        rate = np.divide(target, have, out=np.zeros_like(have), where=have > 0)
+        wants.append(have * np.minimum(1.0, rate * scale_for(have, rate, share * tokens.sum() / have.sum())))
+    for _ in range(BOUND_ROUNDS):
+        worst = 0.0
+        for member, want in zip(members, wants, strict=True):
+            full = p >= 1
+            fixed = np.bincount(member, weights=tokens * full, minlength=len(want))
+            rest = np.bincount(member, weights=np.where(full, 0.0, tokens * p), minlength=len(want))
+            worst = max(worst, float((np.abs(fixed + rest - want) / np.where(want > 0, want, 1.0)).max()))
+            up = np.divide(want - fixed, rest, out=np.ones_like(want), where=rest > 0)
+            down = np.divide(want, fixed + rest, out=np.ones_like(want), where=fixed + rest > 0)
+            p = p * np.where(want > fixed, up, down)[member]
+        if worst < BOUND_TOLERANCE:
+            break
+    return np.minimum(1.0, p * scale_for(tokens, p, share))
+
+
+def scale_of(df: DataFrame, reach: float) -> float:
+    """s with sum(tokens min(1, s weight)) = reach, or all tokens with a weight where there are fewer."""
+    kept = lambda s: df.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s))).first()[0] or 0.0
+    top = (df.agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens")))).first()[0] or 0) * (1 - 1e-12)
+    low, high = 0.0, 1.0
+    while kept(high) < min(reach, top) and high < 1e12:
+        high *= 2
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (mid, high) if kept(mid) < reach else (low, mid)
+    return high
+
+
+def bounded_table(work: DataFrame, goals: dict[str, DataFrame], reach: float) -> DataFrame:
+    """``bounded`` for a written table of cells (tokens, weight): with ``probability``."""
+    work = written(work.withColumn("p", F.col("weight") * scale_of(work, reach)), "mix-cells")
+    wants = {}
+    for m, goal in goals.items():
+        have = work.groupBy(m).agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens")).otherwise(0)).cast("double").alias("tokens"))
+        have = written(have.join(goal, m).withColumn("weight", F.when(F.col("tokens") > 0, F.col("want") / F.col("tokens")).otherwise(0.0)), "mix-targets")
+        rate = F.least(F.lit(1.0), F.col("weight") * scale_of(have, reach))
+        wants[m] = written(have.select(m, (F.col("tokens") * rate).alias("want")), "mix-targets")
+    full = F.col("p") >= 1
+    for _ in range(BOUND_ROUNDS):
+        worst = 0.0
+        for m, want in wants.items():
+            sums = work.groupBy(m).agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double").alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("p"))).alias("rest"))
+            up = F.when(F.col("rest") > 0, (F.col("want") - F.col("fixed")) / F.col("rest")).otherwise(1.0)
+            down = F.when(F.col("fixed") + F.col("rest") > 0, F.col("want") / (F.col("fixed") + F.col("rest"))).otherwise(1.0)
+            off = F.abs(F.col("fixed") + F.col("rest") - F.col("want")) / F.when(F.col("want") > 0, F.col("want")).otherwise(1.0)
+            factor = written(sums.join(want, m).select(m, F.when(F.col("want") > F.col("fixed"), up).otherwise(down).alias("factor"), off.alias("off")), "mix-factors")
+            worst = max(worst, factor.agg(F.max("off")).first()[0] or 0.0)
+            work = written(work.join(factor.select(m, "factor"), m).withColumn("p", F.col("p") * F.col("factor")).drop("factor"), "mix-cells")
+        if worst < BOUND_TOLERANCE:
+            break
+    scale = scale_of(work.select("tokens", F.col("p").alias("weight")), reach)
+    return work.withColumn("probability", F.least(F.lit(1.0), F.col("p") * scale))
+
+
 def cell_probabilities(cells: DataFrame, margins: dict[str, dict[str, float] | float], share: float, max_cells: int) -> DataFrame:
     """``cells`` (a written table with a column for each margin and ``tokens``) with weight and probability."""
     names = list(margins)
@@ -94,7 +166,7 @@ def cell_probabilities(cells: DataFrame, margins: dict[str, dict[str, float] | f
             targets.append(wanted / wanted.sum() if wanted.sum() else wanted)
         raked = rake(tokens, members, targets)
         ratio = np.divide(raked, tokens, out=np.zeros_like(raked), where=tokens > 0)
-        chance = np.minimum(1.0, ratio * scale_for(tokens, ratio, share)) if raked.sum() else ratio
+        chance = bounded(tokens, ratio, members, targets, share) if raked.sum() else ratio
         data = [(*(r[m] for m in names), float(w), float(p)) for r, w, p in zip(rows, ratio, chance, strict=True)]
         return spark.createDataFrame(data, ", ".join(f"`{m}` string" for m in names) + ", weight double, probability double")
     work = cells.withColumn("w", F.col("tokens").cast("double"))
@@ -120,16 +192,7 @@ def cell_probabilities(cells: DataFrame, margins: dict[str, dict[str, float] | f
         if worst < TOLERANCE:
             break
     work = written(work.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)), "mix-cells")
-    low, high = 0.0, 1.0
-    kept = lambda s: work.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s))).first()[0] or 0.0
-    reach = share * total
-    top = (work.agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens")))).first()[0] or 0) * (1 - 1e-12)
-    while kept(high) < min(reach, top) and high < 1e12:
-        high *= 2
-    for _ in range(50):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kept(mid) < reach else (low, mid)
-    return work.select(*names, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
+    return bounded_table(work, goals, share * total).select(*names, "weight", "probability")
 
 
 def uniform(id_text: Column, seed: int) -> Column:
@@ -152,8 +215,9 @@ def mix(
 
     ``margins``: the categories (by default source, lang, and a topic from the text); ``targets``: for
     each margin its shares by category, or a temperature that its own shares are raised to. ``share``: the
-    share of all tokens to keep. weight: raked over actual tokens of the row's cell. probability: weight
-    times one factor, 1 at most; kept: whether the id's hash falls below it.
+    share of all tokens to keep. weight: raked over actual tokens of the row's cell. probability: the
+    weights raked again under the bound 1, so that what is kept meets the targets as far as the tokens go;
+    kept: whether the id's hash falls below it.
 
     A null category is the category "". Categories without tokens, or without a target where targets are
     given, get weight 0. A text without words has no tokens; its row goes with its cell. Rows that repeat an

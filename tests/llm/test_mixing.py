@@ -47,3 +47,32 @@ def test_odd_rows(spark, docs, texts, empty):
     assert {r.doc_id: r.n_tokens for r in rows} == {i: len((t or "").split()) for i, t in enumerate(texts)}
     assert M.mix(empty).count() == 0
     assert M.mix(docs_of(spark, [None, "", " "])).where("kept").count() == 0
+
+
+def test_sample_meets_margins_under_the_bound():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(1, 2000, 60).astype(float)
+    members = [np.arange(60) % 3, np.arange(60) // 15]
+    planted = np.array([0.3, 1.0, 2.0])[members[0]] * np.array([0.3, 0.6, 1.2, 2.0])[members[1]]
+    chance = np.minimum(1.0, planted)
+    share = float((tokens * chance).sum() / tokens.sum())
+    targets = [np.bincount(m, weights=tokens * chance) / (tokens * chance).sum() for m in members]
+    ratio = M.rake(tokens, members, targets) / tokens
+    p = M.bounded(tokens, ratio, members, targets, share)
+    assert (planted > 1).any() and np.allclose(p, chance, atol=1e-6)
+    once = np.minimum(1, ratio * M.scale_for(tokens, ratio, share))
+    sums = lambda q: np.concatenate([np.bincount(m, weights=tokens * q) / (tokens * q).sum() for m in members])
+    assert np.allclose(sums(p), np.concatenate(targets), atol=1e-6)
+    assert not np.allclose(sums(once), np.concatenate(targets), atol=1e-3)
+
+
+@pytest.mark.parametrize("max_cells", [1000, 0])
+def test_what_a_category_lacks_the_others_give(spark, max_cells):
+    # 100 tokens; src0 has 10 of the 28 it should give: all stay, the others give 30 each, languages half each
+    rows = [(i, "word", "en" if i < 5 or 10 <= i < 75 else "de", "src0" if i < 10 else f"src{1 + i % 2}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"src0": 0.4, "src1": 0.3, "src2": 0.3}, "lang": {"en": 0.6, "de": 0.4}}
+    got = M.mix(df, margins={m: F.col(m) for m in targets}, targets=targets, share=0.7, max_cells=max_cells).collect()
+    sums = {v: sum(r.probability for r in got if v in (r.source, r.lang)) for v in ("src0", "src1", "src2", "en", "de")}
+    want = {"src0": 10, "src1": 30, "src2": 30, "en": 42, "de": 28}
+    assert all(abs(sums[k] - want[k]) < 1e-4 for k in want), sums
