@@ -60,9 +60,10 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     text if it has fewer words, none if it has no word."""
     words, counts = word_hashes(texts)
     n = len(words)
-    joined = np.zeros(max(n - width + 1, 0), dtype=np.uint64)
+    whole = max(n - width + 1, 0)
+    joined = np.zeros(whole, dtype=np.uint64)
     for j in range(width):
-        joined += words[j : n - width + 1 + j] * _PLACE[j]
+        joined += words[j : whole + j] * _PLACE[j]
     joined = mix(joined)
     at = 0
     for c in counts.tolist():

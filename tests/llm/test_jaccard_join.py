@@ -79,3 +79,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {300: 300, 301: 300}
     assert components(edges.where("a < 0")).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 4, 5, 8])
+def test_chunks_of_few_words(width):
+    words = "a b c d e f g h i".split()
+    for n in range(width + 2):
+        (one,) = shingle_sets([" ".join(words[:n])], width)
+        assert len(one) == (max(n - width + 1, 1) if n else 0)
+        if n > 1:  # the same total in two texts
+            assert [len(s) for s in shingle_sets([words[0], " ".join(words[1:n])], width)] == [1, max(n - width, 1)]
