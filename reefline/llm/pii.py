@@ -20,11 +20,13 @@ _LETTER = "\\p{L}\\p{M}"
 #: Titles that tell a person's gender.
 MALE = "Mr|Herrn?|Monsieur|Señor|Sr|Signor|г-н|господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Srta|Signora|г-жа|госпожа|Κυρία"
+#: Lower case too, but for words that are common otherwise; upper case always.
+MALE, FEMALE = ("|".join(dict.fromkeys(f for t in titles.split("|") for f in (t, t.upper(), *([] if t in ("Ms", "Miss", "Sr") else [t.lower()])))) for titles in (MALE, FEMALE))
 #: Kinds of entities and what they look like, in order of precedence.
 KINDS = (
     ("email", f"(?<![{_LETTER}\\p{{N}}._%+-])[{_LETTER}\\p{{N}}_%+-][{_LETTER}\\p{{N}}._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}"),
-    ("password", "(?<=\\b(?:password|passwd|pwd)[=:])[^\\s\"',;]{6,}"),
-    ("token", "(?<=\\b(?:token|secret|api_key)\\s{0,2}[=:]\\s{0,2}\")[A-Za-z0-9_+/=-]{16,}(?=\")"),
+    ("password", "(?<=\\b(?i:password|passwd|pwd)[=:])[^\\s\"',;]{6,}"),
+    ("token", "(?<=\\b(?i:token|secret|api_key)\\s{0,2}[=:]\\s{0,2}\")[A-Za-z0-9_+/=-]{16,}(?=\")"),
     ("access_key", "\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b"),
     ("ip", "(?<![\\d.])(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?![\\d]|\\.\\d)"),
     ("card", "(?<![\\d.-])(?:\\d{13,19}|\\d{4}([ -])\\d{4}\\1\\d{4}\\1\\d{4})(?![\\d-])"),
@@ -73,12 +75,12 @@ def byte(seed: Column, i: Column) -> Column:
 def shaped(form: Column, seed: Column, keep: Column | None = None) -> Column:
     """``form`` with each letter and digit replaced by one of its case and script (hexadecimal text by
     hexadecimal digits); ``keep`` leading characters stay."""
-    is_hex = form.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (F.length(form) >= 16)
+    is_hex, is_upper_hex = (form.rlike(f"^[0-9{x}]*[{x}][0-9{x}]*$") & (F.length(form) >= 16) for x in ("a-f", "A-F"))
 
     def one(c: Column, i: Column) -> Column:
         r = byte(seed, i)
         pick = lambda alphabet: F.substring(F.lit(alphabet), r % len(alphabet) + 1, F.lit(1))
-        out = F.when(is_hex, pick("0123456789abcdef")).when(i < (keep if keep is not None else F.lit(0)), c).when(c.rlike("[0-9]"), (r % 10).cast("string"))
+        out = F.when(is_hex, pick("0123456789abcdef")).when(is_upper_hex, pick("0123456789ABCDEF")).when(i < (keep if keep is not None else F.lit(0)), c).when(c.rlike("[0-9]"), (r % 10).cast("string"))
         for script, alphabet in (("\\p{IsCyrillic}", "cyrillic"), ("\\p{IsGreek}", "greek"), ("\\p{L}", "latin")):
             small = pick(ALPHABETS[alphabet])
             out = out.when(c.rlike(f"^(?=\\p{{Lu}}){script}"), F.upper(small)).when(c.rlike(script), small)
@@ -163,7 +165,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str) -> DataFr
     places = found.select("_row", F.posexplode("_mentions").alias("_at", "mention"), F.col("_gaps"))
     before = F.get("_gaps", F.col("_at"))
     by_context = (
-        F.when(before.rlike("(?:password|passwd|pwd)[=:]$"), "password").when(before.rlike("(?:token|secret|api_key)\\s{0,2}[=:]\\s{0,2}\"$"), "token")
+        F.when(before.rlike("(?i:password|passwd|pwd)[=:]$"), "password").when(before.rlike("(?i:token|secret|api_key)\\s{0,2}[=:]\\s{0,2}\"$"), "token")
         .when(before.rlike(f"\\b(?:{MALE})\\.? $"), "person_m").when(before.rlike(f"\\b(?:{FEMALE})\\.? $"), "person_f")
     )
     places = written(places.select("_row", "_at", "mention", F.coalesce(kind_of(F.col("mention")), by_context, F.lit("token")).alias("kind")), "pii-places")

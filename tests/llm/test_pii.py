@@ -53,3 +53,14 @@ def test_distinct_even_where_candidates_collide(spark):
     rows = pii.surrogates(entities, "k").collect()
     assert len(rows) == 45 and len({r.new for r in rows}) == 45
     assert not {r.new for r in rows} & {f"{i:02d}" for i in range(45)}
+
+
+def test_upper_case(spark):
+    secret = "9233A8B8AF68854F0E01B4AD40CDBB6AE7F578AA"
+    texts = [f'TOKEN = "{secret}" PASSWORD=HUNTER2X1', f'Token = "{secret.lower()}"; Api_Key="{secret}"', "MR. WEBER, HERR KOCH, FRAU LANG; mrs. Brown", "30 ms After I miss Paris"]
+    new = [r.text for r in pii.pseudonymise(docs_of(spark, texts), key="k").orderBy("doc_id").collect()]
+    a = re.fullmatch(r'TOKEN = "([0-9A-F]{40})" PASSWORD=([A-Z0-9]{9})', new[0])
+    assert a[1] != secret and a[2] != "HUNTER2X1"
+    b = re.fullmatch(r'Token = "([0-9a-f]{40})"; Api_Key="([0-9A-F]{40})"', new[1])
+    assert b[1] != secret.lower() and b[2] == a[1]
+    assert not re.search("WEBER|KOCH|LANG|Brown", new[2]) and new[3] == texts[3]
