@@ -5,6 +5,9 @@ replacement everywhere, in whatever way it is written (coreference); no two enti
 equals an entity of the corpus (distinctness): candidates that collide are drawn again, round by round,
 over a table of the distinct entities.
 
+Persons are found after a title; their full and family names are then looked up in the rest of the text.
+A family name is an entity of its own, and full names take their family's surrogate.
+
 Texts without an entity aren't touched or shuffled. An entity that very many texts hold is combined before
 each shuffle, and joined from written tables that adaptive execution can split.
 """
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from reefline.llm.common import written
 
 _LETTER = "\\p{L}\\p{M}"
+#: A word of a name, without a possessive's end.
+_NAME = f"\\p{{Lu}}(?:[{_LETTER}]|['-](?![sS]\\b)(?=[{_LETTER}]))+"
 #: Titles that tell a person's gender.
 MALE = "Mr|Herrn?|Monsieur|Señor|Sr|Signor|г-н|господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Srta|Signora|г-жа|госпожа|Κυρία"
@@ -32,8 +37,8 @@ KINDS = (
     ("card", "(?<![\\d.-])(?:\\d{13,19}|\\d{4}([ -])\\d{4}\\1\\d{4}\\1\\d{4})(?![\\d-])"),
     ("ssn", "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])"),
     ("phone", "(?<![\\d+])\\+\\d{1,3}[ .-]?(?:\\(\\d{1,4}\\)|\\d{1,4})(?:[ .-]?\\d{2,4}){2,4}(?!\\d)|(?<!\\d)\\(\\d{3}\\) ?\\d{3}-\\d{4}(?!\\d)"),
-    ("person_m", f"(?<=\\b(?:{MALE})\\.? )\\p{{Lu}}[{_LETTER}'-]+(?: \\p{{Lu}}[{_LETTER}'-]+)?"),
-    ("person_f", f"(?<=\\b(?:{FEMALE})\\.? )\\p{{Lu}}[{_LETTER}'-]+(?: \\p{{Lu}}[{_LETTER}'-]+)?"),
+    ("person_m", f"(?<=\\b(?:{MALE})\\.? ){_NAME}(?: {_NAME})?"),
+    ("person_f", f"(?<=\\b(?:{FEMALE})\\.? ){_NAME}(?: {_NAME})?"),
 )
 #: Cheap signs, one of which every entity has.
 HINT = "[@+(]|\\d{3}|(?:AKIA|ASIA)|=|:|(?:" + f"{MALE}|{FEMALE}" + ")\\.? "
@@ -63,10 +68,29 @@ def same_entity(kind: Column, mention: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(mention, "\\D", ""))
+        .when(kind.startswith("person") | (kind == "family"), F.initcap(F.lower(mention)))
         .otherwise(mention)
     )
 
 
+def family_of(name: Column) -> Column:
+    return F.element_at(F.split(name, " "), -1)
+
+
+def people(text: Column, titles: str) -> Column:
+    """The names after a title in a text, as written."""
+    return F.when(text.rlike(f"\\b(?:{titles})\\.? \\p{{Lu}}"), F.array_distinct(F.regexp_extract_all(text, F.lit(f"\\b(?:{titles})\\.? ({_NAME}(?: {_NAME})?)"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+
+def with_names(expression: str, names: Column) -> Column:
+    """``expression``, or one of the names, their family names, or either in upper case; long ones first."""
+    names = F.array_union(names, F.transform(names, family_of))
+    names = F.array_union(names, F.transform(names, F.upper))
+    longest = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
+    found = F.concat(F.lit(f"{expression}|(?<![{_LETTER}\\p{{N}}_])(?:"), F.array_join(longest, "|"), F.lit(f")(?![{_LETTER}\\p{{N}}_])"))
+    return F.when(F.size(names) > 0, found).otherwise(F.lit(expression))
+
+
 def byte(seed: Column, i: Column) -> Column:
     """The i-th pseudorandom number, 0 to 65535, of a seed (the hex digits of a SHA-512)."""
     return F.conv(F.substring(seed, i % 32 * 4 + 1 + F.floor(i / 32).cast("int") % 3, F.lit(4)), 16, 10).cast("int")
@@ -89,23 +113,26 @@ def shaped(form: Column, seed: Column, keep: Column | None = None) -> Column:
     return F.array_join(F.transform(F.split(form, ""), one), "")
 
 
-def surrogate(kind: Column, entity: Column, key: str, turn: int) -> Column:
-    """A keyed candidate for an entity, of its kind, in the shared form."""
+def surrogate(kind: Column, entity: Column, family: Column, key: str, turn: int) -> Column:
+    """A keyed candidate for an entity, of its kind, in the shared form; a full name has the surrogate of
+    its family name in ``family``."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, F.lit(str(turn))), 512)
     octets = [F.when((F.lit(i) == 0) & F.split(entity, "\\.")[0].isin("10", "127", "172", "192"), F.split(entity, "\\.")[0].cast("int")).otherwise(byte(seed, F.lit(i)) % 254 + 1) for i in range(4)]
     ip = F.concat_ws(".", *octets)
     domain = F.concat(shaped(F.lit("aaaaaa"), F.sha2(F.concat(seed, F.lit("domain")), 512)), F.lit(".example.com"))
     email = F.concat(shaped(F.regexp_extract(entity, "^(.*)@", 1), seed), F.lit("@"), domain)
     script = F.when(entity.rlike("\\p{IsCyrillic}"), "cyrillic").when(entity.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
-    family = F.initcap(shaped(F.lower(F.element_at(F.split(entity, " "), -1)), seed))
+    longer = lambda word: F.lower(F.concat(word, F.repeat(F.substring(word, F.lit(1), F.lit(1)), F.lit(turn // 8))))
+    alone = F.initcap(shaped(longer(entity), seed))
     names = F.lit(None).cast("string")
     for gender, lists in GIVEN.items():
         for s, given in lists.items():
             words = F.split(F.lit(given), " ")
             names = F.when((kind == gender) & (script == s), F.get(words, byte(seed, F.lit(31)) % len(given.split()))).otherwise(names)
-    person = F.when(F.contains(entity, F.lit(" ")), F.concat_ws(" ", names, family)).otherwise(family)
+    if turn >= 8:  # a family with more members than there are given names
+        names = F.initcap(shaped(longer(F.split(entity, " ")[0]), seed))
     return (
-        F.when(kind == "ip", ip).when(kind == "email", email).when(kind.startswith("person"), person)
+        F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "family", alone).when(kind.startswith("person"), F.concat_ws(" ", names, family))
         .when(kind == "access_key", shaped(entity, seed, F.lit(4)))
         .when(kind == "card", shaped(entity, seed, F.lit(1)))
         .when((kind == "phone") & F.lit(turn < 8) & entity.rlike("555\\d{4}$"), F.concat(shaped(F.substring(entity, F.lit(1), F.length(entity) - 7), seed, F.greatest(F.length(entity) - 10, F.lit(0))), F.lit("555"), shaped(F.substring(entity, F.lit(-4), F.lit(4)), F.sha2(seed, 512))))
@@ -124,21 +151,23 @@ def written_like(kind: Column, mention: Column, new: Column) -> Column:
         ),
         lambda a: a["out"],
     )
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when((kind == "email") & mention.rlike("^[^\\p{Ll}]+$"), F.upper(new)).otherwise(new)
+    return F.when(kind.isin("card", "ssn", "phone"), digits).when((kind.isin("email", "family") | kind.startswith("person")) & mention.rlike("^[^\\p{Ll}]+$"), F.upper(new)).otherwise(new)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, new) for a written table of distinct (kind, entity)."""
+    """(kind, entity, new) for a written table of distinct (kind, entity), with family where there are full names."""
+    if "family" not in entities.columns:
+        entities = entities.withColumn("family", F.lit(None).cast("string"))
     pending, done, turn = entities, None, 0
     taken = entities.select("kind", F.col("entity").alias("new"))
     while turn < MAX_ROUNDS:
-        drawn = written(pending.withColumn("new", surrogate(F.col("kind"), F.col("entity"), key, turn)), "pii-drawn")
+        drawn = written(pending.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("family"), key, turn)), "pii-drawn")
         free = drawn.join(taken, ["kind", "new"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
         won = written(free.groupBy("kind", "new").agg(F.min("entity").alias("entity")).select("kind", "entity", "new"), "pii-won")
         done = won if done is None else written(done.unionByName(won), "pii-done")
-        pending = written(drawn.select("kind", "entity").join(won, ["kind", "entity"], "left_anti"), "pii-pending")
+        pending = written(drawn.select("kind", "entity", "family").join(won, ["kind", "entity"], "left_anti"), "pii-pending")
         if pending.isEmpty():
             return done
         turn += 1
@@ -161,16 +190,32 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str) -> DataFr
     text = F.col(f"_doc.`{text_col}`")
     has = F.coalesce(text.rlike(HINT) & text.rlike(expression), F.lit(False))
     found = packed.where(has).withColumn("_row", F.monotonically_increasing_id())
-    found = written(found.select("_row", "_doc", F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("_mentions"), F.split(text, expression, -1).alias("_gaps")), "pii-texts")
-    places = found.select("_row", F.posexplode("_mentions").alias("_at", "mention"), F.col("_gaps"))
+    found = found.select("_row", "_doc", people(text, MALE).alias("_men"), people(text, FEMALE).alias("_women"))
+    found = found.select("*", with_names(expression, F.array_union("_men", "_women")).alias("_expression"))
+    fixed = F.size("_men") + F.size("_women") == 0
+    mentions_of = F.when(fixed, F.regexp_extract_all(text, F.lit(expression), F.lit(0))).otherwise(F.regexp_extract_all(text, F.col("_expression"), F.lit(0)))
+    gaps_of = F.when(fixed, F.split(text, expression, -1)).otherwise(F.split(text, F.col("_expression"), -1))
+    found = written(found.select("_row", "_doc", "_men", "_women", mentions_of.alias("_mentions"), gaps_of.alias("_gaps")), "pii-texts")
+    places = found.select("_row", F.posexplode("_mentions").alias("_at", "mention"), F.col("_gaps"), "_men", "_women")
     before = F.get("_gaps", F.col("_at"))
     by_context = (
         F.when(before.rlike("(?i:password|passwd|pwd)[=:]$"), "password").when(before.rlike("(?i:token|secret|api_key)\\s{0,2}[=:]\\s{0,2}\"$"), "token")
+        .when(before.rlike(f"\\b(?:{MALE}|{FEMALE})\\.? $") & ~F.contains(F.col("mention"), F.lit(" ")), "family")
         .when(before.rlike(f"\\b(?:{MALE})\\.? $"), "person_m").when(before.rlike(f"\\b(?:{FEMALE})\\.? $"), "person_f")
     )
-    places = written(places.select("_row", "_at", "mention", F.coalesce(kind_of(F.col("mention")), by_context, F.lit("token")).alias("kind")), "pii-places")
+    name = same_entity(F.lit("family"), F.col("mention"))
+    among = lambda names, part: F.exists(names, lambda x: part(same_entity(F.lit("family"), x)) == name)
+    later = F.when(F.contains(F.col("mention"), F.lit(" ")) & among("_men", lambda x: x), "person_m").when(F.contains(F.col("mention"), F.lit(" ")) & among("_women", lambda x: x), "person_f")
+    later = later.when(among("_men", family_of) | among("_women", family_of), "family")
+    places = written(places.select("_row", "_at", "mention", F.coalesce(kind_of(F.col("mention")), by_context, later, F.lit("token")).alias("kind")), "pii-places")
     mentions = written(places.select("kind", "mention").distinct().withColumn("entity", same_entity(F.col("kind"), F.col("mention"))), "pii-mentions")
-    new = surrogates(written(mentions.select("kind", "entity").distinct(), "pii-entities"), key)
+    entities = written(mentions.select("kind", "entity").distinct(), "pii-entities")
+    full = entities.where(F.col("kind").startswith("person")).withColumn("family", family_of(F.col("entity")))
+    families = entities.where("kind = 'family'").select("kind", "entity").union(full.select(F.lit("family"), "family")).distinct()
+    families = surrogates(written(families, "pii-families"), key)
+    full = full.join(families.select(F.col("entity").alias("family"), "new"), "family").select("kind", "entity", F.col("new").alias("family"))
+    others = entities.where(~F.col("kind").startswith("person") & (F.col("kind") != "family"))
+    new = surrogates(written(full.union(others.select("kind", "entity", F.lit(None).cast("string"))), "pii-others"), key).union(families)
     spelled = written(mentions.join(new, ["kind", "entity"]).select("kind", "mention", written_like(F.col("kind"), F.col("mention"), F.col("new")).alias("new")), "pii-spelled")
     in_row = written(places.join(spelled, ["kind", "mention"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "new"))).alias("_new")), "pii-rows")
     replaced = F.array_join(F.zip_with("_gaps", F.transform("_new", lambda x: x["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")

@@ -64,3 +64,14 @@ def test_upper_case(spark):
     b = re.fullmatch(r'Token = "([0-9a-f]{40})"; Api_Key="([0-9A-F]{40})"', new[1])
     assert b[1] != secret.lower() and b[2] == a[1]
     assert not re.search("WEBER|KOCH|LANG|Brown", new[2]) and new[3] == texts[3]
+
+
+def test_persons_are_followed(spark):
+    texts = ["Mr. John Smith came. John Smith said so; Smith's car, SMITH, Smithson, blacksmith", "Mr. Smith met Mrs. Anna Smith", "the smith Smith has no title here"]
+    new = [r.text for r in pii.pseudonymise(docs_of(spark, texts), key="k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) (\w+) said so; (\w+)'s car, (\w+), Smithson, blacksmith", new[0])
+    given, family = m[1], m[2]
+    assert (given, family) == (m[3], m[4]) and m[5] == family and m[6] == family.upper() and (given, family) != ("John", "Smith")
+    n = re.fullmatch(r"Mr\. (\w+) met Mrs\. (\w+) (\w+)", new[1])
+    assert n[1] == n[3] == family != "Smith" and n[2] in pii.GIVEN["person_f"]["latin"]
+    assert new[2] == texts[2]
