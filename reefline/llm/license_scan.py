@@ -29,6 +29,7 @@ class Template:
     label: str
     text: str
     phrase: bool = False  # the words must stand in a row
+    family: str = ""  # of the variants of one notice, only the best match in a block names it
 
     @property
     def words(self) -> tuple[str, ...]:
@@ -44,16 +45,16 @@ PHRASES = (
 )
 #: Usual notices of public licenses.
 NOTICES = (
-    Template("gpl-3.0", "licensed under the gnu general public license version 3"),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2"),
-    Template("lgpl", "licensed under the gnu lesser general public license"),
-    Template("agpl", "licensed under the gnu affero general public license"),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", family="gpl"),
+    Template("gpl-2.0", "licensed under the gnu general public license version 2", family="gpl"),
+    Template("lgpl", "licensed under the gnu lesser general public license", family="gpl"),
+    Template("agpl", "licensed under the gnu affero general public license", family="gpl"),
     Template("apache-2.0", "licensed under the apache license version 2 0"),
     Template("mit", "released under the mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Template("cc-by-4.0", "licensed under cc by 4 0"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+    Template("cc-by-4.0", "licensed under cc by 4 0", family="cc"),
+    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", family="cc"),
+    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", family="cc"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
@@ -78,7 +79,8 @@ def scan(
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs``.
 
-    ``labels`` has the base labels and, of each block, those of the best matching notices.
+    ``labels`` has the base labels and, of each block, those of all matching notices; of a
+    notice's variants, the best matching.
 
     A null or empty text has no words and no labels (empty strings, score 0). first_word and last_word
     are null without a base place. score: the best containment of a template (1 for a base place). Ids
@@ -105,10 +107,10 @@ def scan(
     for k, t in enumerate(templates):
         ranks = sorted(order[w] for w in set(t.words))
         need = len(ranks) if t.phrase else math.ceil(threshold * len(ranks) - 1e-9)
-        facts.append((k, t.label, t.phrase, ranks, need))
+        facts.append((k, t.label, t.phrase, t.family or f"{k}", ranks, need))
         index += [(rank, k) for rank in ranks[: len(ranks) - need + 1]]
     index_df = spark.createDataFrame(index, "_rank int, _t int")
-    facts_df = spark.createDataFrame(facts, "_t int, _label string, _phrase boolean, _ranks array<int>, _need int")
+    facts_df = spark.createDataFrame(facts, "_t int, _label string, _phrase boolean, _family string, _ranks array<int>, _need int")
     rare = {rank for rank, _ in index}
     rare_words = [w for w in vocabulary if order[w] in rare]
 
@@ -134,11 +136,11 @@ def scan(
     matched = (
         candidates.withColumn("_share", F.size(F.array_intersect("_set", "_ranks")) / F.size("_ranks"))
         .where(F.size(F.array_intersect("_set", "_ranks")) >= F.col("_need"))
-        .select("_id", "_block", "_t", "_label", "_phrase", "_share")
+        .select("_id", "_block", "_t", "_label", "_phrase", "_family", "_share")
         .distinct()
     )
-    # Versions of one notice differ in a word or two: of a block's notices, the best matches name it.
-    best = F.max(F.when(~F.col("_phrase"), F.col("_share"))).over(Window.partitionBy("_id", "_block"))
+    # Versions of one notice differ in a word or two: of a block's variants, the best matches name it.
+    best = F.max(F.when(~F.col("_phrase"), F.col("_share"))).over(Window.partitionBy("_id", "_block", "_family"))
     named = matched.withColumn("_best", best).where("not _phrase and _share >= _best").drop("_best")
     by_doc = Window.partitionBy("_id").orderBy("_pos")
     longest = max((len(t.words) for t in phrases), default=1)

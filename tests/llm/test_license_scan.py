@@ -45,3 +45,32 @@ def test_notices(spark, empty):
     assert S.scan(empty).count() == 0
     df = spark.createDataFrame([(None, "mit license"), (1, "mit license"), (1, "mit license")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_words) for r in S.scan(df).collect()) == [("1", 2), ("1", 2), ("None", 2)]
+
+
+def brute_notices(text):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    labels = {t.label for t in S.PHRASES if t.text in " ".join(words)}
+    for k in range(0, max(len(words), 1), S.STRIDE):
+        block = set(words[k : k + 2 * S.STRIDE])
+        shares = {t: len(block & set(t.words)) / len(set(t.words)) for t in S.NOTICES}
+        best = {}
+        for t, share in shares.items():
+            best[t.family or t.text] = max(best.get(t.family or t.text, 0.8), share)
+        labels |= {t.label for t, share in shares.items() if share >= best[t.family or t.text]}
+    return ",".join(sorted(labels))
+
+
+def test_all_notices_of_a_block(spark):
+    bsd, isc = (next(t.text for t in S.NOTICES if t.label == k) for k in ("bsd", "isc"))
+    apache = "Licensed under the Apache License, Version 2.0."
+    own = [
+        f"{apache} {bsd.replace('modification', 'changes')}",
+        f"{isc.replace('hereby', 'herewith')} {apache}",
+        f"{prose(3, 25)} {apache} {prose(5, 20)} {bsd.replace('source', 'text')} {prose(6, 90)} {isc}",
+        "Licensed under the GNU General Public License version 3",
+        f"licensed under the gnu lesser general public license; {bsd.replace('forms', 'form')}",
+        *[t.text for t in S.NOTICES],
+    ]
+    got = {r.doc_id: r.labels for r in S.scan(docs_of(spark, own)).collect()}
+    assert got == {i: brute_notices(t) for i, t in enumerate(own)}
+    assert got[0] == "apache,apache-2.0,bsd" and got[1] == "apache,apache-2.0,isc" and got[3] == "gpl,gpl-3.0"
