@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,43 +37,122 @@ def _arrow(kind: str):
     return wrap
 
 
-def _unary(kind: str, f):
+_RECTANGLE = np.frombuffer(struct.pack("<BIII", 1, 3, 1, 5), dtype=np.uint8)
+_POINT = np.frombuffer(struct.pack("<BI", 1, 1), dtype=np.uint8)
+
+
+def flat(w: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(n x 4 bounds, whether it is a rectangle) of the points and upright rectangles of a batch, decoded
+    all at once; NaN for other values. Grids, cells and positions are such."""
+    values, sizes = w.to_numpy(), np.array([-1 if x is None else len(x) for x in w])
+    out, is_box = np.full((len(values), 4), np.nan), np.zeros(len(values), dtype=bool)
+    for head, points in ((_RECTANGLE, 5), (_POINT, 1)):
+        size = len(head) + 16 * points
+        at = np.flatnonzero(sizes == size)
+        if not len(at):
+            continue
+        raw = np.frombuffer(b"".join(values[at]), dtype=np.uint8).reshape(-1, size)
+        v = raw[:, len(head) :].copy().view("<f8").reshape(-1, points, 2)
+        good = (raw[:, : len(head)] == head).all(1) & np.isfinite(v).all((1, 2))
+        if points == 5:
+            moves = np.diff(v, axis=1) != 0
+            good &= (v[:, 0] == v[:, 4]).all(1) & (moves.sum(2) == 1).all(1) & (moves[:, :-1] != moves[:, 1:]).all((1, 2))
+        out[at[good]] = np.hstack([v.min(1), v.max(1)])[good]
+        is_box[at[good]] = points == 5
+    return out, is_box
+
+
+def rectangles(b: np.ndarray) -> np.ndarray:
+    """WKB of n x 4 bounds."""
+    x0, y0, x1, y1 = b.T
+    v = np.stack([x0, y0, x1, y0, x1, y1, x0, y1, x0, y0], axis=1).astype("<f8").view(np.uint8).reshape(len(b), 80)
+    raw = np.hstack([np.broadcast_to(_RECTANGLE, (len(b), len(_RECTANGLE))), v])
+    out = np.empty(len(b), dtype=object)
+    out[:] = [r.tobytes() for r in raw]
+    return out
+
+
+def _unary(kind: str, f, of_flat=None):
+    """``of_flat``: (bounds, is rectangle) -> values for all points and rectangles of a batch."""
+
     @_arrow(kind)
     def run(w: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(K.from_wkb(x)) for x in w], dtype=object)
+        if of_flat is None:
+            return pd.Series([None if x is None else f(K.from_wkb(x)) for x in w], dtype=object)
+        b, is_box = flat(w)
+        out = np.full(len(w), None, dtype=object)
+        done = ~np.isnan(b[:, 0])
+        out[done] = of_flat(b[done], is_box[done])
+        for i in np.flatnonzero(~done):
+            out[i] = None if w.iloc[i] is None else f(K.from_wkb(w.iloc[i]))
+        return pd.Series(out, dtype=object)
 
     return run
 
 
-def _binary(kind: str, f):
+def _binary(kind: str, f, of_flat=None):
+    """``of_flat``: (bounds a, bounds b) -> values where both are points or rectangles, the second a rectangle."""
+
     @_arrow(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(K.from_wkb(x), K.from_wkb(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+        out = np.full(len(a), None, dtype=object)
+        done = np.zeros(len(a), dtype=bool)
+        if of_flat is not None:
+            (x, _), (y, is_box) = flat(a), flat(b)
+            done = ~np.isnan(x[:, 0]) & is_box
+            out[done] = of_flat(x[done], y[done])
+        for i in np.flatnonzero(~done):
+            v, u = a.iloc[i], b.iloc[i]
+            out[i] = None if v is None or u is None else f(K.from_wkb(v), K.from_wkb(u))
+        return pd.Series(out, dtype=object)
 
     return run
 
 
-st_area = _unary("double", K.area)
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps; crossed where there is none."""
+    return np.hstack([np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])])
+
+
+def _size(b: np.ndarray) -> np.ndarray:
+    return np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
+
+
+def _shared_wkb(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    s = _shared(a, b)
+    some = (s[:, 0] < s[:, 2]) & (s[:, 1] < s[:, 3])
+    out = np.empty(len(s), dtype=object)
+    out[:] = [K.to_wkb([])] * len(s)
+    out[some] = rectangles(s[some])
+    return out
+
+
+def _lies_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    point = (a[:, :2] == a[:, 2:]).all(1)
+    inside = (a[:, :2] >= b[:, :2]).all(1) & (a[:, 2:] <= b[:, 2:]).all(1)
+    return np.where(point, inside, _size(a) - _size(_shared(a, b)) <= 1e-9 * _size(a))
+
+
+st_area = _unary("double", K.area, lambda b, _: _size(b))
 st_make_valid = _unary("binary", lambda g: K.to_wkb(K.make_valid(g)))
 st_is_valid = _unary("boolean", K.is_valid)
 st_geometry_type = _unary("string", K.kind)
 st_polygons = _unary("binary", lambda g: K.to_wkb(K.polygons(g)))
 st_fill_holes = _unary("binary", lambda g: K.to_wkb(K.fill_holes(g)))
-st_intersects = _binary("boolean", K.intersects)
-st_within = _binary("boolean", K.within)
-st_intersection = _binary("binary", lambda a, b: K.to_wkb(K.intersection(a, b)))
+st_intersects = _binary("boolean", K.intersects, lambda a, b: (lambda s: (s[:, :2] <= s[:, 2:]).all(1))(_shared(a, b)))
+st_within = _binary("boolean", K.within, _lies_in)
+st_intersection = _binary("binary", lambda a, b: K.to_wkb(K.intersection(a, b)), _shared_wkb)
 st_difference = _binary("binary", lambda a, b: K.to_wkb(K.difference(a, b)))
-st_intersection_area = _binary("double", K.intersection_area)
-
-
-def _no_point(g):
-    return None if (b := K.bounds(g)) is None else dict(zip(("minx", "miny", "maxx", "maxy"), map(float, b), strict=True))
+st_intersection_area = _binary("double", K.intersection_area, lambda a, b: _size(_shared(a, b)))
 
 
 @_arrow("minx double, miny double, maxx double, maxy double")
 def st_bounds(w: pd.Series) -> pd.DataFrame:
-    rows = [None if x is None else _no_point(K.from_wkb(x)) for x in w]
-    return pd.DataFrame([r or dict.fromkeys(("minx", "miny", "maxx", "maxy")) for r in rows], columns=["minx", "miny", "maxx", "maxy"], dtype="float64")
+    out, _ = flat(w)
+    for i in np.flatnonzero(np.isnan(out[:, 0])):
+        if w.iloc[i] is not None and (b := K.bounds(K.from_wkb(w.iloc[i]))) is not None:
+            out[i] = b
+    return pd.DataFrame(out, columns=["minx", "miny", "maxx", "maxy"]).astype("Float64").where(~np.isnan(out), pd.NA)
 
 
 @_arrow("x double, y double")
@@ -93,13 +175,11 @@ def st_as_geojson(w: pd.Series) -> pd.Series:
 
 @_arrow("binary")
 def st_box(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([K.to_wkb(K.box(*v)) for v in zip(x0, y0, x1, y1, strict=True)], dtype=object)
+    return pd.Series(rectangles(np.column_stack([x0, y0, x1, y1])), dtype=object)
 
 
 @_arrow("binary")
 def st_point(x: pd.Series, y: pd.Series) -> pd.Series:
-    import numpy as np
-
     return pd.Series([K.to_wkb([[np.array([[a, b]])]]) for a, b in zip(x, y, strict=True)], dtype=object)
 
 

@@ -25,10 +25,12 @@ def with_relations(rows: DataFrame, first_source: str = "Protected Planet", seco
     order = [rank, F.col("wdpa_p_id").asc_nulls_last(), F.col("zone_id").asc_nulls_last()]
     me = F.struct(*RELATION)
     ranked = rows.where("wdpaid is not null").withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    ranked = ranked.withColumns({"_all": F.collect_list(me).over(Window.partitionBy(*group).orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    parent = F.when(F.col("_n") > 1, F.get("_all", F.lit(0)))
-    children = F.when((F.col("_n") == 1) & (F.size("_all") > 1), F.slice("_all", F.lit(2), F.size("_all")))
-    return ranked.select(*rows.columns, parent.alias("parent"), children.alias("children"))
+    ranked = ranked.withColumn("_first", F.first(me).over(Window.partitionBy(*group).orderBy("_n")))
+    # The list is made once for each group and goes to its first row, not to all of them.
+    lists = ranked.where("_n > 1").groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.array_sort(F.collect_list(F.struct("_n", me.alias("c")))).alias("_l"))
+    on = (F.col("_n") == 1) & F.col("location").eqNullSafe(F.col("_g0")) & F.col("environment").eqNullSafe(F.col("_g1")) & (F.col("wdpaid") == F.col("_g2"))
+    parent = F.when(F.col("_n") > 1, F.col("_first"))
+    return ranked.join(lists, on, "left").select(*rows.columns, parent.alias("parent"), F.transform("_l", lambda x: x["c"]).alias("children"))
 
 
 def string_changed(old: Column, new: Column) -> Column:

@@ -43,11 +43,11 @@ def next_or_zero(df: DataFrame, value: str, keys: Sequence[str], order: Sequence
 
 
 def mark_children(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """is_child on all but the first row of a key, child_ids on the first one."""
+    """is_child on all but the first row of a key, n_children on the first one."""
     w = Window.partitionBy(key).orderBy(*order)
     n = F.row_number().over(w)
-    ids = F.collect_list(F.struct(*order)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumns({"is_child": n > 1, "n_children": F.when(n == 1, F.size(ids) - 1).otherwise(0)})
+    rows = F.count("*").over(Window.partitionBy(key)).cast("int")
+    return df.withColumns({"is_child": n > 1, "n_children": F.when(n == 1, rows - 1).otherwise(0)})
 
 
 def projection(history: DataFrame, target: int = 2030, last: int = 20) -> DataFrame:

@@ -121,7 +121,8 @@ def aggregated_stats(stats: DataFrame, locations: DataFrame, codes: Sequence[str
     """Statistics of a set of locations by year, environment and, if given, a sub category.
 
     A missing or zero total falls back to the location's area of the environment. ``locations``: (code,
-    total_marine_area, total_terrestrial_area, has_shared_marine_area).
+    total_marine_area, total_terrestrial_area, has_shared_marine_area). Rows come in no order: who shows
+    them sorts by year.
     """
     rows = stats if codes is None else stats.where(F.col("location").isin([c.strip().upper() for c in codes]))
     loc = locations.select(F.col("code").alias("location"), "total_marine_area", "total_terrestrial_area", "has_shared_marine_area")
@@ -133,11 +134,11 @@ def aggregated_stats(stats: DataFrame, locations: DataFrame, codes: Sequence[str
     out = rows.groupBy(*keys).agg(
         F.sum("_total").alias("total_area"),
         F.sum("_protected").alias("protected_area"),
-        F.array_sort(F.collect_list("location")).alias("locations"),
+        F.array_sort(F.collect_set("location")).alias("locations"),
         F.coalesce(F.bool_or("has_shared_marine_area"), F.lit(False)).alias("has_shared_marine_area"),
         F.max("updated_at").alias("updated_at"),
     )
-    return out.withColumn("coverage", percent("protected_area", F.nullif("total_area", F.lit(0.0)))).orderBy(F.col("year").asc_nulls_last())
+    return out.withColumn("coverage", percent("protected_area", F.nullif("total_area", F.lit(0.0))))
 
 
 def missing(requested: Column, found: Column) -> Column:

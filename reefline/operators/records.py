@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions.text import lookup, split_codes
 from reefline.operators.groups import rollup, total
+from reefline.sources.scratch import scratch_table
 
 
 def reported(df: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def formatted(df: DataFrame, codes: DataFrame, values: Mapping[str, Mapping[str,
     out = df.join(codes.withColumnRenamed("iso", "location"), "location", "left")
     for c, m in values.items():
         out = replaced(out, m, c)
-    ranged = out.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # Written once: read twice from a plan, adaptive execution could merge the ranges in two ways.
+    ranged = scratch_table(out.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
     numbered = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part")

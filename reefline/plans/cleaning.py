@@ -114,10 +114,10 @@ def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT CASE WHEN n_name = 'FRANCE' THEN 'GERMANY' ELSE n_name END AS location FROM nation
+SELECT DISTINCT CASE WHEN n_name = 'NATION_3' THEN 'NATION_7' ELSE n_name END AS location FROM nation
 """)
 def relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.relabel(table(spark, sf_dir, "nation").select(F.col("n_name").alias("location")), {"FRANCE": "GERMANY"})
+    return clean.relabel(table(spark, sf_dir, "nation").select(F.col("n_name").alias("location")), {"NATION_3": "NATION_7"})
 
 
 @query("""
@@ -132,11 +132,11 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CASE WHEN n_name IN ('FRANCE', 'GERMANY') THEN 'EUR' ELSE n_name END AS location, CAST(SUM(n_nationkey) AS BIGINT) AS v FROM nation GROUP BY 1
+SELECT CASE WHEN n_name IN ('NATION_3', 'NATION_7') THEN 'EUR' ELSE n_name END AS location, CAST(SUM(n_nationkey) AS BIGINT) AS v FROM nation GROUP BY 1
 """)
 def merged_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("location"), F.col("n_nationkey").cast("long").alias("v"))
-    return clean.merge_codes(n, {"EUR": ["FRANCE", "GERMANY"]})
+    return clean.merge_codes(n, {"EUR": ["NATION_3", "NATION_7"]})
 
 
 @query("""

@@ -128,15 +128,15 @@ def land_cover_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 6 = 0 THEN 0 WHEN n_nationkey <= 10 THEN round_even(25.5 * n_nationkey, 0) WHEN n_nationkey < 20 THEN 255 - round_even(25.5 * (n_nationkey - 10), 0) ELSE 0 END AS INTEGER) AS r,
- CAST(CASE WHEN n_nationkey % 6 = 0 THEN 0 ELSE 255 END AS INTEGER) AS a FROM nation WHERE n_nationkey % 2 = 0
+SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 6 = 0 THEN 0 WHEN n_nationkey <= 10 THEN round_even(n_nationkey::DOUBLE / 10 * 255, 0) WHEN n_nationkey < 20 THEN round_even(255 - (n_nationkey - 10)::DOUBLE / 10 * 255, 0) ELSE 0 END AS INTEGER) AS r,
+ CAST(CASE WHEN n_nationkey % 6 = 0 THEN 0 ELSE 255 END AS INTEGER) AS a FROM nation
 """)
 def colour_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours between stops; nodata is transparent."""
     k = F.col("n_nationkey").cast("double")
     v = F.when(F.col("n_nationkey") % 6 == 0, -9.0).otherwise(k)
     stops = {0.0: (0, 0, 0), 10.0: (255, 0, 0), 20.0: (0, 0, 0)}
-    n = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", Z.ramp(v, stops, nodata=-9.0).alias("c"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", Z.ramp(v, stops, nodata=-9.0).alias("c"))
     return n.select("n_nationkey", "c.r", "c.a")
 
 

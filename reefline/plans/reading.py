@@ -14,13 +14,13 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('FRANCE', 'CHINA') AND (c_acctbal > 5000 OR c_mktsegment = 'BUILDING') AND NOT (c_acctbal <= 0) AND c_mktsegment <> 'MACHINERY'
+SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_12') AND (c_acctbal > 5000 OR c_mktsegment = 'BUILDING') AND NOT (c_acctbal <= 0) AND c_mktsegment <> 'MACHINERY'
 """)
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested filter dict over a populated relation."""
     c = R.populate_one(_customers(spark, sf_dir), table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", ["n_name"], "nation")
     spec = {
-        "nation": {"n_name": {"$in": ["FRANCE", "CHINA"]}},
+        "nation": {"n_name": {"$in": ["NATION_3", "NATION_12"]}},
         "$or": [{"c_acctbal": {"$gt": 5000}}, {"c_mktsegment": {"$eq": "BUILDING"}}],
         "$not": {"c_acctbal": {"$lte": 0}},
         "c_mktsegment": {"$ne": "MACHINERY"},
@@ -85,9 +85,9 @@ SELECT event_id FROM events WHERE event_id % 3 <> 0 AND (event_id % 5 = 0 OR ts
 def flags_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags that are not archived and active at a date."""
     e = table(spark, sf_dir, "events")
-    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
     flags = e.select("event_id", (F.col("event_id") % 3 == 0).alias("archived"), F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("active_on"))
-    return R.active_flags(flags, F.lit(lo + (hi - lo) / 4).cast("timestamp_ntz")).select("event_id")
+    at = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 4).alias("at"))  # one row
+    return R.active_flags(flags.crossJoin(F.broadcast(at)), F.col("at")).select("event_id")
 
 
 _STATS = """SELECT CAST(YEAR(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderstatus = 'F' THEN 'terrestrial' ELSE 'marine' END AS environment, o_orderpriority AS level, n_name AS location,
@@ -97,10 +97,10 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 
 @query(f"""
 WITH s AS ({_STATS}), l AS (SELECT n_name AS code, 1000.0 * (n_nationkey + 1) AS m, 500.0 * (n_nationkey + 1) AS t, n_nationkey % 2 = 0 AS shared FROM nation)
-SELECT year, environment, level, ROUND(SUM(CASE WHEN total_area = 0 THEN CASE WHEN environment = 'terrestrial' THEN t ELSE m END ELSE total_area END), 2)::DOUBLE AS total_area, ROUND(SUM(protected_area), 2) AS protected_area,
+SELECT year, environment, level, ROUND(SUM(CASE WHEN total_area = 0 THEN CASE WHEN environment = 'terrestrial' THEN t ELSE m END ELSE total_area END), 2)::DOUBLE AS total_area, ROUND(SUM(protected_area), 3) AS protected_area,
  ROUND(100 * SUM(protected_area) / SUM(CASE WHEN total_area = 0 THEN CASE WHEN environment = 'terrestrial' THEN t ELSE m END ELSE total_area END), 6) AS coverage,
  string_agg(location, ',' ORDER BY location) AS locations, BOOL_OR(shared) AS shared, MAX(updated_at) AS updated_at
-FROM s JOIN l ON code = location WHERE location IN ('FRANCE', 'GERMANY', 'CHINA') GROUP BY 1, 2, 3
+FROM s JOIN l ON code = location WHERE location IN ('NATION_3', 'NATION_7', 'NATION_12') GROUP BY 1, 2, 3
 """)
 def aggregated_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of a set of locations by year, environment and level; missing totals from the locations."""
@@ -112,19 +112,19 @@ def aggregated_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     k = F.col("n_nationkey") + 1
     loc = n.select(F.col("n_name").alias("code"), (k * 1000.0).alias("total_marine_area"), (k * 500.0).alias("total_terrestrial_area"), (F.col("n_nationkey") % 2 == 0).alias("has_shared_marine_area"))
-    out = R.aggregated_stats(stats, loc, ["france", " GERMANY", "China"], sub="level")
-    return out.select("year", "environment", "level", F.round("total_area", 2).alias("total_area"), F.round("protected_area", 2).alias("protected_area"), r6("coverage").alias("coverage"), F.array_join("locations", ",").alias("locations"), F.col("has_shared_marine_area").alias("shared"), "updated_at")
+    out = R.aggregated_stats(stats, loc, ["nation_3", " NATION_7", "Nation_12"], sub="level")
+    return out.select("year", "environment", "level", F.round("total_area", 2).alias("total_area"), F.round("protected_area", 3).alias("protected_area"), r6("coverage").alias("coverage"), F.array_join("locations", ",").alias("locations"), F.col("has_shared_marine_area").alias("shared"), "updated_at")
 
 
 @query("""
-SELECT c_mktsegment, array_to_string(list_sort([x FOR x IN ['FRANCE', 'CHINA', 'NOWHERE'] IF NOT list_contains(found, x)]), ',') AS missing FROM (SELECT c_mktsegment, list(DISTINCT n_name) AS found FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9900 GROUP BY 1)
+SELECT batch, array_to_string(list_sort([x FOR x IN ['NATION_3', 'NATION_12', 'NOWHERE'] IF NOT list_contains(found, x)]), ',') AS missing FROM (SELECT c_custkey // 20 AS batch, list(DISTINCT n_name) AS found FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 """)
 def missing_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested codes that an answer lacks."""
-    c = _customers(spark, sf_dir).where("c_acctbal > 9900").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    found = c.groupBy("c_mktsegment").agg(F.collect_set("n_name").alias("found"))
-    asked = F.array(F.lit("FRANCE"), F.lit("CHINA"), F.lit("NOWHERE"))
-    return found.select("c_mktsegment", F.array_join(R.missing(asked, F.col("found")), ",").alias("missing"))
+    """Requested codes that each batch of twenty customers lacks."""
+    c = _customers(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    found = c.groupBy(F.expr("c_custkey div 20").alias("batch")).agg(F.collect_set("n_name").alias("found"))
+    asked = F.array(F.lit("NATION_3"), F.lit("NATION_12"), F.lit("NOWHERE"))
+    return found.select("batch", F.array_join(R.missing(asked, F.col("found")), ",").alias("missing"))
 
 
 @query("""
@@ -152,11 +152,11 @@ def localized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_name || '*' AS code, CASE WHEN n_name = 'CHINA' THEN 'Override' WHEN n_nationkey % 5 <> 0 THEN lower(n_name) || '*' ELSE n_name || '*' END AS display_name FROM nation
+SELECT n_name || '*' AS code, CASE WHEN n_name = 'NATION_12' THEN 'Override' WHEN n_nationkey % 5 <> 0 THEN lower(n_name) || '*' ELSE n_name || '*' END AS display_name FROM nation
 """)
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit("*")).alias("code"))
-    return R.display_name(n, _names(spark, sf_dir).where("locale = 'en'"), {"CHINA*": "Override"})
+    return R.display_name(n, _names(spark, sf_dir).where("locale = 'en'"), {"NATION_12*": "Override"})
 
 
 @query("""
@@ -194,10 +194,10 @@ def conditional_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_name, position FROM (SELECT n_name, CAST(CASE n_name WHEN 'CHINA' THEN 1 WHEN 'FRANCE' THEN 2 ELSE 0 END AS BIGINT) AS position FROM nation) WHERE position > 0
+SELECT n_name, position FROM (SELECT n_name, CAST(CASE n_name WHEN 'NATION_12' THEN 1 WHEN 'NATION_3' THEN 2 ELSE 0 END AS BIGINT) AS position FROM nation) WHERE position > 0
 """)
 def ordered_by_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = ["CHINA", "FRANCE"]
+    order = ["NATION_12", "NATION_3"]
     n = R.ordered_like(table(spark, sf_dir, "nation"), "n_name", order)
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("n_name"))
     return n.select("n_name", place.cast("long").alias("position")).where("position > 0")

@@ -28,7 +28,7 @@ def coverage_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Overlapping groups, one of them with a member that has no row, one empty.
-GROUPS = {"A": ["FRANCE", "GERMANY"], "B": ["GERMANY", "CHINA", "ATLANTIS"], "EMPTY": [], "ALL*": ["FRANCE", "GERMANY", "CHINA"]}
+GROUPS = {"A": ["NATION_3", "NATION_7"], "B": ["NATION_7", "NATION_12", "ATLANTIS"], "EMPTY": [], "ALL*": ["NATION_3", "NATION_7", "NATION_12"]}
 _BRIDGE = "(VALUES " + ", ".join(f"('{g}', {repr(m) if m else 'NULL'})" for g, ms in GROUPS.items() for m in (ms or [None])) + ") b(grp, member)"
 
 

@@ -155,7 +155,7 @@ SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITIO
 """)
 def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of changes applied by micro-batch to versioned snapshots."""
-    from reefline.plans import scratch
+    from reefline.sources import scratch
 
     folder = scratch.folder(spark, "stream")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")

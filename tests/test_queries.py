@@ -55,3 +55,9 @@ def test_entry(spark):
     assert e.entry(spark).count() == 6
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(QUERIES) <= set(e.queries())
+
+
+def test_queries_return_rows(spark):
+    """A query without rows would equal any SQL without rows."""
+    empty = [name for name, f in QUERIES.items() if f(spark, DATA).isEmpty()]
+    assert not empty
