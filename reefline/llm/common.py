@@ -7,33 +7,40 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bits of the id filter: 2 MB at most, whatever the number of ids.
-FILTER_BITS = 1 << 24
+#: Bits of an id filter at most: what is broadcast is a bit for each, 32 MB.
+FILTER_BITS = 1 << 28
 _BITMAP_BITS = 8 * 4096  # what bitmap_construct_agg holds in one bitmap
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set to a temporary one only if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a
+    temporary one; on a cluster executors would each write to their own disk, so it is an error there."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reefline-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
 
 
-_WORKSPACES: list[str] = []
+#: The folders of the operators that are under way in this thread, the innermost last.
+_FOLDERS: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_WORKSPACES[-1] if _WORKSPACES else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folders = _FOLDERS.get()
+    return f"{folders[-1] if folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -41,11 +48,11 @@ def workspace(spark: SparkSession, name: str) -> Iterator[None]:
     """A folder for the tables an operator writes on its way, deleted at its end; what is to outlive it is
     written by ``kept``. Shuffle files go when the driver's collector finds their plans gone, so it runs."""
     path = new_path(spark, name)
-    _WORKSPACES.append(path)
+    token = _FOLDERS.set((*_FOLDERS.get(), path))
     try:
         yield
     finally:
-        _WORKSPACES.pop()
+        _FOLDERS.reset(token)
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         gc.collect()
@@ -63,11 +70,23 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """As ``written``, outside the current workspace."""
-    inner = _WORKSPACES.pop()
+    token = _FOLDERS.set(_FOLDERS.get()[:-1])
     try:
         return written(df, name)
     finally:
-        _WORKSPACES.append(inner)
+        _FOLDERS.reset(token)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of few rows for what runs inside: texts of many lengths keep a worker's memory small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -75,42 +94,52 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def id_filter(ids: DataFrame, col: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A Bloom filter (one hash) of a column as rows (bucket, bitmap); its size is bounded by ``bits``."""
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
-    return (
+@dataclass(frozen=True)
+class IdFilter:
+    """A Bloom filter (one hash) as rows (bucket, bitmap): 16 bits for each id, ``FILTER_BITS`` at most."""
+
+    bitmaps: DataFrame
+    bits: int
+
+
+def id_filter(ids: DataFrame, *columns: str) -> IdFilter:
+    """The filter of the values of some columns of a written table."""
+    bits = 1 << min(max(int(16 * ids.count()).bit_length(), 16), FILTER_BITS.bit_length() - 1)
+    h = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    bitmaps = (
         ids.select(F.floor(h / _BITMAP_BITS).cast("long").alias("__bucket"), (h % _BITMAP_BITS).alias("__bit"))
         .groupBy("__bucket")
         .agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
     )
+    return IdFilter(bitmaps, bits)
 
 
-def _flagged(df: DataFrame, col: str, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """(__row, __maybe): the rows as structs, so that no column's name can clash with these."""
-    h = F.pmod(F.xxhash64(F.col(f"`{col}`")), F.lit(bits))
+def flagged(df: DataFrame, known: IdFilter, *keys: Column | str) -> DataFrame:
+    """(__row, __maybe): the rows as structs, so that no column's name can clash with these, and whether
+    the values of the keys may be in the filter."""
+    h = F.pmod(F.xxhash64(*[F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]), F.lit(known.bits))
     byte = "cast(conv(hex(substring(__bitmap, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.floor(h / _BITMAP_BITS).cast("long").alias("__bucket"), (h % _BITMAP_BITS).cast("int").alias("__bit"))
-    return rows.join(F.broadcast(bitmaps), "__bucket", "left").select("__row", F.expr(f"coalesce((shiftright({byte}, __bit % 8) & 1) = 1, false)").alias("__maybe"))
-
-
-def maybe_in(df: DataFrame, col: str, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose ``col`` may be in the filter: never drops one that is. The broadcast side holds at
-    most ``bits`` / 8 bytes."""
-    return _flagged(df, col, bitmaps, bits).where("__maybe").select("__row.*")
-
-
-def without(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """``df`` without the rows whose ``col`` is in ``ids`` (a written table with that column). Only rows
-    that the id filter can't tell apart from them are shuffled. Rows with a null stay."""
-    flagged = _flagged(df, col, id_filter(ids, col), FILTER_BITS)
-    known = ids.select(F.col(col).alias("__id")).distinct()
-    rest = flagged.where("__maybe").join(known, F.col(f"__row.`{col}`") == F.col("__id"), "left_anti")
-    return flagged.where("not __maybe").select("__row.*").union(rest.select("__row.*"))
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows for the session: texts of many lengths keep a worker's memory small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return rows.join(F.broadcast(known.bitmaps), "__bucket", "left").select("__row", F.expr(f"coalesce((shiftright({byte}, __bit % 8) & 1) = 1, false)").alias("__maybe"))
+
+
+def maybe_in(df: DataFrame, known: IdFilter, *keys: Column | str) -> DataFrame:
+    """Rows whose keys may be in the filter: never drops one that is. The broadcast side holds at most
+    ``FILTER_BITS`` / 8 bytes."""
+    return flagged(df, known, *keys).where("__maybe").select("__row.*")
+
+
+def without(df: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """``df`` without the rows whose keys are in ``gone``, a written table with columns of the keys' names;
+    nulls equal nulls. The first key's filter tells most rows apart from those; only the others are shuffled."""
+    first = next(iter(keys))
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__own"), *[c.alias(names[k]) for k, c in keys.items()])
+    marked = flagged(rows, id_filter(gone, first), names[first])
+    known = gone.select(*keys).distinct()
+    on = [F.col(f"__row.{names[k]}").eqNullSafe(F.col(k)) for k in keys]
+    rest = marked.where("__maybe").join(known, on, "left_anti")
+    return marked.where("not __maybe").select("__row.__own.*").union(rest.select("__row.__own.*"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
