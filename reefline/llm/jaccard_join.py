@@ -1,33 +1,36 @@
 """Exact Jaccard self-join of documents on word shingles, by a token-group matrix.
 
-1. A text becomes a set of shingle hashes. Documents with equal sets are one class; its smallest id
-   stands for it.
+1. A text becomes a set of shingle hashes. Documents with equal sets are one class; one row stands for it.
 2. Similar classes form groups: classes that share a pair of min-hashes are compared with the most
-   connected class among them, and those that do link are joined.
-3. The matrix holds a row for each token of a group's union and the group. Only the first tokens of each
-   set in one corpus-wide order are needed to bound overlaps: two sets whose Jaccard similarity reaches
-   the threshold share one of their first n - ceil(t n) + 1 tokens in any order, so a group without one
-   of a class's first tokens can't hold a partner. The order puts rare tokens first (counts of all
-   documents in a sketch of fixed size), so passages that many documents share open few groups.
-4. Open groups: their members that share a first token with the class, are not too short, can still
-   reach the overlap from there on, and whose parity bitmaps don't differ too much, are compared.
-5. Links join groups into components.
-
-Compared means: both whole texts are read again and their sets intersected. Pairs within a group are
-never listed: its members are linked already, and only components and set sizes are returned.
+   connected class among them, and those that do link are joined. Groups are cut by the size of their sets,
+   so that members of one row of the matrix differ by less than the threshold allows.
+3. The matrix stores each group's token union: a row for each token and group, with the range of its
+   members' sizes. Of a set's tokens only the first ones in one corpus-wide order can decide (prefix
+   filter): n - ceil(t n) + 1 where it is the larger set, n - ceil(2t/(1+t) n) + 1 where it is the smaller
+   one. The order puts rare tokens first (counts of all documents in a sketch of fixed size), so passages
+   that many documents share open few groups.
+4. For each class and group the matrix counts the tokens of the class in the group's union. That bounds the
+   overlap with any member: all shared tokens but those beyond the prefixes are counted. Only groups that
+   can reach the threshold are opened.
+5. The members of opened groups are compared in the same way, then by parity bitmaps, then for good.
+6. Links join groups into components.
+
+Compared for good means: both whole texts are read again and their sets intersected. Pairs within a group
+are never listed: its members are linked already, and only components and set sizes are returned.
 
 Hashes have 64 bits; a wrong decision needs a collision between the two sets that are compared.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.llm.common import id_filter, kept, maybe_in, small_batches, workspace, written
@@ -86,16 +89,16 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
-def differ_at_least(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def differ_at_least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps in the rows of x and y differ, the larger ones folded."""
+    while x.shape[1] > y.shape[1]:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    while y.shape[1] > x.shape[1]:
+        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
-PROFILE = "doc_id long, n_shingles long, n_rare long, class binary, bands array<long>, bitmap binary, prefix array<long>"
+PROFILE = "doc_id long, text_hash long, n_shingles long, n_rare long, class binary, bands array<long>, bitmap binary, prefix array<long>"
 
 
 def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
@@ -104,8 +107,8 @@ def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) ->
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for texts in chunks(x.as_py() or "" for x in batch.column(1)):
+            rows = []
+            for texts in chunks(x.as_py() or "" for x in batch.column(2)):
                 for s in shingle_sets(texts, width):
                     n = len(s)
                     if not n:
@@ -120,32 +123,34 @@ def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) ->
                     rows.append((n, int((common == 0).sum()), key, bands, bitmap(s), prefix))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_shingles", "n_rare", "class", "bands", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "text_hash", "n_shingles", "n_rare", "class", "bands", "bitmap", "prefix"])
 
     return docs.mapInArrow(profile, PROFILE)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of document ids whose sets reach the threshold. Texts come from a scan of
-    ``docs`` that an id filter of bounded size narrows to the pairs' documents."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold. Texts come from a scan of ``docs`` that
+    an id filter of bounded size narrows to the rows that stand for the pairs' classes."""
     pairs = pairs.select("a", "b")
-    texts = maybe_in(docs, "doc_id", id_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep"), "asked")
+    texts = maybe_in(docs, id_filter(asked, "doc_id", "text_hash"), "doc_id", "text_hash").join(asked, ["doc_id", "text_hash"])
+    texts = texts.groupBy("rep").agg(F.first("text").alias("text"))  # rows that repeat an id and a text
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, other = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept = np.zeros(len(a), dtype=bool)
+            b = batch.column(1).to_pylist()
+            links = np.zeros(len(b), dtype=bool)
             at = 0
             for texts in chunks(x.as_py() for x in batch.column(2)):
                 for s in shingle_sets(texts, width):
                     if b[at] != last:
                         last, other = b[at], next(shingle_sets([batch.column(3)[at].as_py()], width))
                     both = len(s) + len(other) - len(np.union1d(s, other))
-                    kept[at] = t.denominator * both >= t.numerator * (len(s) + len(other) - both)
+                    links[at] = t.denominator * both >= t.numerator * (len(s) + len(other) - both)
                     at += 1
-            yield batch.select([0, 1]).filter(pa.array(kept))
+            yield batch.select([0, 1]).filter(pa.array(links))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
@@ -155,70 +160,104 @@ def near(pairs: DataFrame, t: Fraction) -> DataFrame:
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("bitmap_a", "bitmap_b", "n_a", "n_b")), strict=True):
-                # J >= t with n + m tokens: at most (n + m) (1 - t) / (1 + t) of them are in one set only
-                keep.append(differ_at_least(x, y) * (t.denominator + t.numerator) <= (n + m) * (t.denominator - t.numerator))
+            x, y = batch.column("bitmap_a").to_pylist(), batch.column("bitmap_b").to_pylist()
+            n = np.array(batch.column("n_a")) + np.array(batch.column("n_b"))
+            apart = np.zeros(len(x), dtype=np.int64)
+            of_sizes: dict[tuple[int, int], list[int]] = {}
+            for i, sizes in enumerate(zip(map(len, x), map(len, y), strict=True)):
+                of_sizes.setdefault(sizes, []).append(i)
+            for at in of_sizes.values():
+                apart[at] = differ_at_least(*(np.frombuffer(b"".join(z[i] for i in at), dtype=np.uint8).reshape(len(at), -1) for z in (x, y)))
+            # J >= t with n tokens in both together: at most n (1 - t) / (1 + t) of them are in one set only
+            keep = apart * (t.denominator + t.numerator) <= n * (t.denominator - t.numerator)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(sift, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, threshold: str | Fraction = "0.8") -> DataFrame:
+def ceil_of(share: Fraction, n: Column) -> Column:
+    """ceil(share n) for whole numbers n >= 0."""
+    return F.floor((F.lit(share.numerator) * n + (share.denominator - 1)) / share.denominator).cast("long")
+
+
+def least_shared(t: Fraction, larger: Column, smaller: Column) -> Column:
+    """How many tokens the prefixes of two sets of these sizes share at least if the sets reach ``t``."""
+    both = t / (1 + t)
+    return ceil_of(both, larger + smaller) - F.greatest(ceil_of(t, larger), ceil_of(2 * both, smaller)) + 1
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, threshold: str | Fraction = "0.8", with_text_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the links with Jaccard similarity of at least
     ``threshold`` between sets of ``width``-word shingles; component_id is the smallest id in it.
+    ``with_text_hash``: text_hash too, Spark's xxhash64 of the text, which tells rows of one id apart.
 
     A text with fewer words is one shingle; one that is null or has no word has none, links with nothing
-    and is its own component. Equal texts link. Rows that repeat an id count as one document each and get
-    one component; a row with a null id stays alone, with a null component. Other columns are ignored.
+    and is its own component. Equal texts link. Rows that repeat an id count as one document each: what one
+    of them links with says nothing of the others. A row with a null id stays alone, with a null component.
+    Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     t = Fraction(threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with workspace(docs.sparkSession, "jaccard"):
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    with workspace(spark, "jaccard"), small_batches(spark):
         profile = written(profiles(docs, width, t, token_classes(docs, width)), "profiles")
         linked = profile.where("class is not null and doc_id is not null")
-        classes = written(linked.groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-        # The rows that stand for their classes, at once with the row id's own columns.
-        reps = written(linked.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"]).dropDuplicates(["doc_id"]).drop("class").withColumnRenamed("doc_id", "rep"), "reps")
+        # A class has a number of its own: its rows' ids may have other texts too.
+        first = linked.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
+        classes = written(first.select("class", "f.doc_id", "f.text_hash", F.monotonically_increasing_id().alias("rep")), "classes")
+        reps = written(linked.join(classes, ["class", "doc_id", "text_hash"]).dropDuplicates(["rep"]).drop("class"), "reps")
 
         # Groups of similar classes.
         # A band's pivot is the class that shares most bands with others, of those the one with the fewest
         # rare tokens: the text that copies were made from, if it is there, shares all and has none.
-        banded = written(reps.select("rep", F.col("n_shingles").alias("n"), "n_rare", F.explode("bands").alias("band")), "bands")
+        banded = written(reps.select("rep", "doc_id", F.col("n_shingles").alias("n"), "n_rare", F.explode("bands").alias("band")), "bands")
         crowds = written(banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "crowds")
         shared_bands = written(banded.join(crowds, "band"), "shared-bands")
         scores = written(shared_bands.groupBy("rep").agg(F.sum("c").alias("score")), "scores")
-        rank = F.struct(F.col("score"), (-F.col("n_rare")).alias("common"), (-F.col("rep")).alias("first"), F.col("n"))
-        pivots = written(shared_bands.join(scores, "rep").groupBy("band").agg(F.max(rank).alias("p")).select("band", (-F.col("p.first")).alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+        rank = F.struct(F.col("score"), (-F.col("n_rare")).alias("common"), (-F.col("doc_id")).alias("first"), F.col("rep"), F.col("n"))
+        pivots = written(shared_bands.join(scores, "rep").groupBy("band").agg(F.max(rank).alias("p")).select("band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
         banded = shared_bands.select("rep", "n", "band")
         fits = (t.numerator * F.greatest("n", "pivot_n") <= t.denominator * F.least("n", "pivot_n")) & (F.col("rep") != F.col("pivot"))
-        first = banded.join(pivots, "band").where(fits).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = written(verified(written(first, "pairs"), docs, width, t), "links")
+        near_pivot = banded.join(pivots, "band").where(fits).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        links = written(verified(written(near_pivot, "pairs"), reps, docs, width, t), "links")
         groups = components(links).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+        grouped = written(reps.select("rep", F.col("n_shingles").alias("n"), "prefix").join(groups, "rep", "left").select("rep", F.coalesce("grp", "rep").alias("grp"), "n", "prefix"), "grouped")
 
         # The matrix of tokens and groups; only tokens in two groups or more can open one.
-        grouped = written(reps.select("rep", "n_shingles", "prefix").join(groups, "rep", "left").select("rep", F.coalesce("grp", "rep").alias("grp"), F.col("n_shingles").alias("n"), "prefix"), "grouped")
         rows = grouped.select("rep", "grp", "n", F.posexplode("prefix").alias("pos", "token"))
-        matrix = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-        shared = written(matrix.where("lo <> hi").select("token"), "shared-tokens")
-        opened = written(maybe_in(rows, "token", id_filter(shared, "token")).join(shared, "token"), "open-rows")
-        x, y = (opened.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "grp", "n", "pos"))) for s in "ab")
-        # a is the larger set. J >= t asks for an overlap of t / (1 + t) (n_a + n_b); the first token that two
-        # sets share leaves at most the tokens from there on in either of them.
-        larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") > F.col("rep_b")))
+        shared = written(rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token"), "shared-tokens")
+        band = F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / t) * (1 + 1e-9))).cast("int")  # sizes that can link are in one band or the next
+        queries = written(maybe_in(rows, id_filter(shared, "token"), "token").join(shared, "token").withColumn("size_band", band), "query-tokens")
+        union = written(queries.where(F.col("pos") <= F.col("n") - ceil_of(2 * t / (1 + t), F.col("n"))), "union-tokens")
+        matrix = written(union.groupBy("token", "size_band", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest")), "matrix")
+
+        # Which groups each class opens: the class is the larger set, or the two are of one size.
+        least = F.greatest(F.col("lo"), ceil_of(t, F.col("n")))
+        reach = (t.denominator + t.numerator) * F.least(F.col("n") - F.col("pos"), F.col("rest")) >= t.numerator * (F.col("n") + least)
+        asking = queries.select("rep", F.col("grp").alias("own"), "n", "pos", "token", F.explode(F.array(F.col("size_band"), F.col("size_band") - 1)).alias("size_band"))
+        met = asking.join(matrix, ["token", "size_band"]).where((F.col("own") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (t.numerator * F.col("n") <= t.denominator * F.col("hi")))
+        counted = met.withColumn("reach", reach).groupBy("rep", "own", "n", "grp", "size_band").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("reach").alias("reach"))
+        low, high = F.greatest(F.col("lo"), ceil_of(t, F.col("n"))), F.least(F.col("hi"), F.col("n"))
+        bound = F.least(least_shared(t, F.col("n"), low), least_shared(t, F.col("n"), high)) - F.when(low < high, 1).otherwise(0)  # the least between is at an end, but for rounding
+        opened = written(counted.where(F.col("reach") & (F.col("c") >= bound)).select("rep", "own", "grp", "size_band"), "open-groups")
+
+        # Members of the opened groups.
+        mine = opened.join(queries.select("rep", F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "token"), "rep")
+        theirs = union.select("grp", "size_band", "token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+        larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep") > F.col("b")))
         size = t.numerator * F.col("n_a") <= t.denominator * F.col("n_b")
-        reach = (t.denominator + t.numerator) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= t.numerator * (F.col("n_a") + F.col("n_b"))
-        pairs = x.join(y, "token").where((F.col("grp_a") != F.col("grp_b")) & larger & size & reach).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.first("grp_a").alias("grp_a"), F.first("grp_b").alias("grp_b"))
-        pairs = written(pairs, "open-pairs")
-        facts_a, facts_b = (reps.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab")
+        ahead = (t.denominator + t.numerator) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= t.numerator * (F.col("n_a") + F.col("n_b"))
+        shared_by = mine.join(theirs, ["grp", "size_band", "token"]).where(larger & size).withColumn("ahead", ahead)
+        pairs = shared_by.groupBy(F.col("rep").alias("a"), "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("ahead").alias("ahead"), F.first("own").alias("grp_a"), F.first("grp").alias("grp_b"))
+        pairs = written(pairs.where(F.col("ahead") & (F.col("c") >= least_shared(t, F.col("n_a"), F.col("n_b")))), "open-pairs")
+        facts_a, facts_b = (reps.select(F.col("rep").alias(s), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab")
         sifted = written(near(pairs.join(facts_a, "a").join(facts_b, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), t), "near-pairs")
-        more = verified(sifted, docs, width, t).join(pairs, ["a", "b"]).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
+        more = verified(sifted, reps, docs, width, t).join(pairs, ["a", "b"]).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
         merged = components(more).select(F.col("node").alias("grp"), F.col("component").alias("top"))
 
-        found = written(
-            classes.join(grouped.select("rep", "grp").join(merged, "grp", "left").select("rep", F.coalesce("top", "grp").alias("component_id")), "rep").select("class", "component_id"),
-            "class-components",
-        )
+        part = written(grouped.select("rep", "grp").join(merged, "grp", "left").select("rep", F.coalesce("top", "grp").alias("part")).join(classes, "rep"), "class-parts")
+        smallest = written(part.groupBy("part").agg(F.min("doc_id").alias("component_id")), "smallest-ids")
+        found = written(part.join(smallest, "part").select("class", "component_id"), "class-components")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-        return kept(profile.select("doc_id", "n_shingles", "class").join(found, "class", "left").select(F.col("doc_id").alias(id_col), "n_shingles", component), "jaccard-result")
+        out = profile.select("doc_id", "text_hash", "n_shingles", "class").join(found, "class", "left")
+        return kept(out.select(F.col("doc_id").alias(id_col), "n_shingles", component, *["text_hash"] * with_text_hash), "jaccard-result")
