@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import written
+from reefline.llm.common import kept, workspace, written
 from reefline.llm.graph import components
 
-#: Rows drawn to choose pivots from, and pivots at most: what the driver and the tasks hold.
-SAMPLE = 2048
-PIVOTS = 256
+#: Pivots at most, the rows drawn to choose one, and numbers in either at most: what the driver and the
+#: tasks hold. There is about one pivot for ``cell_rows`` rows, so cells grow only beyond this many of them.
+PIVOTS = 2048
+SAMPLE = 8
+NUMBERS = 1 << 23
 #: Visitors that are compared at once.
 STRIP = 256
 
@@ -72,9 +74,12 @@ def pivots_for(classes: DataFrame, cell_rows: int) -> dict[int, np.ndarray]:
     sizes = {r[0]: r[1] for r in classes.groupBy(size.alias("s")).count().collect()}
     out = {}
     for s, n in sizes.items():
-        drawn = classes.where((size == s) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1, SAMPLE / n) * (1 << 30)))).select("unit").limit(2 * SAMPLE)
+        most = max(NUMBERS // (s // 8), 1)
+        pivots = min(PIVOTS, 1 + n // cell_rows, max(most // SAMPLE, 1))
+        rows = max(SAMPLE * pivots, min(2048, most))
+        drawn = classes.where((size == s) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1, rows / n) * (1 << 30)))).select("unit").limit(2 * rows)
         sample = np.array([np.frombuffer(r[0], "<f8") for r in drawn.collect()] or [np.eye(1, s // 8)[0]])
-        out[s] = spread(sample, min(PIVOTS, 1 + n // cell_rows))
+        out[s] = spread(sample, pivots)
     return out
 
 
@@ -138,15 +143,22 @@ def near_vectors(
     n_links counts the other vectors linked directly, component_id is the smallest id reachable by links,
     kept says whether it is the row's own. A vector that is null, empty or zero, or holds a null or
     non-finite component, and one without a label, links with nothing; vectors of different lengths don't
-    link. Rows that repeat an id count as one vector each and share a component. A row with a null id
-    links with nothing. Other columns are ignored.
+    link. Rows that repeat an id count as one vector each, with links and a component of their own. A row
+    with a null id links with nothing. Other columns are ignored; an empty table gives no rows.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine lies between 0 and 1")
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    with workspace(vectors.sparkSession, "embeddings"):
+        return kept(_linked(source, cosine, cell_rows, block_rows).withColumnRenamed("vec_id", id_col), "embedding-result")
+
+
+def _linked(source: DataFrame, cosine: float, cell_rows: int, block_rows: int) -> DataFrame:
     rows = written(prepared(source), "vectors")
     valid = rows.where("key is not null and vec_id is not null")
-    classes = written(valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("unit").alias("unit")), "vector-classes")
+    # A class has a number of its own: ids may repeat with other vectors.
+    classes = valid.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     pivots = pivots_for(classes, cell_rows)
     r = float(np.sqrt(2 - 2 * cosine)) + 1e-9
 
@@ -156,12 +168,14 @@ def near_vectors(
             by_size: dict[int, list[int]] = {}
             for i, u in enumerate(units):
                 by_size.setdefault(len(u), []).append(i)
-            for s, at in by_size.items():
+            # So many vectors at once that their distances to all pivots take 16 MB.
+            strips = [(s, at[k : k + step]) for s, at in by_size.items() for step in [max(1, (1 << 21) // len(pivots[s]))] for k in range(0, len(at), step)]
+            for s, at in strips:
                 x, p = np.frombuffer(b"".join(units[i] for i in at), "<f8").reshape(len(at), -1), pivots[s]
                 d2 = np.maximum(2 - 2 * x @ p.T, 0)
                 home = d2.argmin(1)
                 own = d2[np.arange(len(at)), home][:, None]
-                apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-12))[home]
+                apart = np.sqrt(np.maximum(2 - 2 * p[home] @ p.T, 1e-12))
                 visits = (np.sqrt(d2) <= np.sqrt(own) + 2 * r) & ((d2 - own) / (2 * apart) <= r)
                 visits[np.arange(len(at)), home] = True
                 i, cell = np.nonzero(visits)
@@ -184,11 +198,11 @@ def near_vectors(
     found = written(blocks.groupBy("label", "cell", "h", "v").applyInPandas(block_links(cosine), "rep long, n long, part long"), "vector-links")
     parts = components(found, "rep", "part").select(F.col("node").alias("rep"), "component")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    part = written(classes.select("key", "rep", "first", "weight").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "class-parts")
+    smallest = written(part.groupBy("component").agg(F.min("first").alias("component_id")), "smallest-ids")
     per_class = written(
-        classes.select("key", "rep", "weight").join(counts, "rep", "left").join(parts, "rep", "left")
-        .select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
-        "class-links",
-    )
+        part.join(smallest, "component").join(counts, "rep", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "class-links"
+    )
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(per_class, "key", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -52,3 +52,11 @@ def test_null_and_repeated_ids_and_empty(spark):
     df = spark.createDataFrame([(4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.01], 1)], schema)
     rows = sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()), key=str)
     assert rows == sorted([("4", 2, 3, False), ("4", 2, 3, False), ("None", 0, None, False), ("3", 2, 3, True)], key=str)
+
+
+@pytest.mark.parametrize("kw", [{}, {"cell_rows": 2, "block_rows": 2}])
+def test_repeated_ids_with_other_vectors(spark, kw):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (3, [1.0, 0.01], 1), (4, [0.01, 1.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df, **kw).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (4, 1, 1, False)]
