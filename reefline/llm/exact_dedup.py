@@ -1,9 +1,12 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Rows are logged with the digest of their normalised text. Memtables (disjoint hash ranges of the row
-ids) flush sorted runs of (digest, smallest or largest id, rows) as Parquet with a Bloom filter on the
-digest; compaction merges the runs; digests with more than one row are hits, whose texts are compared
-byte for byte before they count as equal.
+Rows are logged with the digest of their normalised text. Each batch is dealt into memtables; a memtable
+flushes a sorted run of (digest, smallest and largest id, rows) with a Bloom filter on the digest. A level
+that has ``fanout`` runs is compacted into one run of the next level: digests that no other run's filter
+knows pass through unshuffled, only the others are grouped. Batches may be added to an index at any time.
+
+Hits are digests with more than one row. Rows find them through a filter, so the texts that nothing equals
+are never joined; the texts of hits are compared byte for byte before they count as equal.
 
 Skew: every aggregation combines before its shuffle, so a text that a third of all rows share crosses
 the network once per task, and the one join on the digest can be split by adaptive execution.
@@ -12,32 +15,84 @@ the network once per task, and the one join on the digest can be split by adapti
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import ascii_lower, id_filter, kept, maybe_in, workspace, written
+from reefline.llm.common import IdFilter, ascii_lower, flagged, id_filter, kept, maybe_in, workspace, written
+
+RUN = ("_digest", "_low", "_high", "_n")
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def memtable_runs(log: DataFrame, memtables: int, keep: str) -> DataFrame:
-    """Flushes each memtable as a sorted run: a row for each digest in it."""
-    pick = F.max if keep == "largest" else F.min
-    flushed = (
-        log.groupBy(F.pmod(F.xxhash64("_id"), F.lit(memtables)).cast("int").alias("_run"), "_digest")
-        .agg(pick("_id").alias("_keep"), F.count("*").alias("_n"))
-        .sortWithinPartitions("_run", "_digest")
-    )
-    return written(flushed, "lsm-runs", **{"parquet.bloom.filter.enabled#_digest": "true"})
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows of runs, one for each digest: its smallest and largest identifier and how many rows have it."""
+    return rows.groupBy("_digest").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("_n").alias("_n"))
+
+
+@dataclass
+class Run:
+    rows: DataFrame  # sorted by digest within its files
+    filter: IdFilter
+
+    @staticmethod
+    def flush(rows: DataFrame, name: str) -> Run:
+        """Writes a run and its filter; Parquet keeps the range of digests of each file and row group."""
+        stored = written(rows.sortWithinPartitions("_digest"), name, **{"parquet.bloom.filter.enabled#_digest": "true"})
+        found = id_filter(stored, "_digest")
+        return Run(stored, IdFilter(written(found.bitmaps.coalesce(1), f"{name}-filter"), found.bits))
+
+
+def split(run: Run, others: list[Run]) -> tuple[DataFrame, DataFrame]:
+    """(rows of a run that no other run's filter knows, the rest)."""
+    marked = run.rows.withColumn("_known", F.lit(False))
+    for o in others:
+        marked = flagged(marked, o.filter, "_digest").select("__row.*", "__maybe").withColumn("_known", F.col("_known") | F.col("__maybe")).drop("__maybe")
+    return marked.where("not _known").select(*RUN), marked.where("_known").select(*RUN)
+
+
+def compact(runs: list[Run], name: str) -> Run:
+    """One run of all. A digest that only one run can have passes through; the others are grouped."""
+    parts = [split(r, [o for o in runs if o is not r]) for r in runs]
+    alone, shared = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
+    return Run.flush(alone.unionByName(merged(shared)), name)
+
+
+@dataclass
+class LsmIndex:
+    """Runs by level. Its tables are in the workspace of the caller, or in the shared folder without one."""
+
+    memtables: int = 4
+    fanout: int = 4
+    levels: list[list[Run]] = field(default_factory=list)
+
+    def add(self, log: DataFrame) -> None:
+        """Adds a written batch of (_id, _digest); a memtable holds the rows of a range of id hashes."""
+        run = F.pmod(F.xxhash64("_id"), F.lit(self.memtables))
+        for k in range(self.memtables):
+            own = log.where(run == k).select("_digest", F.col("_id").alias("_low"), F.col("_id").alias("_high"), F.lit(1).cast("long").alias("_n"))
+            self._put(Run.flush(merged(own), "lsm-run"), 0)
 
+    def _put(self, run: Run, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            runs, self.levels[level] = self.levels[level], []
+            self._put(compact(runs, f"lsm-level{level + 1}"), level + 1)
 
-def compacted(runs: DataFrame, keep: str) -> DataFrame:
-    """Merges all runs into one level: a row for each digest with the identifier that stays."""
-    pick = F.max if keep == "largest" else F.min
-    return runs.groupBy("_digest").agg(pick("_keep").alias("_keep"), F.sum("_n").alias("_n"))
+    def run(self) -> Run | None:
+        """One run of all levels: what a major compaction leaves."""
+        runs = [r for level in self.levels for r in level]
+        if len(runs) > 1:
+            runs = [compact(runs, "lsm-major")]
+            self.levels = [[] for _ in self.levels] + [runs]
+        return runs[0] if runs else None
 
 
 def exact_dedup(
@@ -59,27 +114,33 @@ def exact_dedup(
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
-    pick = F.max if keep == "largest" else F.min
+    pick, side = (F.max, "_high") if keep == "largest" else (F.min, "_low")
     norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col))
     with workspace(df.sparkSession, "lsm"):
         log = written(source.select("_id", digest(norm).alias("_digest")), "lsm-log")
-        index = written(compacted(memtable_runs(log, memtables, keep), keep), "lsm-index")
-        merged = written(log.join(index, "_digest", "left").select("_id", "_digest", "_keep", "_n"), "lsm-merged")
+        index = LsmIndex(memtables, max(memtables, 2))
+        index.add(log)
+        # Rows find the hits through their filter.
+        hits = written(index.run().rows.where("_n > 1").select("_digest", F.col(side).alias("_keep"), "_n"), "lsm-hits")
+        marked = flagged(log, id_filter(hits, "_digest"), "_digest")
+        found = marked.where("__maybe").select("__row.*").join(hits, "_digest", "left").select("_id", "_digest", F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_n", F.lit(1)).alias("_n"))
+        found = written(found, "lsm-found")
+        single = marked.where("not __maybe").select("__row.*").select("_id", "_digest", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"))
 
         # Byte verification: the texts of hits are grouped by their bytes, copies combined before the shuffle.
-        hits = merged.where("_n > 1").select("_id")
-        texts = maybe_in(source, "_id", id_filter(hits, "_id")).select("_id", norm.alias("_norm"))
-        verified = texts.groupBy(digest(F.col("_norm")).alias("_digest"), "_norm").agg(pick("_id").alias("_vkeep"), F.count("*").alias("_vn"))
+        asked = found.where("_n > 1").select("_id")
+        texts = maybe_in(source, id_filter(asked, "_id"), "_id").select("_id", norm.alias("_norm"))
+        verified = texts.groupBy(digest(F.col("_norm")).alias("_digest"), "_norm").agg(F.count("*").alias("_vn"))
         clashes = written(verified.groupBy("_digest").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_digest"), "lsm-clashes")
-        out = merged.select("_id", "_digest", "_keep", "_n")
+        out = found
         if not clashes.isEmpty():
             # Digests that several texts share: those rows are grouped by their texts instead.
-            alone = merged.join(clashes, "_digest", "left_anti").select("_id", "_digest", "_keep", "_n")
+            alone = found.join(clashes, "_digest", "left_anti").select("_id", "_digest", "_keep", "_n")
             rows = source.select("_id", norm.alias("_norm")).withColumn("_digest", digest(F.col("_norm"))).join(clashes, "_digest", "left_semi")
             groups = rows.groupBy("_norm").agg(pick("_id").alias("_keep"), F.count("*").alias("_n"))
             out = alone.unionByName(rows.join(groups, "_norm").select("_id", "_digest", "_keep", "_n"))
-        out = out.select(
+        out = single.unionByName(out).select(
             F.col("_id").alias(id_col),
             F.col("_keep").alias("keep_id"),
             F.col("_n").alias("group_size"),
