@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import small_batches
+from reefline.llm.common import kept, small_batches, workspace
 
 #: First code points of the script ranges, and their scripts.
 SCRIPTS = (
@@ -112,8 +112,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(feature), pa.array(seen[lang, feature])], ["lang", "feature", "n"])
 
     counts = np.zeros((len(langs), (1 << BITS) + len(_NAMES)))
-    for r in drawn.mapInArrow(count, "lang long, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.lang, r.feature] = r.n
+    with small_batches(labelled.sparkSession):
+        for r in drawn.mapInArrow(count, "lang long, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r.lang, r.feature] = r.n
     grams, scripts = counts[:, : 1 << BITS], counts[:, 1 << BITS :]
     score = np.log((grams + 0.1) / (grams.sum(1, keepdims=True) + 0.1 * (1 << BITS)))
     score -= score.max(0, keepdims=True)  # only differences matter
@@ -184,13 +185,14 @@ def viterbi(emit: np.ndarray, words: np.ndarray, switch: float) -> np.ndarray:
 RESULT = "lang_pred string, score double, n_words long, spans array<struct<lang:string,start:int,words:int>>"
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, with_spans: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, with_spans: bool = True, lazy: bool = False) -> DataFrame:
     """(id, lang_pred, score, n_words, spans): the language that holds the most letters, its share of
     the letters, the number of words (runs of letters), and the labelled spans of words.
 
     A text that is null or has no letter is "und" with score 0 and no spans, and so is every text if the
     model learned no language. Ties go to the language that sorts first. Rows that repeat an id are
-    judged each for itself. Other columns are ignored. ``with_spans``: else spans is null.
+    judged each for itself. Other columns are ignored. ``with_spans``: else spans is null. ``lazy``: a plan
+    for the caller to write, else a written table.
     """
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     ["_id", "lang_pred", "score", "n_words", "spans"],
                 )
 
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(label, f"_id {kind}, {RESULT}").withColumnRenamed("_id", id_col)
+    labelled = source.mapInArrow(label, f"_id {kind}, {RESULT}").withColumnRenamed("_id", id_col)
+    if lazy:
+        return labelled
+    with workspace(docs.sparkSession, "languages"), small_batches(docs.sparkSession):
+        return kept(labelled, "languages-result")

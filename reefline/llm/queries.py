@@ -34,8 +34,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = language_id.train(docs.where(remainder != 0))
-    return language_id.identify(docs, model, with_spans=False).select(
-        "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words"
+    span = lambda x: F.concat_ws("", x["lang"], F.lit(":"), x["start"], F.lit("+"), x["words"])
+    return language_id.identify(docs, model).select(
+        "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words", F.array_join(F.transform("spans", span), ",").alias("spans")
     )
 
 
@@ -71,6 +72,31 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY h)
 """
 
+def _list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_NOTICES = ", ".join(
+    f"({k}, '{t.label}', '{t.family or k}', {t.stride}, {license_scan.needed(t, 0.8)}, {_list(tuple(sorted(set(t.words))))})" for k, t in enumerate(license_scan.NOTICES)
+)
+_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, '{t.label}' AS label, unnest([CAST(i - 1 AS BIGINT) FOR i IN range(1, len(w) + 1) IF w[i:i + {len(t.words) - 1}] = {_list(t.words)}]) AS pos FROM d" for t in license_scan.PHRASES
+)
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(k, label, family, stride, need, words) AS (VALUES {_NOTICES}),
+b AS (SELECT doc_id, stride, block, list_distinct(w[block * stride + 1:(block + 2) * stride]) AS s
+      FROM (SELECT doc_id, w, stride, unnest(range(0, CAST(ceil(len(w) / stride) AS BIGINT))) AS block FROM d, (SELECT DISTINCT stride FROM t))),
+m AS (SELECT doc_id, label, len(list_intersect(s, words)) / CAST(len(words) AS DOUBLE) AS share, stride, block, family, need, len(words) AS n FROM b JOIN t USING (stride)),
+q AS (SELECT doc_id, label, NULL AS pos, share FROM m WHERE share * n >= need - 0.5 QUALIFY share = max(share) OVER (PARTITION BY doc_id, stride, block, family)),
+f AS (SELECT doc_id, label, pos, 1.0 AS share FROM ({_PLACES}) UNION ALL SELECT * FROM q),
+a AS (SELECT doc_id, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word, max(share) AS score,
+             coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (pos IS NOT NULL)), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM f GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -125,4 +151,4 @@ c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1), n AS (SELECT a, c
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
 """
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_license_scan": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}

@@ -50,14 +50,18 @@ def test_notices(spark, empty):
 def brute_notices(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
     labels = {t.label for t in S.PHRASES if t.text in " ".join(words)}
-    for k in range(0, max(len(words), 1), S.STRIDE):
-        block = set(words[k : k + 2 * S.STRIDE])
-        shares = {t: len(block & set(t.words)) / len(set(t.words)) for t in S.NOTICES}
-        best = {}
-        for t, share in shares.items():
-            best[t.family or t.text] = max(best.get(t.family or t.text, 0.8), share)
-        labels |= {t.label for t, share in shares.items() if share >= best[t.family or t.text]}
-    return ",".join(sorted(labels))
+    score = 1.0 if labels else 0.0
+    for stride in {t.stride for t in S.NOTICES}:
+        for k in range(0, max(len(words), 1), stride):
+            block = set(words[k : k + 2 * stride])
+            shares = {t: len(block & set(t.words)) / len(set(t.words)) for t in S.NOTICES if t.stride == stride}
+            best = {}
+            for t, share in shares.items():
+                best[t.family or t.text] = max(best.get(t.family or t.text, 0.8), share)
+            found = {t: share for t, share in shares.items() if share >= best[t.family or t.text]}
+            labels |= {t.label for t in found}
+            score = max([score, *found.values()])
+    return ",".join(sorted(labels)), score
 
 
 def test_all_notices_of_a_block(spark):
@@ -71,6 +75,25 @@ def test_all_notices_of_a_block(spark):
         f"licensed under the gnu lesser general public license; {bsd.replace('forms', 'form')}",
         *[t.text for t in S.NOTICES],
     ]
-    got = {r.doc_id: r.labels for r in S.scan(docs_of(spark, own)).collect()}
+    got = {r.doc_id: (r.labels, r.score) for r in S.scan(docs_of(spark, own)).collect()}
     assert got == {i: brute_notices(t) for i, t in enumerate(own)}
-    assert got[0] == "apache,apache-2.0,bsd" and got[1] == "apache,apache-2.0,isc" and got[3] == "gpl,gpl-3.0"
+    assert got[0][0] == "apache,apache-2.0,bsd" and got[1][0] == "apache,apache-2.0,isc" and got[3][0] == "gpl,gpl-3.0"
+
+
+def test_whole_licenses(spark):
+    """Texts of more words than the least stride, anywhere in a text, with words changed or left out."""
+    long = [t for t in S.NOTICES if len(t.words) > S.STRIDE]
+    assert long
+    own = []
+    for k, t in enumerate(long):
+        words = list(t.words)
+        own += [f"{prose(k, 37)} {t.text} {prose(k + 1, 300)}", " ".join(w for i, w in enumerate(words) if i % 9), " ".join(words[: len(words) // 2]), f"{prose(k, 250)} {' '.join(words[::-1])}"]
+    got = {r.doc_id: (r.labels, r.score) for r in S.scan(docs_of(spark, own)).collect()}
+    assert got == {i: brute_notices(t) for i, t in enumerate(own)}
+    assert all(t.label in got[4 * k][0].split(",") and got[4 * k][1] == 1.0 for k, t in enumerate(long))
+
+
+def test_rows_of_one_id_keep_their_words_apart(spark):
+    half = S.NOTICES[0].text.split()
+    df = spark.createDataFrame([(1, " ".join(half[:4])), (1, " ".join(half[4:])), (None, "mit license"), (None, "x"), (2, S.NOTICES[0].text)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.labels) for r in S.scan(df).collect()) == [("1", ""), ("1", ""), ("2", "gpl,gpl-3.0"), ("None", ""), ("None", "mit")]
