@@ -7,16 +7,21 @@ category give. Where a category has fewer tokens than its target asks for, all o
 margin's other categories share the rest in proportion to their targets.
 
 Raking needs the cells only. Up to ``max_cells`` of them the driver rakes (their number is counted
-first); beyond that each step is a DataFrame aggregation and the cells stay distributed.
+first); beyond that each step is a DataFrame aggregation and the cells stay distributed. Both take the same
+steps, so probabilities differ by no more than the order of sums does. Where the margins aren't met when the
+rounds end, a warning says by how much.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import written
+from reefline.llm.common import kept, workspace, written
 
 MAX_CELLS = 200_000
 ROUNDS = 60
@@ -41,6 +46,11 @@ def topic_of(text: Column) -> Column:
     return out.when(F.contains(text, F.lit("%%% ")) | F.contains(text, F.lit("!! ")), "noise").otherwise("prose")
 
 
+def unmet(what: str, worst: float, tolerance: float) -> None:
+    if worst >= max(tolerance, 1e-6):
+        warnings.warn(f"raking of {what} ended with a margin off by a share of {worst:.2g}: the targets exclude each other", stacklevel=3)
+
+
 def rake(tokens: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
     """Token weights of the cells whose sums by each margin match its target shares.
 
@@ -60,6 +70,7 @@ def rake(tokens: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray
             w *= factor[member]
         if worst < TOLERANCE:
             break
+    unmet("weights", worst, TOLERANCE)
     return w
 
 
@@ -68,17 +79,20 @@ def tempered(tokens: np.ndarray, temperature: float) -> np.ndarray:
     return p / p.sum() if p.sum() else p
 
 
+def bisected(reached: Callable[[float], float], reach: float, top: float) -> float:
+    """s with reached(s) = reach, or all there is (``top``) where that is less."""
+    low, high = 0.0, 1.0
+    while reached(high) < min(reach, top * (1 - 1e-12)) and high < 1e12:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if reached(mid) < reach else (low, mid)
+    return high
+
+
 def scale_for(tokens: np.ndarray, ratio: np.ndarray, share: float) -> float:
     """s with sum(tokens min(1, s ratio)) = share sum(tokens)."""
-    order = np.argsort(-ratio, kind="stable")
-    t, r = tokens[order].astype(np.float64), ratio[order]
-    goal = share * t.sum()
-    full, rest = np.concatenate([[0], np.cumsum(t)]), np.concatenate([np.cumsum((t * r)[::-1])[::-1], [0]])
-    for k in range(len(t)):
-        s = (goal - full[k]) / rest[k] if rest[k] > 0 else np.inf
-        if s * r[k] <= 1 or not np.isfinite(s):
-            return float(s)
-    return float(1 / r[r > 0].min()) if (r > 0).any() else 1.0
+    return bisected(lambda s: float((tokens * np.minimum(1.0, s * ratio)).sum()), share * float(tokens.sum()), float(tokens[ratio > 0].sum()))
 
 
 def bounded(tokens: np.ndarray, ratio: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], share: float) -> np.ndarray:
@@ -105,20 +119,14 @@ def bounded(tokens: np.ndarray, ratio: np.ndarray, members: list[np.ndarray], ta
             p = p * np.where(want > fixed, up, down)[member]
         if worst < BOUND_TOLERANCE:
             break
+    unmet("probabilities", worst, BOUND_TOLERANCE)
     return np.minimum(1.0, p * scale_for(tokens, p, share))
 
 
 def scale_of(df: DataFrame, reach: float) -> float:
     """s with sum(tokens min(1, s weight)) = reach, or all tokens with a weight where there are fewer."""
-    kept = lambda s: df.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s))).first()[0] or 0.0
-    top = (df.agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens")))).first()[0] or 0) * (1 - 1e-12)
-    low, high = 0.0, 1.0
-    while kept(high) < min(reach, top) and high < 1e12:
-        high *= 2
-    for _ in range(50):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kept(mid) < reach else (low, mid)
-    return high
+    total = lambda c: float(df.agg(F.sum(c)).first()[0] or 0.0)
+    return bisected(lambda s: total(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s)), reach, total(F.when(F.col("weight") > 0, F.col("tokens"))))
 
 
 def bounded_table(work: DataFrame, goals: dict[str, DataFrame], reach: float) -> DataFrame:
@@ -143,6 +151,7 @@ def bounded_table(work: DataFrame, goals: dict[str, DataFrame], reach: float) ->
             work = written(work.join(factor.select(m, "factor"), m).withColumn("p", F.col("p") * F.col("factor")).drop("factor"), "mix-cells")
         if worst < BOUND_TOLERANCE:
             break
+    unmet("probabilities", worst, BOUND_TOLERANCE)
     scale = scale_of(work.select("tokens", F.col("p").alias("weight")), reach)
     return work.withColumn("probability", F.least(F.lit(1.0), F.col("p") * scale))
 
@@ -191,13 +200,15 @@ def cell_probabilities(cells: DataFrame, margins: dict[str, dict[str, float] | f
             work = written(work.join(factor, m).withColumn("w", F.col("w") * F.col("factor")).drop("factor"), "mix-cells")
         if worst < TOLERANCE:
             break
+    unmet("weights", worst, TOLERANCE)
     work = written(work.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)), "mix-cells")
     return bounded_table(work, goals, share * total).select(*names, "weight", "probability")
 
 
-def uniform(id_text: Column, seed: int) -> Column:
-    """0 to 1 by a hash of the id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_text, F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def uniform(id_text: Column, text: Column, seed: int) -> Column:
+    """0 to 1 by a hash of the id; of the text where the id is null."""
+    own = F.coalesce(id_text, F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def mix(
@@ -221,17 +232,54 @@ def mix(
 
     A null category is the category "". Categories without tokens, or without a target where targets are
     given, get weight 0. A text without words has no tokens; its row goes with its cell. Rows that repeat an
-    id are kept or dropped alike where their cells are. An empty table gives no rows.
+    id are kept or dropped alike where their cells are; rows without one go by their text. Other columns are
+    ignored. An empty table gives no rows.
     """
+    margins, targets = _settings(margins, targets, text_col)
+    with workspace(docs.sparkSession, "mixing"):
+        rows, chances = _chances(docs, id_col, text_col, margins, targets, share, seed, max_cells)
+        out = rows.join(chances, list(margins)).select(F.col("_id").alias(id_col), *margins, "n_tokens", "weight", "probability", (F.col("_u") < F.col("probability")).alias("kept"))
+        return kept(out, "mixed")
+
+
+def sample(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    margins: dict[str, Column] | None = None,
+    targets: dict[str, dict[str, float] | float] | None = None,
+    share: float = 0.7,
+    seed: int = 42,
+    max_cells: int = MAX_CELLS,
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with all their columns. Up to ``max_cells`` cells the cells'
+    probabilities go to the rows, so no row is shuffled."""
+    margins, targets = _settings(margins, targets, text_col)
+    with workspace(docs.sparkSession, "mixing"):
+        _, chances = _chances(docs, id_col, text_col, margins, targets, share, seed, max_cells)
+        chances = kept(chances.select(*[F.col(f"`{m}`").alias(f"_m{i}") for i, m in enumerate(margins)], F.col("probability").alias("_p")), "mix-chances")
+    few = chances.count() <= max_cells
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = docs.select(row, *[_category(c).alias(f"_m{i}") for i, c in enumerate(margins.values())], uniform(F.col(id_col).cast("string"), F.col(text_col), seed).alias("_u"))
+    return rows.join(F.broadcast(chances) if few else chances, [f"_m{i}" for i in range(len(margins))]).where("_u < _p").select("_doc.*")
+
+
+def _settings(margins: dict | None, targets: dict | None, text_col: str) -> tuple[dict[str, Column], dict]:
     margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col(text_col))}
     targets = targets or {"source": 0.5, "lang": 0.5, "topic": 0.7}
     if set(targets) != set(margins):
         raise ValueError("each margin has a target")
-    names = list(margins)
-    rows = docs.select(F.col(id_col).alias("_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(m) for m, c in margins.items()), word_count(F.col(text_col)).alias("n_tokens"))
+    return margins, {m: targets[m] for m in margins}
+
+
+def _category(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _chances(docs: DataFrame, id_col: str, text_col: str, margins: dict[str, Column], targets: dict, share: float, seed: int, max_cells: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their margins, tokens and hash; the cells' weights and probabilities)."""
+    rows = docs.select(F.col(id_col).alias("_id"), *(_category(c).alias(m) for m, c in margins.items()), word_count(F.col(text_col)).alias("n_tokens"), uniform(F.col(id_col).cast("string"), F.col(text_col), seed).alias("_u"))
     rows = written(rows, "mix-rows")
-    cells = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    chances = cell_probabilities(cells, {m: targets[m] for m in names}, share, max_cells)
-    return rows.join(chances, names).select(
-        F.col("_id").alias(id_col), *names, "n_tokens", "weight", "probability", (uniform(F.col("_id").cast("string"), seed) < F.col("probability")).alias("kept")
-    )
+    cells = written(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    return rows, cell_probabilities(cells, targets, share, max_cells)

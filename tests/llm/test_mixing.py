@@ -33,7 +33,7 @@ def test_driver_and_distributed_agree(spark, targets):
     assert len(one) == 60
     for a, b in zip(one, two, strict=True):
         assert (a.doc_id, a.source, a.n_tokens) == (b.doc_id, b.source, b.n_tokens)
-        assert abs(a.weight - b.weight) < 1e-6 and abs(a.probability - b.probability) < 1e-6
+        assert abs(a.weight - b.weight) < 1e-12 and abs(a.probability - b.probability) < 1e-12
         u = int(hashlib.md5(f"42:{a.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
         assert a.kept == (u < a.probability)
     if isinstance(targets["source"], dict):
@@ -76,3 +76,53 @@ def test_what_a_category_lacks_the_others_give(spark, max_cells):
     sums = {v: sum(r.probability for r in got if v in (r.source, r.lang)) for v in ("src0", "src1", "src2", "en", "de")}
     want = {"src0": 10, "src1": 30, "src2": 30, "en": 42, "de": 28}
     assert all(abs(sums[k] - want[k]) < 1e-4 for k in want), sums
+
+
+def brute_mix(rows, targets, share, seed=42):
+    """Raking in plain Python: (doc_id, probability, kept) of rows (doc_id, text, margins)."""
+    cells = {}
+    for _, text, own in rows:
+        cells[own] = cells.get(own, 0) + len((text or "").split())
+    total = sum(cells.values())
+    goals = []
+    for m, power in enumerate(targets):
+        have = {}
+        for own, n in cells.items():
+            have[own[m]] = have.get(own[m], 0) + n
+        raised = {k: v**power if v else 0.0 for k, v in have.items()}
+        goals.append({k: v / sum(raised.values()) for k, v in raised.items()})
+    w = dict(cells)
+    for _ in range(500):
+        for m, goal in enumerate(goals):
+            now = {}
+            for own, v in w.items():
+                now[own[m]] = now.get(own[m], 0) + v
+            w = {own: v * goal[own[m]] * total / now[own[m]] if now[own[m]] else v for own, v in w.items()}
+    p = {own: share * w[own] / n if n else 0.0 for own, n in cells.items()}
+    assert max(p.values()) < 1, "the bound is tested elsewhere"
+    u = lambda i, t: int(hashlib.md5(f"{seed}:{i if i is not None else f'text:{t}'}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    return [(i, p[own], u(i, t) < p[own]) for i, t, own in rows]
+
+
+@pytest.mark.parametrize("max_cells", [1000, 0])
+def test_mix_equals_brute_force(spark, max_cells):
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 11 else None, "word " * int(rng.integers(0, 30)), (f"s{rng.integers(0, 3)}", str(rng.choice(["en", "en", "de"])))) for i in range(150)]
+    rows += rows[:5]
+    df = spark.createDataFrame([(i, t, *own, "x", 1.0) for i, t, own in rows], "doc_id long, text string, src string, lng string, _id string, weight double")
+    margins = {"src": F.col("src"), "lng": F.col("lng")}
+    kw = {"margins": margins, "targets": {"src": 0.5, "lng": 0.3}, "share": 0.3, "max_cells": max_cells}
+    want = brute_mix(rows, (0.5, 0.3), 0.3)
+    got = M.mix(df, **kw).collect()
+    key = lambda r: (str(r[0]), r[2], round(r[1], 9))
+    assert sorted(key((r.doc_id, r.probability, r.kept)) for r in got) == sorted(map(key, want))
+    if max_cells:
+        stay = M.sample(df, **kw)
+        assert stay.columns == df.columns
+        assert sorted(str(r.doc_id) for r in stay.collect()) == sorted(str(i) for i, _, k in want if k)
+
+
+def test_targets_that_exclude_each_other_are_told():
+    tokens, members = np.array([10.0, 10.0]), [np.array([0, 1]), np.array([0, 1])]
+    with pytest.warns(UserWarning, match="exclude each other"):
+        M.rake(tokens, members, [np.array([0.9, 0.1]), np.array([0.2, 0.8])])
