@@ -20,9 +20,9 @@ from reefline.llm.common import id_filter, maybe_in, written
 UNSEEN = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 #: Tags that begin or end a line.
 BREAKS = "(?i)</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|nav|tr|td|th|table|article|section|header|footer|title|head|body|html|blockquote|pre)\\b[^>]*>|[\\r\\n]+"
-#: Entities that are written out; &amp; comes last.
 #: What is trimmed off a line: spaces, tabs, carriage returns, form feeds, no-break spaces.
 BLANKS = " \t\r\f\u00a0"
+#: Entities that are written out; &amp; comes last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 
@@ -59,7 +59,7 @@ def drop_boilerplate(pages: DataFrame, page_col: str, host: Column, lines: Colum
     sites = written(read.groupBy("_host").agg(F.count("*").alias("_pages")), "sites")
     counts = written(spoken.groupBy("_host", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages), "line-counts")
     boilerplate = written(counts.join(sites, "_host").where(F.col("_n") > F.lit(ratio) * F.col("_pages")).select("_key"), "boilerplate")
-    places = maybe_in(read.select("_row", F.posexplode("_lines").alias("_at", "_line"), "_host").select("_row", "_at", key.alias("_key")), "_key", id_filter(boilerplate, "_key"))
+    places = maybe_in(read.select("_row", F.posexplode("_lines").alias("_at", "_line"), "_host").select("_row", "_at", key.alias("_key")), id_filter(boilerplate, "_key"), "_key")
     dropped = written(places.join(boilerplate, "_key").groupBy("_row").agg(F.collect_set("_at").alias("_drop")), "dropped-lines")
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.array_contains("_drop", i)))
     return read.join(dropped, "_row", "left").withColumn("_kept", kept).select(

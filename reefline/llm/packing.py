@@ -5,8 +5,8 @@ replaced by two unpacked pieces that fit the expanded gap more tightly, if there
 method decides depends on lengths alone, so it runs on the histogram of lengths (at most ``capacity``
 rows, however large the corpus): each bin pattern it finds is repeated as often as the counts allow,
 which is what it would do bin by bin. Pieces are then dealt to the places of their length by rank, in
-parallel; the rank is counted by (length, salt), so a length that a third of all pieces share is no
-single group.
+parallel; the rank is counted by (length, salt), with as many salts as a length has pieces for, so a
+length that most pieces share is no single group.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reefline.llm.common import small_batches, written
+from reefline.llm.common import kept, small_batches, workspace, written
 from reefline.llm.tokenizing import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -112,12 +112,11 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(pieces, PIECES + (", ids binary" if with_ids else ""))
 
 
-def pack(pieces: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, rows_per_salt: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, piece and length (1 to ``capacity``).
 
     ``pieces`` should be a written table: it is read twice. The driver gets the histogram of lengths,
@@ -127,7 +126,8 @@ def pack(pieces: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     places = places_of(best_two_fit(counts, capacity))
     plan = spark.createDataFrame(places or [(0, 0, 0, 0, 0, 1)], "_len long, _from long, _ranks long, _seq long, _offset long, _each long")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = spark.createDataFrame([(n, 8 + count // rows_per_salt) for n, count in counts.items()] or [(0, 1)], "length long, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts"))).drop("_salts")
     before = (
         salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
         .withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
@@ -152,7 +152,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that holds the end id only. Rows that repeat an id are packed each for itself; a null id stays null.
     An empty table gives no rows. Other columns are ignored.
     """
-    return pack(written(tokenized_pieces(docs, id_col, text_col, capacity, with_ids), "pieces"), capacity)
+    with workspace(docs.sparkSession, "packing"):
+        with small_batches(docs.sparkSession):
+            pieces = written(tokenized_pieces(docs, id_col, text_col, capacity, with_ids), "pieces")
+        return kept(pack(pieces, capacity), "packed")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ from reefline.llm.tokenizing import word_bpe
 #: (values, bits) of selectors 1 to 14.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 RUN = 256
-BLOCK_IDS = 1 << 16
 BLOCK = "shard int, first_doc long, block int, ids_before long, n_ids long, doc_ids binary, null_ids binary, doc_lengths binary, run_words binary, words binary"
 
 
@@ -136,7 +135,6 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     Rows are dealt into ranges of ids (``files`` of them, else one for each shuffle partition), so files
     follow one another. Null ids come first; a null text counts as empty.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -174,7 +172,8 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 before += len(ids)
                 block += 1
 
-    ranged.mapInArrow(blocks, BLOCK).write.option("compression", "none").parquet(path)
+    with small_batches(spark):
+        ranged.mapInArrow(blocks, BLOCK).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
