@@ -1,8 +1,8 @@
 """A corpus pipeline of the operators in reefline.llm.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, all but
-the last one with the columns of ``documents``. Document ids are taken to be unique; rows that repeat an
-id are told apart where the exact stage reduces them to one for each text.
+the last one with the columns of ``documents``. Rows that repeat an id, or have none, are told apart by their
+texts; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.llm import exact_dedup, jaccard_join, language_id, mixing, packing
-from reefline.llm.common import table, without, written
+from reefline.llm.common import ascii_lower, table, without, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,28 +19,30 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lang gets the predicted one; labels that are there stay."""
     model = language_id.train(docs)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))
-    found = language_id.identify(whole, model, "_doc", with_spans=False).where("lang_pred <> 'und' and score >= 0.5")
-    return found.select(*[F.coalesce("_doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_doc.{c}") for c in docs.columns])
+    found = language_id.identify(whole, model, "_doc", with_spans=False, lazy=True).where("lang_pred <> 'und' and score >= 0.5")
+    return found.select(*[F.coalesce("_doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays; of rows that repeat an id and a text, one."""
+    digest = exact_dedup.sha256(ascii_lower(F.coalesce("text", F.lit(""))))
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = written(docs.dropDuplicates(["doc_id", "text"]), "distinct-rows")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", digest.alias("_digest"))
+        docs = written(rows.dropDuplicates(["doc_id", "_digest"]).select("_doc.*"), "distinct-rows")
     found = exact_dedup.exact_dedup(docs)
-    return without(docs, "doc_id", written(found.where("not kept and doc_id is not null").select("doc_id"), "copies"))
+    return without(docs, written(found.where("not kept").select("doc_id", "digest"), "copies"), doc_id=F.col("doc_id"), digest=digest)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five words, Jaccard 0.8) the document with the smallest id stays."""
-    found = jaccard_join.jaccard_join(docs, width=5, threshold="0.8")
-    return without(docs, "doc_id", written(found.where("component_id <> doc_id").select("doc_id"), "near-copies"))
+    found = jaccard_join.jaccard_join(docs, width=5, threshold="0.8", with_text_hash=True)
+    near = written(found.where("component_id <> doc_id").select("doc_id", "text_hash"), "near-copies")
+    return without(docs, near, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that tokens approach the target weights of sources, languages and topics."""
-    found = mixing.mix(docs)
-    return without(docs, "doc_id", written(found.where("not kept").select("doc_id"), "sampled-out"))
+    return mixing.sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
