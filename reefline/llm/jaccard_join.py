@@ -12,7 +12,8 @@
 4. For each class and group the matrix counts the tokens of the class in the group's union. That bounds the
    overlap with any member: all shared tokens but those beyond the prefixes are counted. Only groups that
    can reach the threshold are opened.
-5. The members of opened groups are compared in the same way, then by parity bitmaps, then for good.
+5. The members of opened groups that share a prefix token with the class, from which on both have enough
+   left to reach the overlap, are compared by parity bitmaps, and what passes for good.
 6. Links join groups into components.
 
 Compared for good means: both whole texts are read again and their sets intersected. Pairs within a group
@@ -128,13 +129,14 @@ def profiles(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) ->
     return docs.mapInArrow(profile, PROFILE)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, t: Fraction, repeated: bool) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold. Texts come from a scan of ``docs`` that
-    an id filter of bounded size narrows to the rows that stand for the pairs' classes."""
+    an id filter of bounded size narrows to the rows that stand for the pairs' classes. ``repeated``: some
+    rows repeat an id and a text."""
     pairs = pairs.select("a", "b")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep"), "asked")
     texts = maybe_in(docs, id_filter(asked, "doc_id", "text_hash"), "doc_id", "text_hash").join(asked, ["doc_id", "text_hash"])
-    texts = texts.groupBy("rep").agg(F.first("text").alias("text"))  # rows that repeat an id and a text
+    texts = written(texts.groupBy("rep").agg(F.first("text").alias("text")), "asked-texts") if repeated else texts.select("rep", "text")
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +207,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # A class has a number of its own: its rows' ids may have other texts too.
         first = linked.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
         classes = written(first.select("class", "f.doc_id", "f.text_hash", F.monotonically_increasing_id().alias("rep")), "classes")
+        repeated = not linked.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
         reps = written(linked.join(classes, ["class", "doc_id", "text_hash"]).dropDuplicates(["rep"]).drop("class"), "reps")
 
         # Groups of similar classes.
@@ -219,7 +222,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         banded = shared_bands.select("rep", "n", "band")
         fits = (t.numerator * F.greatest("n", "pivot_n") <= t.denominator * F.least("n", "pivot_n")) & (F.col("rep") != F.col("pivot"))
         near_pivot = banded.join(pivots, "band").where(fits).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = written(verified(written(near_pivot, "pairs"), reps, docs, width, t), "links")
+        links = written(verified(written(near_pivot, "pairs"), reps, docs, width, t, repeated), "links")
         groups = components(links).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
         grouped = written(reps.select("rep", F.col("n_shingles").alias("n"), "prefix").join(groups, "rep", "left").select("rep", F.coalesce("grp", "rep").alias("grp"), "n", "prefix"), "grouped")
 
@@ -247,12 +250,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep") > F.col("b")))
         size = t.numerator * F.col("n_a") <= t.denominator * F.col("n_b")
         ahead = (t.denominator + t.numerator) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= t.numerator * (F.col("n_a") + F.col("n_b"))
-        shared_by = mine.join(theirs, ["grp", "size_band", "token"]).where(larger & size).withColumn("ahead", ahead)
-        pairs = shared_by.groupBy(F.col("rep").alias("a"), "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("ahead").alias("ahead"), F.first("own").alias("grp_a"), F.first("grp").alias("grp_b"))
-        pairs = written(pairs.where(F.col("ahead") & (F.col("c") >= least_shared(t, F.col("n_a"), F.col("n_b")))), "open-pairs")
+        shared_by = mine.join(theirs, ["grp", "size_band", "token"]).where(larger & size & ahead)
+        pairs = written(shared_by.groupBy(F.col("rep").alias("a"), "b", "n_a", "n_b").agg(F.first("own").alias("grp_a"), F.first("grp").alias("grp_b")), "open-pairs")
         facts_a, facts_b = (reps.select(F.col("rep").alias(s), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab")
         sifted = written(near(pairs.join(facts_a, "a").join(facts_b, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), t), "near-pairs")
-        more = verified(sifted, reps, docs, width, t).join(pairs, ["a", "b"]).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
+        more = verified(sifted, reps, docs, width, t, repeated).join(pairs, ["a", "b"]).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
         merged = components(more).select(F.col("node").alias("grp"), F.col("component").alias("top"))
 
         part = written(grouped.select("rep", "grp").join(merged, "grp", "left").select("rep", F.coalesce("top", "grp").alias("part")).join(classes, "rep"), "class-parts")
