@@ -43,7 +43,7 @@ class Run:
     @staticmethod
     def flush(rows: DataFrame, name: str) -> Run:
         """Writes a run and its filter; Parquet keeps the range of digests of each file and row group."""
-        stored = written(rows.sortWithinPartitions("_digest"), name, **{"parquet.bloom.filter.enabled#_digest": "true"})
+        stored = written(rows.sortWithinPartitions("_digest"), name)
         found = id_filter(stored, "_digest")
         return Run(stored, IdFilter(written(found.bitmaps.coalesce(1), f"{name}-filter"), found.bits))
 
