@@ -56,8 +56,13 @@ KINDS = (
               "|(?=\\d)(?<![\\d.-])(?:\\d{3}-\\d{3}-\\d{4}|\\d{3}\\.\\d{3}\\.\\d{4}|0\\d{1,4}[ -]\\d{3,4}[ -]\\d{3,4})(?![\\d-])"),
     ("person", f"{_TITLED}{_NAME}(?: {_NAME})?"),
 )
-#: Signs that are cheap to look for, one of which every entity has.
-HINT = f"[0-9][0-9.() -]{{5,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9A-Fa-f]:[0-9A-Fa-f:]|(?=[{_FIRSTS}])(?:{_TITLES})\\.? \\p{{Lu}}"
+#: Signs that are cheap to look for, one of which every entity has: digits, two kinds of colons, and a title
+#: before a space and a capital. Titles are looked up by length, backwards from such a space.
+_LENGTHS: dict[int, list[str]] = {}
+for _form in dict.fromkeys(f for t in _TITLES.split("|") for f in ((t[:-2], t[:-1]) if t.endswith("?") else (t,))):
+    _LENGTHS.setdefault(len(_form), []).append(_form)
+DIGITS_SIGN = "[0-9A-Z](?:(?<=[0-9])[0-9.() -]{5,}[0-9]|(?<=[A-Z])[A-Z][0-9]{2})"
+TITLE_SIGN = " (?=\\p{Lu})(?:" + "|".join(f"(?<=(?:{'|'.join(v)}){dot} )" for v in _LENGTHS.values() for dot in ("", "\\.")) + ")"
 KEYWORD = "(?i)(?:password|passwd|pwd|token|secret|api_key)\\s{0,2}[=:]"
 #: Given names by gender and script, drawn from first; then names are made of syllables.
 GIVEN = {
@@ -229,8 +234,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     space = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
     taken = entities.select(space.alias("space"), F.lower("entity").alias("form"))
     pending, done, turn = entities, None, 0
+    tasks = entities.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not one task
     while done is None or not pending.isEmpty():
-        drawn = pending.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("gender"), key, turn)).withColumns({"space": space, "form": F.lower("new")})
+        drawn = pending.repartition(tasks).withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("gender"), key, turn)).withColumns({"space": space, "form": F.lower("new")})
         drawn = written(drawn, "pii-drawn")
         free = drawn.join(taken, ["space", "form"], "left_anti")
         if done is not None:
@@ -256,8 +262,9 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str) -> DataFr
         counted += "_"
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     text = F.col(f"_doc.`{text_col}`")
-    sign = F.contains(text, F.lit("@")) | ((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(KEYWORD))
-    sign = F.coalesce(sign | F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA")) | text.rlike(HINT), F.lit(False))
+    has = lambda x: F.contains(text, F.lit(x))
+    sign = has("@") | ((has("=") | has(":")) & text.rlike(KEYWORD)) | (has(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]")) | has("AKIA") | has("ASIA")
+    sign = F.coalesce(sign | text.rlike(DIGITS_SIGN) | text.rlike(TITLE_SIGN), F.lit(False))
     # Texts with a sign are written with what was found in them, so that the expression runs once on each.
     signed = packed.where(sign).select(F.monotonically_increasing_id().alias("_row"), "_doc", F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("_first"))
     signed = written(signed, "pii-signed")
