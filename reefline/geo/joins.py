@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.functions.numbers import half_even, percent
-from reefline.geo.functions import st_area, st_area_km2, st_bounds, st_difference, st_intersection, st_intersects, st_transform, st_union_agg, st_within
+from reefline.geo.functions import st_area, st_area_km2, st_bounds, st_box, st_difference, st_intersection, st_intersects, st_transform, st_union_agg, st_union_area_agg, st_within
 
 PREDICATES = {"intersects": st_intersects, "within": st_within}
 
@@ -46,12 +46,31 @@ def overlay_intersection(left: DataFrame, right: DataFrame, size: float = 1.0) -
     return pairs.where(st_area("geometry") > 0)
 
 
-def dissolve(df: DataFrame, keys: list[str], aggregates: list[Column] | None = None, geometry: str = "geometry") -> DataFrame:
+def united(df: DataFrame, keys: list[str], geometry: str = "geometry", size: float = 10.0) -> DataFrame:
+    """Union of the geometries of each key in two steps: first of those whose boxes start in one cell, then of
+    the cells' shapes, so that what overlaps locally is united in many tasks even for one large key."""
+    rows = df.select(*keys, F.col(geometry).alias("_g"), st_bounds(geometry).alias("_b"))
+    rows = rows.select(*keys, "_g", F.floor(F.col("_b.minx") / size).alias("_i"), F.floor(F.col("_b.miny") / size).alias("_j"))
+    local = rows.groupBy(*keys, "_i", "_j").agg(st_union_agg(F.col("_g")).alias("_g"))
+    return local.groupBy(*keys).agg(st_union_agg(F.col("_g")).alias(geometry))
+
+
+def union_area(df: DataFrame, keys: list[str], geometry: str, size: float, name: str = "area") -> DataFrame:
+    """Area of the union of each key's geometries: cut to cells, united there, and summed, so that no task
+    holds a whole key. Keys whose geometries are all empty or null are absent."""
+    cells = with_cells(df.select(*keys, F.col(geometry).alias("_g")), size, "_g")
+    cell = st_box(F.col("_i") * size, F.col("_j") * size, (F.col("_i") + 1) * size, (F.col("_j") + 1) * size)
+    cut = cells.select(*keys, "_i", "_j", st_intersection("_g", cell).alias("_g"))
+    parts = cut.groupBy(*keys, "_i", "_j").agg(st_union_area_agg(F.col("_g")).alias("_a"))
+    return parts.groupBy(*keys).agg(F.sum("_a").alias(name))
+
+
+def dissolve(df: DataFrame, keys: list[str], aggregates: list[Column] | None = None, geometry: str = "geometry", size: float = 10.0) -> DataFrame:
     """Union of the geometries of each key; null keys are dropped."""
     rows = df
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    shapes = rows.groupBy(*keys).agg(st_union_agg(F.col(geometry)).alias(geometry))
+    shapes = united(rows, keys, geometry, size)
     if not aggregates:
         return shapes
     return rows.groupBy(*keys).agg(*aggregates).join(shapes, keys)
@@ -84,8 +103,8 @@ def sea_coverage(seas: DataFrame, areas: DataFrame, world_area: float | None = N
         size = 1e5
     seas = seas.withColumn("MRGID", F.col("MRGID").cast("string"))
     inside = candidates(seas.select("MRGID", "geometry"), areas.select("PA_DEF", "geometry"), size).withColumn("part", st_intersection("geometry", "geometry_r")).where(st_area("part") > 0)
-    shares = inside.groupBy("MRGID").agg(st_union_area("part").alias("all_m2")).join(inside.groupBy("MRGID").agg(F.count("*").alias("n")), "MRGID")
-    by_kind = inside.groupBy("MRGID", "PA_DEF").agg(st_union_area("part").alias("m2"))
+    shares = union_area(inside, ["MRGID"], "part", 10 * size, "all_m2").join(inside.groupBy("MRGID").agg(F.count("*").alias("n")), "MRGID")
+    by_kind = union_area(inside, ["MRGID", "PA_DEF"], "part", 10 * size, "m2")
     kinds = by_kind.groupBy("MRGID").agg(F.coalesce(F.sum(F.when(F.col("PA_DEF") == 1, F.col("m2"))), F.lit(0.0)).alias("pa_m2"))
     rows = seas.select("MRGID", (st_area("geometry") / 1e6).alias("total_area")).join(shares, "MRGID", "left").join(kinds, "MRGID", "left")
     protected, pa = F.coalesce("all_m2", F.lit(0.0)) / 1e6, F.coalesce("pa_m2", F.lit(0.0)) / 1e6
@@ -103,17 +122,11 @@ def sea_coverage(seas: DataFrame, areas: DataFrame, world_area: float | None = N
     )
 
 
-def st_union_area(c: str) -> Column:
-    from reefline.geo.functions import st_union_area_agg
-
-    return st_union_area_agg(F.col(c))
-
-
 def sea_level(seas: DataFrame, sites: DataFrame, level: str, *, name: str = "fishing_protection_level", size: float = 1e5) -> DataFrame:
     """(location, area, level, pct, total_area) of the part of each sea that sites cover; overlapping sites
     count once. seas: (MRGID, total_area, geometry in metres); seas without any are absent."""
     inside = candidates(seas.select("MRGID", "total_area", "geometry"), sites.select("geometry"), size).withColumn("part", st_intersection("geometry", "geometry_r")).where(st_area("part") > 0)
-    rows = inside.groupBy("MRGID", "total_area").agg((st_union_area("part") / 1e6).alias("area"))
+    rows = union_area(inside, ["MRGID", "total_area"], "part", 10 * size).withColumn("area", F.col("area") / 1e6)
     return rows.select(F.col("MRGID").cast("string").alias("location"), "area", F.lit(level).alias(name), percent("area", "total_area").alias("pct"), F.col("total_area").cast("double").alias("total_area"))
 
 

@@ -76,17 +76,17 @@ def latest(current: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def attach_ids(rows: DataFrame, current: DataFrame) -> DataFrame:
     """Adds the stored documentId to parent and children structs (null for those not stored yet)."""
-    ids = current.select("identifier", F.col("documentId").alias("_id"))
+    ids = current.select(F.col("identifier").alias("_stored"), F.col("documentId").alias("_id"))
     out = rows
     if "parent" in rows.columns:
         parent_key = F.when(F.col("parent").isNotNull(), identifier(*[F.col(f"parent.{k}") for k in KEYS]))
-        out = out.withColumn("_key", parent_key).join(ids, F.col("_key") == ids["identifier"], "left").drop(ids["identifier"])
+        out = out.withColumn("_key", parent_key).join(ids, F.col("_key") == F.col("_stored"), "left").drop("_stored")
         out = out.withColumn("parent", F.when(F.col("parent").isNotNull(), F.struct(*[F.col(f"parent.{k}").alias(k) for k in RELATION], F.col("_id").alias("documentId")))).drop("_key", "_id")
     if "children" in rows.columns:
         child = out.where("children is not null").select(F.col("identifier").alias("_row"), F.posexplode("children").alias("_at", "_c"))
-        child = child.withColumn("_key", identifier(*[F.col(f"_c.{k}") for k in KEYS])).join(ids, F.col("_key") == ids["identifier"], "left")
+        child = child.withColumn("_key", identifier(*[F.col(f"_c.{k}") for k in KEYS])).join(ids, F.col("_key") == F.col("_stored"), "left")
         lists = child.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", F.struct(*[F.col(f"_c.{k}").alias(k) for k in RELATION], F.col("_id").alias("documentId")).alias("c")))).alias("_l"))
-        out = out.join(lists, out["identifier"] == lists["_row"], "left").withColumn("children", F.transform("_l", lambda x: x["c"])).drop("_row", "_l")
+        out = out.join(lists, F.col("identifier") == F.col("_row"), "left").withColumn("children", F.transform("_l", lambda x: x["c"])).drop("_row", "_l")
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -105,6 +106,30 @@ def populate_many(df: DataFrame, other: DataFrame, key: str, other_key: str, fie
     return joined.withColumn(name, F.coalesce(name, empty))
 
 
+@dataclass(frozen=True)
+class Relation:
+    """A relation to read along: ``rows`` whose ``other_key`` equals the reader's ``key``, as a struct or, with
+    ``many``, a sorted list; ``populate`` are relations of those rows."""
+
+    rows: DataFrame
+    key: str
+    other_key: str
+    fields: Sequence[str]
+    many: bool = False
+    where: Column | None = None
+    populate: Mapping[str, Relation] = field(default_factory=dict)
+
+
+def populate(df: DataFrame, relations: Mapping[str, Relation]) -> DataFrame:
+    """Relations of any depth, from the innermost out; each is one aggregate (if many) and one left join."""
+    out = df
+    for name, r in relations.items():
+        rows = populate(r.rows.where(r.where) if r.where is not None else r.rows, r.populate)
+        read = populate_many if r.many else populate_one
+        out = read(out, rows, r.key, r.other_key, [*r.fields, *r.populate], name)
+    return out
+
+
 def having(df: DataFrame, other: DataFrame, on: Column, direct: Column | None = None) -> DataFrame:
     """Rows that match themselves or have a related row that does; ``df`` keeps each row once."""
     semi = df.join(other, on, "left_semi")
@@ -141,6 +166,14 @@ def aggregated_stats(stats: DataFrame, locations: DataFrame, codes: Sequence[str
     return out.withColumn("coverage", percent("protected_area", F.nullif("total_area", F.lit(0.0))))
 
 
+def named_stats(tables: Mapping[str, tuple[DataFrame, str | None]], wanted: str, locations: DataFrame, codes: str | None = None) -> dict[str, DataFrame]:
+    """Several statistics in one call. ``tables``: name -> (rows, sub category); ``wanted`` and ``codes``:
+    comma lists, in which unknown statistics are ignored."""
+    names = [w.strip() for w in wanted.split(",")]
+    chosen = [c for c in (codes or "").split(",") if c.strip()] or None
+    return {n: aggregated_stats(tables[n][0], locations, chosen, sub=tables[n][1]) for n in names if n in tables}
+
+
 def missing(requested: Column, found: Column) -> Column:
     """Requested codes that the answer lacks, sorted."""
     return F.array_sort(F.array_except(requested, found))

@@ -63,10 +63,8 @@ SELECT k, CAST(COUNT(*) AS DOUBLE) AS area FROM c GROUP BY k
 """)
 def union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the union of each group's boxes, counted once: two levels, by cell and then summed."""
-    boxes = J.with_cells(_boxes(_parts(spark, sf_dir)).withColumn("k", F.col("id") % 10), 20.0)
-    cell = G.st_box(F.col("_i") * 20.0, F.col("_j") * 20.0, (F.col("_i") + 1) * 20.0, (F.col("_j") + 1) * 20.0)
-    parts = boxes.select("k", "_i", "_j", G.st_intersection("geometry", cell).alias("part"))
-    return parts.groupBy("k", "_i", "_j").agg(G.st_union_area_agg("part").alias("a")).groupBy("k").agg(F.round(F.sum("a"), 6).alias("area"))
+    boxes = _boxes(_parts(spark, sf_dir)).withColumn("k", F.col("id") % 10)
+    return J.union_area(boxes, ["k"], "geometry", 20.0).select("k", F.round("area", 6).alias("area"))
 
 
 @query(f"SELECT id, (x1 - x0) * (y1 - y0) AS area, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x0 AS minx, y1 AS maxy, true AS valid, 'Polygon' AS kind FROM ({_PARTS})")
