@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reefline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, pii, token_files
+from reefline.llm import embedding_dedup, exact_dedup, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, pii, secret_scan, token_files, vector_codes
 from reefline.llm.common import new_path, table
 
 
@@ -63,6 +63,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.number(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return spans.select("doc_id", *counts, F.sha2(secret_scan.shown(F.col("base")), 256).alias("base_sha256"), secret_scan.shown(F.col("spans")).alias("spans"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed="7", rate=100, spm=50)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -72,6 +89,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY h)
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _list(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -110,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_pii_surrogates,
         op10_mixing,
+        op11_vector_codes,
+        op12_secret_scan,
+        op13_fill_in_middle,
     )
 }
 _BLANKS = "' ' || chr(9) || chr(13) || chr(12) || chr(160)"
@@ -151,4 +175,68 @@ c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1), n AS (SELECT a, c
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
 """
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_license_scan": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+OP11_SQL = """
+WITH q AS (
+  SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM q, range(4) AS g(part)),
+c0 AS MATERIALIZED (
+  SELECT part, k, x AS y FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS k FROM q QUALIFY k < 256) USING (r)),
+"""
+for _round in range(5):
+    OP11_SQL += f"""
+a{_round} AS MATERIALIZED (
+  SELECT r, part, x, min(CAST(list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y) AS BIGINT) * 256 + k) AS best
+  FROM (SELECT r, part, CAST(x AS DOUBLE[]) AS x FROM p) JOIN (SELECT part, k, CAST(y AS DOUBLE[]) AS y FROM c{_round}) USING (part) GROUP BY r, part, x),
+"""
+    OP11_SQL += f"""
+c{_round + 1} AS MATERIALIZED (
+  SELECT part, k, coalesce(n.y, c{_round}.y) AS y FROM c{_round} LEFT JOIN (
+    SELECT part, k, list((s - ((s % c) + c) % c) // c ORDER BY pos) AS y FROM (
+      SELECT part, best % 256 AS k, pos, CAST(sum(CAST(x[pos] AS BIGINT)) AS BIGINT) AS s, count(*) AS c FROM a{_round}, range(1, 1000) AS g(pos) WHERE pos <= len(x) GROUP BY 1, 2, 3)
+    GROUP BY part, k) n USING (part, k)),
+""" * (_round < 4)
+OP11_SQL += """
+e AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, k)) FROM c4) AS codebooks_sha256 FROM q JOIN e USING (r)
+"""
+
+_STARTS = "list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0)"
+_FOUND = " UNION ALL ".join(
+    f"SELECT r, {k} AS kind, m[i] AS m, CAST({_STARTS} AS BIGINT) AS s FROM (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i FROM "
+    f"(SELECT r, regexp_extract_all(t, {_quoted(kind.pattern)}) AS m, regexp_split_to_array(t, {_quoted(kind.pattern)}) AS g FROM (SELECT r, {'t' if kind.as_is else 'low AS t'} FROM d))) "
+    f"WHERE length(regexp_extract(m[i], {_quoted(kind.pattern)}, {kind.group})) >= {kind.least}"
+    for k, kind in enumerate(secret_scan.KINDS)
+)
+_KINDS = ", ".join(f"({k}, '{kind.name}', {kind.role}, {kind.needs})" for k, kind in enumerate(secret_scan.KINDS))
+OP12_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+k(kind, name, role, needs) AS (VALUES {_KINDS}),
+f AS MATERIALIZED (SELECT r, kind, name, role, needs, s, s + length(m) AS e FROM ({_FOUND}) JOIN k USING (kind)),
+c AS MATERIALIZED (
+  SELECT f.*, len(regexp_extract_all(substr(t, 1, s), {_quoted(secret_scan.SCOPE_END)})) AS scope FROM f JOIN d USING (r)
+  WHERE needs = 0 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.r = f.r AND b.needs = 0 AND b.s < f.e AND b.e > f.s)),
+l AS (SELECT a.r, a.kind, a.s FROM c a JOIN c b ON a.r = b.r AND a.scope = b.scope AND a.needs & b.role <> 0 AND greatest(a.s, b.s) - least(a.e, b.e) <= {secret_scan.REACH}
+      GROUP BY a.r, a.kind, a.s, a.needs HAVING bit_or(a.needs & b.role) = a.needs),
+n AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (needs = 0), '') AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans
+      FROM c LEFT JOIN l USING (r, kind, s) WHERE needs = 0 OR l.r IS NOT NULL GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (r)
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+l AS (SELECT doc_id, t, regexp_extract_all(t, '[^
+]*
+|[^
+]+') AS u, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM x
+"""
+
+SQL: dict[str, str] = {"op11_vector_codes": OP11_SQL, "op12_secret_scan": OP12_SQL, "op13_fill_in_middle": OP13_SQL, "op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_license_scan": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
