@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reefline.geo import kernel as K
 
-_PROJECTIONS = {
+PROJECTIONS = {
     "6933": K.equal_area,
     "3857": K.web_mercator,
     "mollweide": K.mollweide(K.SPHERE),
@@ -141,6 +141,7 @@ st_polygons = _unary("binary", lambda g: K.to_wkb(K.polygons(g)))
 st_fill_holes = _unary("binary", lambda g: K.to_wkb(K.fill_holes(g)))
 st_intersects = _binary("boolean", K.intersects, lambda a, b: (lambda s: (s[:, :2] <= s[:, 2:]).all(1))(_shared(a, b)))
 st_within = _binary("boolean", K.within, _lies_in)
+PREDICATES = {"intersects": st_intersects, "within": st_within}
 st_intersection = _binary("binary", lambda a, b: K.to_wkb(K.intersection(a, b)), _shared_wkb)
 st_difference = _binary("binary", lambda a, b: K.to_wkb(K.difference(a, b)))
 st_intersection_area = _binary("double", K.intersection_area, lambda a, b: _size(_shared(a, b)))
@@ -195,12 +196,12 @@ def st_simplify(c: Column | str, tolerance: float) -> Column:
 
 def st_transform(c: Column | str, to: str, *, inverse: bool = False) -> Column:
     """From longitude and latitude to a projection ("6933", "3857", "mollweide", "mollweide_wgs84") or back."""
-    f = (_INVERSES if inverse else _PROJECTIONS)[to]
+    f = (_INVERSES if inverse else PROJECTIONS)[to]
     return _unary("binary", lambda g: K.to_wkb(K.transform(g, f)))(c)
 
 
 def st_area_km2(c: Column | str, projection: str = "6933") -> Column:
-    f = _PROJECTIONS[projection]
+    f = PROJECTIONS[projection]
     return _unary("double", lambda g: K.area(K.transform(g, f)) / 1e6)(c)
 
 

@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.functions.numbers import half_even, percent
-from reefline.geo.functions import st_area, st_area_km2, st_bounds, st_box, st_difference, st_intersection, st_intersects, st_transform, st_union_agg, st_union_area_agg, st_within
-
-PREDICATES = {"intersects": st_intersects, "within": st_within}
+from reefline.geo.functions import PREDICATES, st_area, st_area_km2, st_bounds, st_box, st_difference, st_intersection, st_transform, st_union_agg, st_union_area_agg
 
 
 def with_cells(df: DataFrame, size: float, geometry: str = "geometry", prefix: str = "") -> DataFrame:
@@ -163,5 +161,3 @@ def rectangle_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame
     h = F.least("y1_a", "y1_b") - F.greatest("y0_a", "y0_b")
     once = (F.floor(F.greatest("x0_a", "x0_b") / size) == F.col("_i")) & (F.floor(F.greatest("y0_a", "y0_b") / size) == F.col("_j"))
     return spread(left, "a").join(spread(right, "b"), ["_i", "_j"]).where((w > 0) & (h > 0) & once).select("id_a", "id_b", (w * h).alias("shared"))
-
-

@@ -107,6 +107,7 @@ def world_rows(world: DataFrame, environment: str) -> DataFrame:
     return row.unionByName(high)
 
 
+#: The keys of the world's statistics.
 WORLD_KEYS = [
     "total_ocean_area_oecms_pas", "total_ocean_area_oecms", "total_ocean_oecms_pas_coverage_percentage", "total_marine_oecms_pas",
     "total_land_area_oecms_pas", "total_land_area_oecms", "total_land_oecms_pas_coverage_percentage", "total_terrestrial_oecms_pas",

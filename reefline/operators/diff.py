@@ -126,11 +126,14 @@ def upsert(stored_rows: DataFrame, changes: DataFrame, key: list[str], removed:
 
 def with_rejects(rows: DataFrame, dimensions: dict[str, tuple[DataFrame, str, str]]) -> tuple[DataFrame, DataFrame]:
     """(rows with ids, rejected rows with errors). ``dimensions``: row column -> (table, code, id column
-    to add). A code that isn't in its table is an error; a null one isn't."""
+    to add). A code that isn't in its table is an error, as is one that stands there for several ids; a null
+    one isn't. Rows are never doubled."""
     out, errors = rows, []
     for c, (dim, code, id_col) in dimensions.items():
-        found = dim.select(F.col(code).alias(f"_k_{c}"), F.col("id").alias(id_col))
-        out = out.join(found, F.col(c) == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
-        errors.append(F.when(F.col(c).isNotNull() & F.col(id_col).isNull(), F.concat(F.lit(f"{c} not found: "), F.col(c).cast("string"))))
+        found = dim.groupBy(F.col(code).alias(f"_k_{c}")).agg(F.min("id").alias(id_col), (F.min("id") < F.max("id")).alias(f"_many_{c}"))
+        out = out.join(found, F.col(c) == F.col(f"_k_{c}"), "left")
+        shown, missing = F.col(c).cast("string"), F.col(c).isNotNull() & F.col(id_col).isNull()
+        errors.append(F.when(missing, F.concat(F.lit(f"{c} not found: "), shown)).when(F.col(f"_many_{c}"), F.concat(F.lit(f"{c} is ambiguous: "), shown)))
     out = out.withColumn("errors", F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>"))
+    out = out.drop(*[f"_{x}_{c}" for c in dimensions for x in ("k", "many")])
     return out.where(F.size("errors") == 0).drop("errors"), out.where(F.size("errors") > 0)

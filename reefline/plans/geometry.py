@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,11 +71,12 @@ def box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", r6(G.st_area("geometry")).alias("area"), r6("c.x").alias("cx"), r6("c.y").alias("cy"), F.col("b.minx").alias("minx"), F.col("b.maxy").alias("maxy"), G.st_is_valid("geometry").alias("valid"), G.st_geometry_type("geometry").alias("kind"))
 
 
-@query(f"SELECT s.id, ROUND((s.x1 - s.x0) * (s.y1 - s.y0) - 1.5 * 2, 6)::DOUBLE AS left_over FROM ({_SUPPLIERS}) s")
+@query(f"SELECT id, ROUND((x1 - x0) * (y1 - y0) - (0.5 + id % 3) * (y1 - y0) * (1 - 0.5 * (id % 2)), 6)::DOUBLE AS left_over FROM ({_SUPPLIERS})")
 def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of each box taken away."""
+    """A part of each box taken away whose size depends on the row."""
     s = _suppliers(spark, sf_dir)
-    cut = G.st_box(F.col("x0") - 1, F.col("y0") - 1, F.col("x0") + 1.5, F.col("y1") + 1)
+    x, y = F.col("x0") + 0.5 + F.col("id") % 3, F.col("y1") - (F.col("id") % 2) * 1.0
+    cut = G.st_box(F.col("x0") - 1, F.col("y0") - 1, x, F.when(F.col("id") % 2 == 0, F.col("y1") + 1).otherwise(y))
     return s.select("id", r6(G.st_area(G.st_difference(G.st_box("x0", "y0", "x1", "y1"), cut))).alias("left_over"))
 
 
@@ -88,19 +87,6 @@ def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("id").agg(F.count("*").alias("n"), r6(F.sum(G.st_area("t.part"))).alias("area"))
 
 
-@query("""
-SELECT 'a' AS location, 2.0::DOUBLE AS protected_area, CAST(2 AS BIGINT) AS protected_areas_count, 100.0::DOUBLE AS coverage, 60.0::DOUBLE AS pas, 40.0::DOUBLE AS oecms, 2.0::DOUBLE AS total_area
-UNION ALL SELECT 'b', 0, 0, 0, 0, 0, 1
-""")
-def sea_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping areas over one sea count once; a sea without any has zeros (hand-checked boxes)."""
-    box = lambda rows: spark.createDataFrame(rows, "k string, x0 double, y0 double, x1 double, y1 double").select("k", G.st_box("x0", "y0", "x1", "y1").alias("geometry"))
-    seas = box([("a", 0.0, 0.0, 2000.0, 1000.0), ("b", 5000.0, 0.0, 6000.0, 1000.0)]).withColumnRenamed("k", "MRGID")
-    areas = box([("1", 0.0, 0.0, 1200.0, 1000.0), ("0", 800.0, 0.0, 2000.0, 1000.0)]).select(F.col("k").cast("int").alias("PA_DEF"), "geometry")
-    out = J.sea_coverage(seas, areas, projected=True, size=1000.0)
-    return out.drop("environment", "global_contribution")
-
-
 _E2 = "(1 / 298.257223563) * (2 - 1 / 298.257223563)"
 _ZONE = "(6378137.0 * 6378137.0 * (1 - {e2}) / 2 / 1e6) * (SIN({l}) / (1 - {e2} * SIN({l}) * SIN({l})) + ATANH(SQRT({e2}) * SIN({l})) / SQRT({e2}))"
 
@@ -148,24 +134,9 @@ def tile_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", x.alias("x"), y.alias("y"))
 
 
-@query(f"""
-WITH px AS (SELECT r, c, (r + c) % 3 AS v FROM range(0, 20) a(r), range(0, 30) b(c)), z(location, r0, r1, c0, c1) AS (VALUES ('A', 2, 9, 3, 12), ('B', 0, 19, 0, 29))
-SELECT location, CASE v WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'class_2' END AS class, ROUND(SUM(ABS({_zone('10 - r')} - {_zone('9 - r')}) * RADIANS(1)), 3) AS area_km2 FROM px JOIN z ON r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1 GROUP BY 1, 2
-""")
-def zonal_class_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class areas of a raster under polygons: masks as spans, areas on the ellipsoid."""
-    t = Z.Transform(1.0, -1.0, -10.0, 10.0)
-    px = spark.range(600).select(F.expr("id div 30").alias("row"), (F.col("id") % 30).alias("col")).withColumn("value", ((F.col("row") + F.col("col")) % 3).cast("int"))
-    zones = spark.createDataFrame([("A", -7.0, 0.0, 3.0, 8.0), ("B", -10.0, -10.0, 20.0, 10.0)], "location string, x0 double, y0 double, x1 double, y1 double")
-    zones = zones.select("location", G.st_box("x0", "y0", "x1", "y1").alias("geometry"))
-    out = Z.class_areas(px, Z.spans(zones, t, 20, 30), t, {0: "zero", 1: "one"})
-    return out.select("location", "class", F.round("area_km2", 3).alias("area_km2"))
-
-
-@query(f"SELECT n_nationkey, ROUND({math.pi} * 2 * 6378.137 * 6378.137 * 0, 6)::DOUBLE AS zero, true AS near FROM nation")
+@query("SELECT n_nationkey, ROUND(5.0 * (n_nationkey + 1), 2) AS km2 FROM nation")
 def point_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points as circles of a given area: the equal-area measure gives it back to a ten-thousandth."""
+    """Points as circles of areas of their own: the equal-area measure gives each back."""
     k = F.col("n_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", G.st_point((k * 3).cast("double"), (k * 2 - 20).cast("double")).alias("p"))
-    area = G.st_area_km2(G.st_buffer_km2("p", F.lit(100.0)))
-    return n.select("n_nationkey", F.lit(0.0).alias("zero"), (F.abs(area - 100) < 0.01).alias("near"))
+    return n.select("n_nationkey", F.round(G.st_area_km2(G.st_buffer_km2("p", 5.0 * (k + 1))), 2).alias("km2"))

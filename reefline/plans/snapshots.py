@@ -154,15 +154,39 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_id % 9 <> 0
 """)
 def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of changes applied by micro-batch to versioned snapshots."""
+    """A stream of changes applied by micro-batch to a keyed table."""
     from reefline.sources import scratch
+    from reefline.streaming import tables
 
     folder = scratch.folder(spark, "stream")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(*e.columns)
-    snapshots = flows.Snapshots(spark, f"{folder}/table", e.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    flows.stream_upserts(stream, snapshots, ["user_id"], "event_id", f"{folder}/checkpoint", removed="event_id % 9 = 0").awaitTermination()
-    return snapshots.read()
+    keyed = tables.KeyedTable(spark, f"{folder}/table", _ddl(e), ["user_id"], buckets=8)
+    tables.stream_changes(stream, keyed, "event_id", f"{folder}/checkpoint", removed="event_id % 9 = 0").awaitTermination()
+    return keyed.read()
+
+
+def _ddl(df: DataFrame) -> str:
+    return df.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_id % 9 <> 0
+""")
+def two_streams_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams with checkpoints of their own feed one table, the newer half of the events first, in
+    several batches each: late changes lose, and no batch is lost."""
+    from reefline.sources import scratch
+    from reefline.streaming import tables
+
+    folder = scratch.folder(spark, "streams")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    keyed = tables.KeyedTable(spark, f"{folder}/table", "user_id long, event_id long, event_type string", ["user_id"], buckets=8)
+    for name, half in (("new", "event_id % 2 = 1"), ("old", "event_id % 2 = 0")):
+        e.where(half).repartitionByRange(3, F.col("event_id").desc()).write.parquet(f"{folder}/{name}")
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/{name}")
+        tables.stream_changes(stream, keyed, "at", f"{folder}/checkpoint-{name}", removed="event_id % 9 = 0").awaitTermination()
+    return keyed.read()
 
 
 @query("""

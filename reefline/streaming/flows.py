@@ -1,65 +1,9 @@
-"""Streaming flows.
-
-Upserts run by micro-batch into versioned Parquet snapshots: each batch writes the next version and then
-moves a pointer to it, so a reader never sees half a batch and a batch that is run again gives the same
-version. The state is the table itself.
-"""
+"""Flows over changes and events: marks, polls, windows. Streams of upserts are in ``tables``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from reefline.operators.diff import upsert
-
-
-class Snapshots:
-    """Versions of a table below a folder, with a pointer to the current one."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
-
-    def _pointer(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("version long").json(f"{self.folder}/current") if fs.exists(path) else None
-
-    def version(self) -> int:
-        found = self._pointer()
-        return -1 if found is None else found.agg(F.max("version")).first()[0]
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        if v < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{v}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        self.spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").json(f"{self.folder}/current")
-
-
-def last_change(batch: DataFrame, key: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.col(order).desc())
-    return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def stream_upserts(changes: DataFrame, table: Snapshots, key: list[str], order: str, checkpoint: str, *, removed: str | None = None, derive: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Applies a stream of changes: the last change of each key in a batch replaces the row; rows for which
-    ``removed`` (a SQL condition) holds are taken out. ``derive`` recomputes columns of changed rows."""
-
-    def apply(batch: DataFrame, epoch: int) -> None:
-        if table.version() >= epoch:
-            return  # run again after a failure: done already
-        last = last_change(batch, key, order)
-        gone = last.where(removed) if removed else None
-        new = last.where(f"not coalesce({removed}, false)") if removed else last
-        table.write(upsert(table.read(), derive(new) if derive else new, key, gone), epoch)
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def changed_since(rows: DataFrame, mark, at: str = "updated_at") -> tuple[DataFrame, DataFrame]:

@@ -153,3 +153,7 @@ def test_rejects_and_upsert(spark):
     dim = spark.createDataFrame([("FRA", 10)], "code string, id long")
     good, bad = diff.with_rejects(spark.createDataFrame([("FRA",), ("XXX",), (None,)], "location string"), {"location": (dim, "code", "location_id")})
     assert good.count() == 2 and bad.first().errors == ["location not found: XXX"]
+    double = spark.createDataFrame([("FRA", 1), ("FRA", 2), ("DEU", 3), ("DEU", 3)], "code string, id long")
+    good, bad = diff.with_rejects(spark.createDataFrame([("FRA",), ("DEU",)], "location string"), {"location": (double, "code", "location_id")})
+    assert [tuple(r) for r in good.collect()] == [("DEU", 3)]
+    assert [r.errors for r in bad.collect()] == [["location is ambiguous: FRA"]]

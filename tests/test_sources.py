@@ -131,25 +131,6 @@ def test_writers(spark, tmp_path):
         W.write_geo(geo, "a.txt")
 
 
-def test_stream_of_upserts(spark, tmp_path):
-    source = tmp_path / "in"
-    schema = "id long, v string, n long"
-    spark.createDataFrame([(1, "a", 1), (2, "b", 1), (1, "c", 2)], schema).write.parquet(str(source))
-    table = flows.Snapshots(spark, str(tmp_path / "t"), schema)
-
-    def run():
-        flows.stream_upserts(spark.readStream.schema(schema).parquet(str(source)), table, ["id"], "n", str(tmp_path / "ck"), removed="v = 'gone'").awaitTermination()
-
-    run()
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "c", 2), (2, "b", 1)]
-    spark.createDataFrame([(2, "gone", 3), (3, "d", 1)], schema).write.mode("append").parquet(str(source))
-    run()
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "c", 2), (3, "d", 1)]
-    before = table.version()
-    run()
-    assert table.version() == before
-
-
 def test_streamed_windows(spark, tmp_path):
     rows = [("2024-01-01 00:10:00", 1.0), ("2024-01-01 00:50:00", 2.0), ("2024-01-01 09:00:00", 4.0)]
     df = spark.createDataFrame(rows, "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
