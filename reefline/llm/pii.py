@@ -5,9 +5,10 @@ replacement everywhere, in whatever way it is written (coreference); no two enti
 equals an entity of the corpus (distinctness): candidates that collide are drawn again, round by round,
 over a table of the distinct entities, and get longer where a format runs out.
 
-Persons are found after a title. Given and family names are entities of their own, so John Smith, Mr. Smith
-and Smith's share the family's surrogate, and John keeps his given name's; the names are then looked up in
-the rest of their text. Card and bank account numbers count only with right check digits, and so do their
+Persons are found after a title or several. A name goes on while capitals or particles follow, but for words
+that begin sentences. Given and family names are entities of their own, so John Smith, Mr. Smith and Smith's
+share the family's surrogate, and John keeps his given name's; the names are then looked up in the rest of
+their text, given names that are common words (Will, May) only beside the family. Card and bank account numbers count only with right check digits, and so do their
 surrogates.
 
 One expression finds all kinds; it runs only where a cheap sign of one is in a text. Texts without an entity
@@ -35,9 +36,27 @@ MALE, FEMALE, NEUTRAL = ("|".join(dict.fromkeys(f for t in titles.split("|") for
 _TITLES = f"{MALE}|{FEMALE}|{NEUTRAL}"
 _FIRSTS = "".join(sorted({t[0] for t in _TITLES.split("|")}))
 _BEFORE = f"(?<![{_LETTER}\\p{{N}}_])"
-_TITLED = f"(?=[{_FIRSTS}]){_BEFORE}(?:{_TITLES})\\.? "
-_PASSWORD = "(?=[Pp])\\b(?i:password|passwd|pwd)[=:]"
-_TOKEN = "(?=[TtSsAa])\\b(?i:token|secret|api_key)\\s{0,2}[=:]\\s{0,2}\""
+_STACK = f"(?:(?:{_TITLES})\\.? ){{1,3}}"
+_TITLED = f"(?=[{_FIRSTS}]){_BEFORE}{_STACK}(?!(?:{_TITLES})(?:[. ]|$))"
+#: Words within a name that aren't names.
+PARTICLES = "von van der den de del della di da dos du la le el al bin ibn zu zur af ter".split()
+#: Words that stand with a capital where a sentence begins and end a name; as given names they are too common
+#: to be looked for alone.
+COMMON = (
+    "the a an and but or he she it they we you i this that these those there here then when where who what why how if in on at for from with by after before while as "
+    "is was are were will would can could may might must shall should has have had do does did not no yes so also now later today yesterday tomorrow mark rose hope grace faith june april august bill art "
+    "der die das und aber oder er sie es wir ihr ich dann als wenn wo wer was wie im am auf für von mit nach vor bei ist war sind waren wird hat haben nicht nein ja auch jetzt heute gestern morgen "
+    "le la les et mais ou il elle nous vous je ce cette puis quand qui que dans sur pour avec après avant est sont ont ne non oui aussi hier demain "
+    "el los las pero ella yo este esta entonces cuando donde quien en para con después antes era son han también hoy ayer mañana"
+).split()
+_COMMON_WORD = f"(?i:{'|'.join(dict.fromkeys(COMMON))})(?![{_LETTER}])"
+_PERSON = f"{_TITLED}{_NAME}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}(?!{_COMMON_WORD}){_NAME}){{0,3}}"
+_SET = "[\"']?\\s{0,2}(?:=\\s{0,2}[\"']?|:[\"']?(?=[^\\s\"'])|:\\s{1,2}(?:[\"']|(?=[^\\s\"',;]*[0-9])))"
+_PASSWORD = f"(?=[Pp])\\b(?i:password|passwd|pwd){_SET}"
+_TOKEN = f"(?=[TtSsAa])\\b(?i:token|secret|api_?key){_SET}"
+#: Keys of services, by their prefix; what is kept of one is that prefix.
+SERVICE_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxb-", "xoxp-", "eyJ")
+_SERVICE = "(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[bp]-[A-Za-z0-9-]{20,}|eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})"
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds of entities and what they look like, in order of precedence. A keyword or title before a secret or
@@ -45,7 +64,8 @@ _HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = (
     ("email", f"(?<![{_LETTER}\\p{{N}}._%+-])[{_LETTER}\\p{{N}}_%+-][{_LETTER}\\p{{N}}._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}"),
     ("password", f"{_PASSWORD}[^\\s\"',;]{{6,}}"),
-    ("token", f"{_TOKEN}[A-Za-z0-9_+/=-]{{16,}}(?=\")"),
+    ("token", f"{_TOKEN}[A-Za-z0-9_+/=-](?:[A-Za-z0-9_+/=-]|\\.(?=[A-Za-z0-9_+/=-])){{15,}}"),
+    ("service_key", _SERVICE),
     ("access_key", "(?=A)\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b"),
     ("iban", "(?=[A-Z]{2}\\d)\\b[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b"),
     ("ip", f"(?<![\\d.])(?:{_OCTET}\\.){{3}}{_OCTET}(?![\\d]|\\.\\d)"),
@@ -54,7 +74,7 @@ KINDS = (
     ("ssn", "(?=\\d)(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])"),
     ("phone", "(?<![\\d+])\\+\\d{1,3}[ .-]?(?:\\(\\d{1,4}\\)|\\d{1,4})(?:[ .-]?\\d{2,4}){2,4}(?!\\d)|(?<!\\d)\\(\\d{3,5}\\) ?\\d{3,4}[ -]\\d{3,4}(?!\\d)"
               "|(?=\\d)(?<![\\d.-])(?:\\d{3}-\\d{3}-\\d{4}|\\d{3}\\.\\d{3}\\.\\d{4}|0\\d{1,4}[ -]\\d{3,4}[ -]\\d{3,4})(?![\\d-])"),
-    ("person", f"{_TITLED}{_NAME}(?: {_NAME})?"),
+    ("person", _PERSON),
 )
 #: Signs that are cheap to look for, one of which every entity has: digits, two kinds of colons, and a title
 #: before a space and a capital. Titles are looked up by length, backwards from such a space.
@@ -63,7 +83,7 @@ for _form in dict.fromkeys(f for t in _TITLES.split("|") for f in ((t[:-2], t[:-
     _LENGTHS.setdefault(len(_form), []).append(_form)
 DIGITS_SIGN = "[0-9A-Z](?:(?<=[0-9])[0-9.() -]{5,}[0-9]|(?<=[A-Z])[A-Z][0-9]{2})"
 TITLE_SIGN = " (?=\\p{Lu})(?:" + "|".join(f"(?<=(?:{'|'.join(v)}){dot} )" for v in _LENGTHS.values() for dot in ("", "\\.")) + ")"
-KEYWORD = "(?i)(?:password|passwd|pwd|token|secret|api_key)\\s{0,2}[=:]"
+KEYWORD = "(?i)(?:password|passwd|pwd|token|secret|api_?key)[\"']?\\s{0,2}[=:]"
 #: Given names by gender and script, drawn from first; then names are made of syllables.
 GIVEN = {
     "m": {"latin": "Adam Boris Carl Daniel Emil Felix Hugo Ivan Jonas Leon Martin Oscar Paul Simon Tomas Victor", "cyrillic": "Антон Борис Виктор Глеб Денис Иван Олег Павел", "greek": "Άγγελος Γιώργος Δημήτρης Νίκος Παύλος Στέφανος Φώτης Χρήστος"},
@@ -82,8 +102,8 @@ def pattern() -> str:
 
 def kind_of(mention: Column) -> Column:
     """The kind of a mention, by its own form; null for a name without a title."""
-    out = F.when(mention.rlike(f"^{_PASSWORD}"), "password").when(mention.rlike(f"^{_TOKEN}"), "token").when(mention.rlike("@"), "email")
-    out = out.when(mention.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "access_key").when(mention.rlike(f"^(?:{_TITLES})\\.? \\p{{Lu}}"), "person")
+    out = F.when(mention.rlike(f"^{_PASSWORD}"), "password").when(mention.rlike(f"^{_TOKEN}"), "token").when(mention.rlike(f"^{_SERVICE}$"), "service_key").when(mention.rlike("@"), "email")
+    out = out.when(mention.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "access_key").when(mention.rlike(f"^{_STACK}\\p{{Lu}}"), "person")
     out = out.when(mention.rlike("^\\d{1,3}(?:\\.\\d{1,3}){3}$"), "ip").when(mention.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6").when(mention.rlike("^[A-Z]{2}\\d{2}[A-Z0-9 ]+$"), "iban")
     out = out.when(mention.rlike("^\\d{3}-\\d{2}-\\d{4}$"), "ssn").when(mention.rlike("^(?:\\d{13,19}|\\d{4}[ -]\\d{4}[ -]\\d{4}[ -]\\d{4})$"), "card")
     return out.when(mention.rlike("^[+(\\d][\\d() .-]+$"), "phone")
@@ -92,11 +112,11 @@ def kind_of(mention: Column) -> Column:
 def prefix_of(kind: Column, mention: Column) -> Column:
     """What stands before the entity in a mention: the keyword or title."""
     head = F.when(kind == "password", F.regexp_extract(mention, f"^{_PASSWORD}", 0)).when(kind == "token", F.regexp_extract(mention, f"^{_TOKEN}", 0))
-    return F.coalesce(head.when(kind == "person", F.regexp_extract(mention, f"^(?:{_TITLES})\\.? ", 0)), F.lit(""))
+    return F.coalesce(head.when(kind == "person", F.regexp_extract(mention, f"^{_STACK}", 0)), F.lit(""))
 
 
 def gender_of(prefix: Column) -> Column:
-    return F.when(prefix.rlike(f"^(?:{MALE})\\.? $"), 1).when(prefix.rlike(f"^(?:{FEMALE})\\.? $"), -1).otherwise(0)
+    return F.when(prefix.rlike(f"(?:^| )(?:{MALE})\\.? "), 1).when(prefix.rlike(f"(?:^| )(?:{FEMALE})\\.? "), -1).otherwise(0)
 
 
 def digit_sum(digits: Column) -> Column:
@@ -136,8 +156,11 @@ def same_entity(kind: Column, mention: Column) -> Column:
 
 
 def with_names(expression: str, names: Column) -> Column:
-    """``expression``, or one of the names or their parts, as written or in upper case; long ones first."""
-    names = F.array_union(names, F.flatten(F.transform(names, lambda x: F.split(x, " "))))
+    """``expression``, or one of the names or their parts, as written or in upper case; long ones first. A
+    given name that is a common word is no part."""
+    alone = lambda w, last: w.rlike("^\\p{Lu}") & (last | ~F.lower(w).isin(*COMMON))
+    parts = F.transform(names, lambda x: F.filter(F.split(x, " "), lambda w, i: alone(w, i == F.size(F.split(x, " ")) - 1)))
+    names = F.array_union(names, F.flatten(parts))
     names = F.array_union(names, F.transform(names, F.upper))
     longest = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
     return F.concat(F.lit(f"{expression}|{_BEFORE}(?:"), F.array_join(longest, "|"), F.lit(f")(?![{_LETTER}\\p{{N}}_])"))
@@ -203,7 +226,7 @@ def surrogate(kind: Column, entity: Column, gender: Column, key: str, turn: int)
     fictional = F.concat(shaped(F.substring(entity, F.lit(1), F.length(entity) - 7), seed, F.greatest(F.length(entity) - 10, F.lit(0))), F.lit("555"), shaped(F.substring(entity, F.lit(-4), F.lit(4)), F.sha2(seed, 512)))
     return (
         F.when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "email", email).when(kind.isin("given", "family"), named(kind, entity, gender, seed, turn))
-        .when(kind == "access_key", shaped(longer, seed, F.lit(4))).when(kind == "card", card).when(kind == "iban", iban)
+        .when(kind == "access_key", shaped(longer, seed, F.lit(4))).when(kind == "service_key", shaped(longer, seed, F.length(F.regexp_extract(entity, f"^(?:{'|'.join(SERVICE_PREFIXES)})", 0)))).when(kind == "card", card).when(kind == "iban", iban)
         .when((kind == "phone") & F.lit(turn < 8) & entity.rlike("555\\d{4}$"), fictional)
         .when(kind == "phone", shaped(longer, seed, F.greatest(F.length(entity) - 10, F.lit(0))))
         .otherwise(shaped(longer, seed))
@@ -263,13 +286,16 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str) -> DataFr
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     text = F.col(f"_doc.`{text_col}`")
     has = lambda x: F.contains(text, F.lit(x))
-    sign = has("@") | ((has("=") | has(":")) & text.rlike(KEYWORD)) | (has(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]")) | has("AKIA") | has("ASIA")
+    service = has(SERVICE_PREFIXES[0])
+    for x in SERVICE_PREFIXES[1:]:
+        service = service | has(x)
+    sign = service | has("@") | ((has("=") | has(":")) & text.rlike(KEYWORD)) | (has(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]")) | has("AKIA") | has("ASIA")
     sign = F.coalesce(sign | text.rlike(DIGITS_SIGN) | text.rlike(TITLE_SIGN), F.lit(False))
     # Texts with a sign are written with what was found in them, so that the expression runs once on each.
     signed = packed.where(sign).select(F.monotonically_increasing_id().alias("_row"), "_doc", F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("_first"))
     signed = written(signed, "pii-signed")
-    titled = F.filter("_first", lambda m: m.rlike(f"^(?:{_TITLES})\\.? \\p{{Lu}}"))
-    names = F.transform(titled, lambda m: F.regexp_replace(m, f"^(?:{_TITLES})\\.? ", ""))
+    titled = F.filter("_first", lambda m: m.rlike(f"^{_STACK}\\p{{Lu}}"))
+    names = F.transform(titled, lambda m: F.regexp_replace(m, f"^{_STACK}", ""))
     found = signed.where("size(_first) > 0").withColumn("_names", F.array_distinct(names))
     plain = found.where("size(_names) = 0").select("_row", "_names", F.col("_first").alias("_mentions"), F.split(text, expression, -1).alias("_gaps"))
     follow = with_names(expression, F.col("_names"))
@@ -281,7 +307,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str) -> DataFr
     bare = F.substring(F.col("mention"), F.length("_prefix") + 1, F.length("mention"))
     # Names are taken apart: the last word after a title is the family, and so is a word that ends a name of the text.
     families = F.transform("_names", lambda x: F.lower(F.element_at(F.split(x, " "), -1)))
-    part = lambda w, i, n: F.struct(F.when((i < n - 1) | ((F.col("_kind") == "name") & ~F.array_contains(families, F.lower(w))), "given").otherwise("family").alias("kind"), w.alias("mention"), i.alias("i"))
+    part = lambda w, i, n: F.struct(F.when(w.isin(*PARTICLES), "none").when((i < n - 1) | ((F.col("_kind") == "name") & ~F.array_contains(families, F.lower(w))), "given").otherwise("family").alias("kind"), w.alias("mention"), i.alias("i"))
     words = F.split(bare, " ")
     parts = F.when(F.col("_kind").isin("person", "name"), F.transform(words, lambda w, i: part(w, i, F.size(words)))).otherwise(F.array(F.struct(F.col("_kind").alias("kind"), bare.alias("mention"), F.lit(0).alias("i"))))
     places = places.select("_row", "_at", "_prefix", gender_of(F.col("_prefix")).alias("gender"), F.explode(parts).alias("p")).select("_row", "_at", "_prefix", "gender", "p.*")

@@ -1,6 +1,7 @@
 """The queries on the smallest tables: against their SQL where there is one, else against brute force."""
 
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -83,6 +84,33 @@ def test_op6(spark, documents):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_labels(text)
 
 
+def test_op9(spark, documents):
+    """What lies between entities stays in every text, and replacements are one to one and of one kind."""
+    regex = pytest.importorskip("regex")
+    from reefline.llm import pii
+    from test_pii import iban_ok, luhn
+
+    rows = {r.doc_id: r for r in QUERIES["op9_pii_surrogates"](spark, DATA).collect()}
+    find, new_of, n = regex.compile(pii.pattern()), {}, 0
+    bare = lambda x: re.sub("[ -]", "", x)
+    for doc, text, _ in documents:
+        found = [m for m in find.finditer(text or "") if not (re.fullmatch(r"[\d -]{13,19}", m[0]) and len(bare(m[0])) > 12 and not luhn(bare(m[0]))) and not (re.match(r"[A-Z]{2}\d{2}[A-Z0-9 ]{8}", m[0]) and not iban_ok(bare(m[0])))]
+        if any(regex.match(pii._TITLED, m[0]) for m in found):
+            continue  # names are followed through their text: see test_pii
+        assert rows[doc].n_entities == len(found)
+        if not found:
+            assert rows[doc].text == text
+            continue
+        ends = [0, *[x for m in found for x in m.span()], len(text)]
+        gaps = [re.escape(text[a:b]) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+        got = re.fullmatch("(.+?)".join(gaps), rows[doc].text, re.S)
+        assert got, (text[:200], rows[doc].text[:200])
+        for m, new in zip(found, got.groups(), strict=True):
+            assert new != m[0] and new_of.setdefault(m[0], new) == new
+            n += 1
+    assert n > 20 and len(set(new_of.values())) == len(new_of)
+
+
 @pytest.mark.parametrize("name", ["op9_pii_surrogates", "op10_mixing"])
 def test_whole_tables(spark, documents, name):
     assert Counter(r.doc_id for r in QUERIES[name](spark, DATA).select("doc_id").collect()) == Counter(d for d, *_ in documents)

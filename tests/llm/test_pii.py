@@ -147,3 +147,42 @@ def test_a_format_that_runs_out_gets_longer(spark):
     rows = pii.surrogates(entities, "k").collect()
     assert len(rows) == 130 == len({(r.kind, r.new) for r in rows})
     assert all(len(r.new) > 1 for r in rows if r.kind == "token")
+
+
+def replaced(spark, texts):
+    return [r.text for r in pii.pseudonymise(docs_of(spark, texts), key="k").orderBy("doc_id").collect()]
+
+
+def test_stacked_titles_and_long_names(spark):
+    new = replaced(spark, [
+        "Frau Dr. Müller kam", "Prof. Dr. Hans Meier ging", "Dr Anna Maria Weber wrote. Weber agreed.", "Herr Prof. Dr. Ludwig van der Berg sprach; Berg ging.", "Frau Dr. kam nicht", "Mr. Anna Maria Lena Eva Smith Jones",
+    ])
+    for name in ("Müller", "Hans", "Meier", "Anna", "Maria", "Weber", "Ludwig", "Berg"):
+        assert not any(re.search(rf"\b{name}\b", t) for t in new[:4]), (name, new)
+    assert re.fullmatch(r"Frau Dr\. \w+ kam", new[0]) and re.fullmatch(r"Prof\. Dr\. \w+ \w+ ging", new[1])
+    m = re.fullmatch(r"Dr (\w+) (\w+) (\w+) wrote\. (\w+) agreed\.", new[2])
+    assert m[3] == m[4]
+    n = re.fullmatch(r"Herr Prof\. Dr\. (\w+) van der (\w+) sprach; (\w+) ging\.", new[3])
+    assert n[2] == n[3] and new[4] == "Frau Dr. kam nicht"
+
+
+def test_words_that_begin_sentences_stay(spark):
+    new = replaced(spark, ["Mr. Smith Then went", "Mr Will Young. Will you go?", "Mrs. May Brown came in May. May we ask May Brown? Brown said so.", "Dr. Smith. The Smith house. Then He left", "Herr Koch Und dann ging er. La casa de la Señora Lopez Es grande"])
+    assert re.fullmatch(r"Mr\. \w+ Then went", new[0]) and "Smith" not in new[0]
+    assert re.fullmatch(r"Mr \w+ \w+\. Will you go\?", new[1]) and "Young" not in new[1] and not new[1].startswith("Mr Will")
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) came in May\. May we ask (\w+) (\w+)\? (\w+) said so\.", new[2])
+    assert m[1] == m[3] != "May" and m[2] == m[4] == m[5] != "Brown"
+    assert re.fullmatch(r"Dr\. (\w+)\. The \1 house\. Then He left", new[3])
+    assert re.fullmatch(r"Herr \w+ Und dann ging er\. La casa de la Señora \w+ Es grande", new[4])
+
+
+def test_secrets_in_other_forms(spark):
+    hidden = ["foobarbaz", "hunter22secret", "abcdef0123456789abcd", "sOmE-sEcReT-vAlUe-0", "ghp_" + "aB3" * 12, "sk-" + "x9Y" * 10, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhb", "tok-en.with.dots-0123"]
+    forms = ["PASSWORD = {}", "password: {}", "token={} and", "secret: '{}'", "use {} now", "key {}, then", "Bearer {}", "api_key: {}."]
+    texts = [f.format(h) for f, h in zip(forms, hidden, strict=True)]
+    new = replaced(spark, [*texts, *texts, "password: please enter it", "the token: a small coin", "Secret: internationalization matters", "sk-learn and eyJ"])
+    for form, secret, a, b in zip(forms, hidden, new, new[8:], strict=False):
+        head, tail = form.split("{}")
+        assert a == b and a.startswith(head) and a.endswith(tail) and secret not in a and len(a) == len(form) - 2 + len(secret), a
+    assert new[4][4:8] == "ghp_" and new[5][4:7] == "sk-" and new[6].count(".") == 2 and new[7].count(".") == 3
+    assert new[16:] == ["password: please enter it", "the token: a small coin", "Secret: internationalization matters", "sk-learn and eyJ"]
