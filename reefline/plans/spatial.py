@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reefline.geo import dissolve as D
 from reefline.geo import functions as G
 from reefline.geo import joins as J
 from reefline.geo import kernel as K
@@ -70,6 +71,20 @@ def subtracted_by_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.groupBy("id").agg(r6(F.sum(G.st_area("geometry"))).alias("left_over")).where("left_over > 0")
 
 
+@query(f"""
+WITH p AS ({_PARTS}), k AS (SELECT 'all' AS k, p.* FROM p UNION ALL SELECT CAST(id % 4 AS VARCHAR), p.* FROM p),
+s AS (SELECT DISTINCT k, x, y FROM k, range(0, 110) i(x), range(0, 100) j(y) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1),
+n AS (SELECT k, COUNT(*) AS c FROM s JOIN (SELECT k, x + 1 AS x, y FROM s UNION ALL SELECT k, x, y + 1 FROM s) USING (k, x, y) GROUP BY k)
+SELECT k, CAST(COUNT(*) AS DOUBLE) AS area, CAST(4 * COUNT(*) - 2 * COALESCE(MAX(c), 0) AS DOUBLE) AS perimeter FROM s LEFT JOIN n USING (k) GROUP BY k
+""")
+def dissolved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions as connected parts, one key holding every box: area and length of the boundary."""
+    boxes = _boxes(_parts(spark, sf_dir))
+    keyed = boxes.withColumn("k", F.lit("all")).unionByName(boxes.withColumn("k", (F.col("id") % 4).cast("string")))
+    parts = D.dissolve_parts(keyed, ["k"], capacity=200)
+    return parts.groupBy("k").agg(r6(F.sum(G.st_area("geometry"))).alias("area"), r6(F.sum(G.st_perimeter("geometry"))).alias("perimeter"))
+
+
 _DRAWN = (12.25, 11.75, 47.5, 33.25)
 _SHARE = "RADIANS(LEAST(x1, {2}) - GREATEST(x0, {0}))".format(*_DRAWN)
 
