@@ -134,6 +134,7 @@ def _lies_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 st_area = _unary("double", K.area, lambda b, _: _size(b))
+st_points = _unary("long", lambda g: sum(len(r) for p in g for r in p))
 st_perimeter = _unary("double", K.perimeter)
 st_make_valid = _unary("binary", lambda g: K.to_wkb(K.make_valid(g)))
 st_is_valid = _unary("boolean", K.is_valid)

@@ -11,6 +11,7 @@ from reefline.geo import joins as J
 from reefline.geo import kernel as K
 from reefline.geo import quadtree as Q
 from reefline.geo import stored as P
+from reefline.geo import topology as T
 from reefline.plans.catalog import query, r6, table
 from reefline.plans.geometry import _PARTS, _SUPPLIERS, _boxes, _parts, _suppliers, _zone
 from reefline.sources import scratch
@@ -120,3 +121,21 @@ def sea_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     seas = table(spark, sf_dir, "supplier").select(k.alias("MRGID"), G.st_box(x, y, x + 12_000.0, y + 9_000.0).alias("geometry"))
     areas = _parts(spark, sf_dir).select((F.col("id") % 3 == 0).cast("int").alias("PA_DEF"), G.st_box(*[F.col(c) * 1000.0 for c in ("x0", "y0", "x1", "y1")]).alias("geometry"))
     return J.sea_coverage(seas, areas, projected=True, size=8000.0).drop("environment", "global_contribution")
+
+
+_COLUMN = "8 - CASE WHEN (s_suppkey + 1) % 3 = 0 THEN 0.8 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 0.8 ELSE 0 END"
+
+
+@query(f"""
+SELECT s_suppkey AS id, ROUND(({_COLUMN})::DOUBLE, 6) AS area, CAST(5 + CASE WHEN (s_suppkey + 1) % 3 = 0 THEN 7 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS points FROM supplier
+""")
+def simplified_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns side by side whose common borders waver, every third one by more than the tolerance: borders
+    are simplified once and stay common."""
+    k = F.col("s_suppkey")
+    line = lambda at: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: F.struct((at - (j % 2) * F.when(at % 3 == 0, 0.2).otherwise(0.01)).alias("x"), j.cast("double").alias("y")))
+    ring = F.concat(line(k + 1), F.reverse(line(k)), F.slice(line(k + 1), 1, 1))
+    points = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
+    shapes = table(spark, sf_dir, "supplier").select(k.alias("id"), G.st_from_geojson(F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")))).alias("geometry"))
+    out = T.simplify_shared(shapes, 0.05)
+    return out.select("id", r6(G.st_area("geometry")).alias("area"), G.st_points("geometry").alias("points"))
