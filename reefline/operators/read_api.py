@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reefline.functions.numbers import percent
@@ -228,6 +228,21 @@ def bounds_union(df: DataFrame, bounds: str = "bounds", keys: Sequence[str] = ()
     return df.groupBy(*keys).agg(F.array(F.min(b[0]), F.min(b[1]), F.max(b[2]), F.max(b[3])).alias(bounds))
 
 
+def in_locale(name: str, locale: str | None = None, *, strict: bool = False) -> Column:
+    """A name as it is sorted in a locale (of no locale: by the root rules); accents and case matter last, or
+    with ``strict`` not at all."""
+    base = f"{locale}" if locale else "UNICODE"
+    return F.collate(F.col(name), f"{base}_CI_AI" if strict else base)
+
+
+def by_name(df: DataFrame, name: str = "name", locale: str | None = None, *, first: Sequence[str] = (), code: str = "code", keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``place`` (from 1) within the keys: codes of ``first`` in their order, then names as a locale
+    sorts them, nulls last, ties by code."""
+    leading = F.array_position(F.array(*[F.lit(c) for c in first]), F.col(code)) if first else F.lit(0)
+    order = [F.when(leading > 0, leading).otherwise(len(first) + 1), in_locale(name, locale).asc_nulls_last(), F.col(code)]
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def ordered_like(df: DataFrame, source: str, order: Sequence[str]) -> DataFrame:
     """Rows in the order of a given list; those not in it come first, as for an index of -1."""
     return df.orderBy(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(source)), source)

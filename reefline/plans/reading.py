@@ -201,3 +201,37 @@ def ordered_by_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = R.ordered_like(table(spark, sf_dir, "nation"), "n_name", order)
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("n_name"))
     return n.select("n_name", place.cast("long").alias("position")).where("position > 0")
+
+
+_ACCENTED = """CASE n_nationkey % 8 WHEN 0 THEN 'Zürich' WHEN 1 THEN 'zebra' WHEN 2 THEN 'Äpfel' WHEN 3 THEN 'apfel' WHEN 4 THEN 'Élan' WHEN 5 THEN 'eland' WHEN 6 THEN 'Ozean' ELSE 'öl' END || ' ' || s_suppkey % 7"""
+
+
+@query(f"""
+SELECT code, name, locale, CAST(ROW_NUMBER() OVER (PARTITION BY locale, grp ORDER BY code <> 'S3', k, code) AS INTEGER) AS place FROM (
+ SELECT 'de' AS locale, code, name, grp, RANK() OVER (PARTITION BY grp ORDER BY name COLLATE de) AS k FROM (SELECT 'S' || s_suppkey AS code, {_ACCENTED} AS name, n_regionkey AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ UNION ALL SELECT 'sv', code, name, grp, RANK() OVER (PARTITION BY grp ORDER BY name COLLATE sv) FROM (SELECT 'S' || s_suppkey AS code, {_ACCENTED} AS name, n_regionkey AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey))
+""")
+def names_in_locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as two locales sort them, one code first."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    words = ["Zürich", "zebra", "Äpfel", "apfel", "Élan", "eland", "Ozean", "öl"]
+    name = F.concat_ws(" ", F.get(F.array(*[F.lit(w) for w in words]), F.col("n_nationkey").cast("int") % 8), F.col("s_suppkey") % 7)
+    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("S"), "s_suppkey").alias("code"), name.alias("name"), F.col("n_regionkey").alias("grp"))
+    out = None
+    for locale in ("de", "sv"):
+        own = R.by_name(rows, locale=locale, first=["S3"], keys=["grp"]).withColumn("locale", F.lit(locale))
+        out = own if out is None else out.unionByName(own)
+    return out.select("code", "name", "locale", "place")
+
+
+@query("""
+SELECT chunk, COUNT(*) AS n_ids, MIN(o) AS first, MAX(o) AS last, CAST(SUM(n) AS BIGINT) AS n_rows FROM (
+ SELECT l_orderkey AS o, COUNT(*) AS n, (DENSE_RANK() OVER (ORDER BY l_orderkey) - 1) // 1000 AS chunk FROM lineitem GROUP BY l_orderkey) GROUP BY chunk
+""")
+def chunked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ids in chunks of a thousand, in order, with the rows they have."""
+    from reefline.operators import chunks
+
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.count("*").alias("n"))
+    placed = chunks.numbered(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o")), "o", 1000)
+    return placed.join(rows, "o").groupBy("chunk").agg(F.count("*").alias("n_ids"), F.min("o").alias("first"), F.max("o").alias("last"), F.sum("n").alias("n_rows"))
