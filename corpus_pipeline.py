@@ -42,7 +42,7 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that tokens approach the target weights of sources, languages and topics."""
-    return mixing.sample(docs)
+    return mixing.sample(docs, tokens=mixing.vocabulary_tokens())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

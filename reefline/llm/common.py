@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits of an id filter at most: what is broadcast is a bit for each, 32 MB.
 FILTER_BITS = 1 << 28
-_BITMAP_BITS = 8 * 4096  # what bitmap_construct_agg holds in one bitmap
+BITMAP_BITS = 8 * 4096  # what bitmap_construct_agg holds in one bitmap
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,12 +59,13 @@ def workspace(spark: SparkSession, name: str) -> Iterator[None]:
         spark._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str, *, partition: str | None = None, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends there, so a lost
-    executor costs no recomputation beyond it."""
+    executor costs no recomputation beyond it. ``partition``: a column by whose values files are kept apart."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,13 +103,26 @@ class IdFilter:
     bits: int
 
 
+def bits_for(ids: int) -> int:
+    return 1 << min(max(int(16 * ids).bit_length(), 16), FILTER_BITS.bit_length() - 1)
+
+
 def id_filter(ids: DataFrame, *columns: str) -> IdFilter:
     """The filter of the values of some columns of a written table."""
-    bits = 1 << min(max(int(16 * ids.count()).bit_length(), 16), FILTER_BITS.bit_length() - 1)
+    return _bitmaps(ids, bits_for(ids.count()), [], columns)
+
+
+def id_filters(ids: DataFrame, part: str, *columns: str) -> IdFilter:
+    """The filters of the parts of a written table, as one table with the column ``part``, all of one size."""
+    most = ids.groupBy(part).count().agg(F.max("count")).first()[0] or 0
+    return _bitmaps(ids, bits_for(most), [part], columns)
+
+
+def _bitmaps(ids: DataFrame, bits: int, keys: list[str], columns: tuple[str, ...]) -> IdFilter:
     h = F.pmod(F.xxhash64(*columns), F.lit(bits))
     bitmaps = (
-        ids.select(F.floor(h / _BITMAP_BITS).cast("long").alias("__bucket"), (h % _BITMAP_BITS).alias("__bit"))
-        .groupBy("__bucket")
+        ids.select(*keys, F.floor(h / BITMAP_BITS).cast("long").alias("__bucket"), (h % BITMAP_BITS).alias("__bit"))
+        .groupBy(*keys, "__bucket")
         .agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
     )
     return IdFilter(bitmaps, bits)
@@ -119,7 +133,7 @@ def flagged(df: DataFrame, known: IdFilter, *keys: Column | str) -> DataFrame:
     the values of the keys may be in the filter."""
     h = F.pmod(F.xxhash64(*[F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]), F.lit(known.bits))
     byte = "cast(conv(hex(substring(__bitmap, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.floor(h / _BITMAP_BITS).cast("long").alias("__bucket"), (h % _BITMAP_BITS).cast("int").alias("__bit"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.floor(h / BITMAP_BITS).cast("long").alias("__bucket"), (h % BITMAP_BITS).cast("int").alias("__bit"))
     return rows.join(F.broadcast(known.bitmaps), "__bucket", "left").select("__row", F.expr(f"coalesce((shiftright({byte}, __bit % 8) & 1) = 1, false)").alias("__maybe"))
 
 

@@ -1,8 +1,8 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Rows are logged with the digest of their normalised text. Each batch is dealt into memtables; a memtable
-flushes a sorted run of (digest, smallest and largest id, rows) with a Bloom filter on the digest. A level
-that has ``fanout`` runs is compacted into one run of the next level: digests that no other run's filter
+Rows are logged with the digest of their normalised text. Each batch is dealt into memtables of a bounded
+number of rows in one pass; a memtable flushes a sorted run of (digest, smallest and largest id, rows) with a
+Bloom filter on the digest. A level that has ``fanout`` runs is compacted into one run of the next level: digests that no other run's filter
 knows pass through unshuffled, only the others are grouped. Batches may be added to an index at any time.
 
 Hits are digests with more than one row. Rows find them through a filter, so the texts that nothing equals
@@ -21,8 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import IdFilter, ascii_lower, flagged, id_filter, kept, maybe_in, workspace, written
+from reefline.llm.common import BITMAP_BITS, IdFilter, ascii_lower, flagged, id_filter, id_filters, kept, maybe_in, workspace, written
 
+#: Rows of a memtable, about: those of its sorted run at most.
+MEMTABLE = 1 << 26
 RUN = ("_digest", "_low", "_high", "_n")
 
 
@@ -37,46 +39,75 @@ def merged(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Run:
-    rows: DataFrame  # sorted by digest within its files
-    filter: IdFilter
+    """A sorted run; its filter is made when it is first asked for."""
+
+    rows: DataFrame
+    _filter: IdFilter | None = None
 
     @staticmethod
     def flush(rows: DataFrame, name: str) -> Run:
-        """Writes a run and its filter; Parquet keeps the range of digests of each file and row group."""
-        stored = written(rows.sortWithinPartitions("_digest"), name)
-        found = id_filter(stored, "_digest")
-        return Run(stored, IdFilter(written(found.bitmaps.coalesce(1), f"{name}-filter"), found.bits))
-
-
-def split(run: Run, others: list[Run]) -> tuple[DataFrame, DataFrame]:
-    """(rows of a run that no other run's filter knows, the rest)."""
-    marked = run.rows.withColumn("_known", F.lit(False))
-    for o in others:
-        marked = flagged(marked, o.filter, "_digest").select("__row.*", "__maybe").withColumn("_known", F.col("_known") | F.col("__maybe")).drop("__maybe")
-    return marked.where("not _known").select(*RUN), marked.where("_known").select(*RUN)
+        """Writes a run; Parquet keeps the range of digests of each file and row group."""
+        return Run(written(rows.sortWithinPartitions("_digest"), name))
+
+    @property
+    def filter(self) -> IdFilter:
+        if self._filter is None:
+            found = id_filter(self.rows, "_digest")
+            self._filter = IdFilter(written(found.bitmaps.coalesce(1), "lsm-filter"), found.bits)
+        return self._filter
+
+
+def known_elsewhere(runs: list[Run]) -> DataFrame:
+    """The rows of all runs, each with whether another run's filter knows its digest (``_known``). Filters
+    are looked up together, those of one size by one join."""
+    rows = reduce(DataFrame.unionByName, [r.rows.select(*RUN, F.lit(k).alias("_own")) for k, r in enumerate(runs)]).withColumn("_known", F.lit(False))
+    sizes: dict[int, list[int]] = {}
+    for k, r in enumerate(runs):
+        sizes.setdefault(r.filter.bits, []).append(k)
+    for bits, own in sizes.items():
+        maps = reduce(DataFrame.unionByName, [runs[k].filter.bitmaps.select("__bucket", F.struct(F.lit(k).alias("k"), F.col("__bitmap").alias("b")).alias("__f")) for k in own])
+        maps = maps.groupBy("__bucket").agg(F.collect_list("__f").alias("__fs"))  # one of each run
+        h = F.pmod(F.xxhash64("_digest"), F.lit(bits))
+        rows = rows.withColumns({"__bucket": F.floor(h / BITMAP_BITS).cast("long"), "__bit": (h % BITMAP_BITS).cast("int")}).join(F.broadcast(maps), "__bucket", "left")
+        byte = "cast(conv(hex(substring(f.b, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
+        found = F.expr(f"coalesce(exists(__fs, f -> f.k <> _own and (shiftright({byte}, __bit % 8) & 1) = 1), false)")
+        rows = rows.withColumn("_known", F.col("_known") | found).drop("__bucket", "__bit", "__fs")
+    return rows
+
+
+def split(runs: list[Run]) -> tuple[DataFrame, DataFrame]:
+    """(rows that no other run's filter knows, the rest)."""
+    rows = known_elsewhere(runs)
+    return rows.where("not _known").select(*RUN), rows.where("_known").select(*RUN)
 
 
 def compact(runs: list[Run], name: str) -> Run:
     """One run of all. A digest that only one run can have passes through; the others are grouped."""
-    parts = [split(r, [o for o in runs if o is not r]) for r in runs]
-    alone, shared = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
+    alone, shared = split(runs)
     return Run.flush(alone.unionByName(merged(shared)), name)
 
 
 @dataclass
 class LsmIndex:
-    """Runs by level. Its tables are in the workspace of the caller, or in the shared folder without one."""
+    """Runs by level. Its tables are in the workspace of the caller, or in the shared folder without one.
+    ``rows``: of a memtable at most, about; there are ``memtables`` of a batch at least."""
 
     memtables: int = 4
     fanout: int = 4
+    rows: int = MEMTABLE
     levels: list[list[Run]] = field(default_factory=list)
 
     def add(self, log: DataFrame) -> None:
-        """Adds a written batch of (_id, _digest); a memtable holds the rows of a range of id hashes."""
-        run = F.pmod(F.xxhash64("_id"), F.lit(self.memtables))
-        for k in range(self.memtables):
-            own = log.where(run == k).select("_digest", F.col("_id").alias("_low"), F.col("_id").alias("_high"), F.lit(1).cast("long").alias("_n"))
-            self._put(Run.flush(merged(own), "lsm-run"), 0)
+        """Adds a written batch of (_id, _digest); a memtable holds the rows of a range of id hashes. All
+        memtables of a batch are made in one pass over it, and so are their filters."""
+        tables = max(self.memtables, -(-log.count() // self.rows))
+        run = F.pmod(F.xxhash64("_id"), F.lit(tables)).cast("int").alias("_run")
+        own = log.groupBy(run, "_digest").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_n"))
+        stored = written(own.sortWithinPartitions("_run", "_digest"), "lsm-memtables", partition="_run")
+        filters = id_filters(stored, "_run", "_digest")
+        filters = IdFilter(written(filters.bitmaps.coalesce(1), "lsm-filters"), filters.bits)
+        for k in range(tables):
+            self._put(Run(stored.where(F.col("_run") == k).select(*RUN), IdFilter(filters.bitmaps.where(F.col("_run") == k).select("__bucket", "__bitmap"), filters.bits)), 0)
 
     def _put(self, run: Run, level: int) -> None:
         while len(self.levels) <= level:

@@ -15,13 +15,15 @@ rounds end, a warning says by how much.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import kept, workspace, written
+from reefline.llm.common import kept, small_batches, workspace, written
 
 MAX_CELLS = 200_000
 ROUNDS = 60
@@ -31,6 +33,32 @@ BOUND_ROUNDS = 200
 BOUND_TOLERANCE = 1e-8
 
 
+@dataclass(frozen=True)
+class Weights:
+    """A target given as weights by token: a category's share is its own share times its weight, to sum 1."""
+
+    by: Mapping[str, float] = field(default_factory=dict)
+    other: float = 1.0
+
+
+Target = dict[str, float] | float | Weights
+#: Sources and languages a little more even than they are; of what isn't prose less, of noise little.
+TARGETS: dict[str, Target] = {"source": 0.9, "lang": 0.9, "topic": Weights({"noise": 0.25, "tables": 0.75, "contact": 0.75, "code": 0.75})}
+
+
+def vocabulary_tokens(name: str = "byte_bpe_50k") -> Callable[[Column], Column]:
+    """Counts the ids of a public vocabulary."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        from reefline.llm.tokenizing import byte_bpe
+
+        encode = byte_bpe(name)
+        return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+
+    return count
+
+
 def word_count(text: Column) -> Column:
     """Runs of characters other than white space."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s+|\\s+$", "")
@@ -156,7 +184,7 @@ def bounded_table(work: DataFrame, goals: dict[str, DataFrame], reach: float) ->
     return work.withColumn("probability", F.least(F.lit(1.0), F.col("p") * scale))
 
 
-def cell_probabilities(cells: DataFrame, margins: dict[str, dict[str, float] | float], share: float, max_cells: int) -> DataFrame:
+def cell_probabilities(cells: DataFrame, margins: dict[str, Target], share: float, max_cells: int) -> DataFrame:
     """``cells`` (a written table with a column for each margin and ``tokens``) with weight and probability."""
     names = list(margins)
     spark = cells.sparkSession
@@ -170,7 +198,10 @@ def cell_probabilities(cells: DataFrame, margins: dict[str, dict[str, float] | f
             member = np.array([at[r[m]] for r in rows], dtype=np.int64)
             have = np.bincount(member, weights=tokens, minlength=len(values)) if rows else np.zeros(0)
             goal = margins[m]
-            wanted = np.array([goal.get(v, 0.0) for v in values]) * (have > 0) if isinstance(goal, dict) else tempered(have, goal)
+            if isinstance(goal, Weights):
+                wanted = have * np.array([goal.by.get(v, goal.other) for v in values])
+            else:
+                wanted = np.array([goal.get(v, 0.0) for v in values]) * (have > 0) if isinstance(goal, dict) else tempered(have, goal)
             members.append(member)
             targets.append(wanted / wanted.sum() if wanted.sum() else wanted)
         raked = rake(tokens, members, targets)
@@ -184,7 +215,10 @@ def cell_probabilities(cells: DataFrame, margins: dict[str, dict[str, float] | f
     for m in names:
         sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have"))
         goal = margins[m]
-        if isinstance(goal, dict):
+        if isinstance(goal, Weights):
+            given = spark.createDataFrame(list(goal.by.items()) or [("", goal.other)], f"`{m}` string, want double")
+            sums = sums.join(given, m, "left").select(m, (F.col("have") * F.coalesce("want", F.lit(goal.other))).alias("want"))
+        elif isinstance(goal, dict):
             given = spark.createDataFrame(list(goal.items()) or [("", 0.0)], f"`{m}` string, want double")
             sums = sums.join(given, m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0))).otherwise(0.0).alias("want"))
         else:
@@ -217,7 +251,8 @@ def mix(
     text_col: str = "text",
     *,
     margins: dict[str, Column] | None = None,
-    targets: dict[str, dict[str, float] | float] | None = None,
+    targets: dict[str, Target] | None = None,
+    tokens: Callable[[Column], Column] = word_count,
     share: float = 0.7,
     seed: int = 42,
     max_cells: int = MAX_CELLS,
@@ -225,8 +260,8 @@ def mix(
     """(id, one column for each margin, n_tokens, weight, probability, kept) for each row.
 
     ``margins``: the categories (by default source, lang, and a topic from the text); ``targets``: for
-    each margin its shares by category, or a temperature that its own shares are raised to. ``share``: the
-    share of all tokens to keep. weight: raked over actual tokens of the row's cell. probability: the
+    each margin its shares by category, weights for its own shares, or a temperature that these are raised to.
+    ``tokens``: counts those of a text (by default words). ``share``: the share of all tokens to keep. weight: raked over actual tokens of the row's cell. probability: the
     weights raked again under the bound 1, so that what is kept meets the targets as far as the tokens go;
     kept: whether the id's hash falls below it.
 
@@ -237,7 +272,7 @@ def mix(
     """
     margins, targets = _settings(margins, targets, text_col)
     with workspace(docs.sparkSession, "mixing"):
-        rows, chances = _chances(docs, id_col, text_col, margins, targets, share, seed, max_cells)
+        rows, chances = _chances(docs, id_col, text_col, margins, targets, tokens, share, seed, max_cells)
         out = rows.join(chances, list(margins)).select(F.col("_id").alias(id_col), *margins, "n_tokens", "weight", "probability", (F.col("_u") < F.col("probability")).alias("kept"))
         return kept(out, "mixed")
 
@@ -248,7 +283,8 @@ def sample(
     text_col: str = "text",
     *,
     margins: dict[str, Column] | None = None,
-    targets: dict[str, dict[str, float] | float] | None = None,
+    targets: dict[str, Target] | None = None,
+    tokens: Callable[[Column], Column] = word_count,
     share: float = 0.7,
     seed: int = 42,
     max_cells: int = MAX_CELLS,
@@ -257,7 +293,7 @@ def sample(
     probabilities go to the rows, so no row is shuffled."""
     margins, targets = _settings(margins, targets, text_col)
     with workspace(docs.sparkSession, "mixing"):
-        _, chances = _chances(docs, id_col, text_col, margins, targets, share, seed, max_cells)
+        _, chances = _chances(docs, id_col, text_col, margins, targets, tokens, share, seed, max_cells)
         chances = kept(chances.select(*[F.col(f"`{m}`").alias(f"_m{i}") for i, m in enumerate(margins)], F.col("probability").alias("_p")), "mix-chances")
     few = chances.count() <= max_cells
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
@@ -267,7 +303,7 @@ def sample(
 
 def _settings(margins: dict | None, targets: dict | None, text_col: str) -> tuple[dict[str, Column], dict]:
     margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col(text_col))}
-    targets = targets or {"source": 0.5, "lang": 0.5, "topic": 0.7}
+    targets = targets or TARGETS
     if set(targets) != set(margins):
         raise ValueError("each margin has a target")
     return margins, {m: targets[m] for m in margins}
@@ -277,9 +313,10 @@ def _category(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def _chances(docs: DataFrame, id_col: str, text_col: str, margins: dict[str, Column], targets: dict, share: float, seed: int, max_cells: int) -> tuple[DataFrame, DataFrame]:
+def _chances(docs: DataFrame, id_col: str, text_col: str, margins: dict[str, Column], targets: dict, tokens: Callable[[Column], Column], share: float, seed: int, max_cells: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their margins, tokens and hash; the cells' weights and probabilities)."""
-    rows = docs.select(F.col(id_col).alias("_id"), *(_category(c).alias(m) for m, c in margins.items()), word_count(F.col(text_col)).alias("n_tokens"), uniform(F.col(id_col).cast("string"), F.col(text_col), seed).alias("_u"))
-    rows = written(rows, "mix-rows")
+    rows = docs.select(F.col(id_col).alias("_id"), *(_category(c).alias(m) for m, c in margins.items()), tokens(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_tokens"), uniform(F.col(id_col).cast("string"), F.col(text_col), seed).alias("_u"))
+    with small_batches(docs.sparkSession):
+        rows = written(rows, "mix-rows")
     cells = written(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     return rows, cell_probabilities(cells, targets, share, max_cells)

@@ -60,7 +60,7 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), tokens=mixing.vocabulary_tokens())
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

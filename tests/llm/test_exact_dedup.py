@@ -71,7 +71,19 @@ def test_batches_may_be_added(spark):
 def test_compaction_groups_only_what_filters_know(spark):
     log = lambda a, b: E.Run.flush(E.merged(spark.range(a, b).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("_digest"), F.col("id").alias("_low"), F.col("id").alias("_high"), F.lit(1).cast("long").alias("_n"))), "r")
     a, b = log(0, 1000), log(900, 2000)
-    alone, shared = E.split(a, [b])
-    assert 100 <= shared.count() < 150 and alone.count() + shared.count() == 1000
+    alone, shared = E.split([a, b])
+    assert 200 <= shared.count() < 300 and alone.count() + shared.count() == 2100
     assert {r._low for r in shared.collect()} >= set(range(900, 1000))
+    small = log(950, 960)  # filters of another size
+    alone, shared = E.split([a, b, small])
+    assert 210 <= shared.count() < 330 and alone.count() + shared.count() == 2110
     assert E.compact([a, b], "c").rows.where("_n > 1").count() == 100
+
+
+def test_memtables_are_bounded_in_rows(spark):
+    rows = spark.range(1000).select(F.col("id").alias("_id"), F.unhex(F.md5((F.col("id") % 700).cast("string"))).alias("_digest"))
+    index = E.LsmIndex(memtables=2, fanout=100, rows=150)
+    index.add(rows)
+    sizes = [r.rows.agg(F.sum("_n")).first()[0] for r in index.levels[0]]
+    assert len(sizes) == 7 and sum(sizes) == 1000 and max(sizes) < 250
+    assert len(runs_of(index)) == 700

@@ -126,3 +126,41 @@ def test_targets_that_exclude_each_other_are_told():
     tokens, members = np.array([10.0, 10.0]), [np.array([0, 1]), np.array([0, 1])]
     with pytest.warns(UserWarning, match="exclude each other"):
         M.rake(tokens, members, [np.array([0.9, 0.1]), np.array([0.2, 0.8])])
+
+
+@pytest.mark.parametrize("max_cells", [1000, 0])
+def test_targets_given_as_weights(spark, max_cells):
+    """A category of weight 0.25 keeps a quarter of what the others keep; expected margins within 1 %."""
+    rows = [(i, "word " * (1 + i % 3), f"s{i % 3}", ["prose", "noise", "code"][i // 3 % 3 if i % 2 else 0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, topic string")
+    targets = {"source": M.Weights(), "topic": M.Weights({"noise": 0.25}, 1.0)}
+    got = M.mix(df, margins={m: F.col(m) for m in targets}, targets=targets, share=0.5, max_cells=max_cells).collect()
+    have, stay = {}, {}
+    for r in got:
+        for v in (r.source, r.topic):
+            have[v] = have.get(v, 0) + r.n_tokens
+            stay[v] = stay.get(v, 0) + r.probability * r.n_tokens
+    rate = {v: stay[v] / have[v] for v in have}
+    assert rate["noise"] == pytest.approx(0.25 * rate["prose"], rel=0.01) and rate["code"] == pytest.approx(rate["prose"], rel=0.01)
+    assert all(rate[s] == pytest.approx(0.5, rel=0.01) for s in ("s0", "s1", "s2"))
+
+
+def test_tokens_of_a_vocabulary(spark, docs, texts):
+    from reefline.llm.tokenizing import library
+
+    coder = library("byte_bpe_50k.json")
+    rows = M.mix(docs, tokens=M.vocabulary_tokens()).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(coder.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+@pytest.mark.filterwarnings("error:raking")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_default_targets_are_met(spark, sf):
+    """On the driver's documents no margin is off, noise is cut most and prose least."""
+    import os
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("the driver's tables aren't here")
+    got = M.mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    rate = {r.topic: r.p for r in got.groupBy("topic").agg((F.sum(F.col("probability") * F.col("n_tokens")) / F.sum("n_tokens")).alias("p")).collect()}
+    assert rate["prose"] > 0.7 and rate["noise"] == min(rate.values()) < 0.3

@@ -27,6 +27,6 @@ def test_stages_take_effect(spark):
 
 
 def test_register():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "mixing", "packing"]
