@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.functions.numbers import number, whole
-from reefline.geo.functions import st_area, st_area_km2, st_bounds, st_buffer_km2, st_intersection, st_is_valid, st_make_valid, st_simplify, st_transform, st_union_agg, st_union_area_agg
-from reefline.geo.joins import candidates, dissolve, spatial_join
+from reefline.geo.functions import st_area, st_area_km2, st_bounds, st_buffer_km2, st_intersection, st_is_valid, st_make_valid, st_simplify, st_transform, st_union_agg
+from reefline.geo.joins import candidates, dissolve, spatial_join, union_area, united
 from reefline.operators.clean import choose_area, claimants
 from reefline.operators.groups import members, membership
 
@@ -34,7 +34,7 @@ def with_group_rows(zones: DataFrame, groups: DataFrame, kind: str) -> DataFrame
     members' group lists."""
     lists = membership(groups)
     own = zones.join(lists, zones["code"] == lists["member"], "left").drop("member")
-    shapes = zones.join(groups, zones["code"] == groups["member"]).groupBy("grp").agg(st_union_agg("geometry").alias("geometry"))
+    shapes = united(zones.join(groups, zones["code"] == groups["member"]).select("grp", "geometry"), ["grp"])
     rows = shapes.join(members(groups), "grp").select(F.col("grp").alias("code"), "geometry", F.lit(kind).alias("type"), "members")
     return own.withColumn("type", F.lit("country")).unionByName(rows, allowMissingColumns=True)
 
@@ -86,12 +86,18 @@ def site_geometries(sites: DataFrame, tolerance: float | None = None) -> DataFra
 def mangroves_by_location(mangroves: DataFrame, locations: DataFrame, areas: DataFrame, size: float = 1.0) -> DataFrame:
     """(location, total_mangrove_area_km2, protected_mangrove_area_km2): overlaps count once in both."""
     inside = _parts(mangroves, locations, size)
-    total = inside.groupBy("location").agg((st_union_area_agg(st_transform("part", "6933")) / 1e6).alias("total_mangrove_area_km2"))
+    total = _km2(inside, "part", "total_mangrove_area_km2")
     guarded = candidates(inside.select("location", F.col("part").alias("geometry")), areas.select("geometry"), size).withColumn("both", st_intersection("geometry", "geometry_r")).where(st_area("both") > 0)
-    protected = guarded.groupBy("location").agg((st_union_area_agg(st_transform("both", "6933")) / 1e6).alias("protected_mangrove_area_km2"))
+    protected = _km2(guarded, "both", "protected_mangrove_area_km2")
     return total.join(protected, "location", "left").na.fill(0.0, ["protected_mangrove_area_km2"])
 
 
+def _km2(parts: DataFrame, geometry: str, name: str) -> DataFrame:
+    """(location, name): area of the union of each location's parts, by cells of 100 km: no task holds a location."""
+    projected = parts.select("location", st_transform(geometry, "6933").alias("_p"))
+    return union_area(projected, ["location"], "_p", 1e5, name).withColumn(name, F.col(name) / 1e6)
+
+
 def _parts(mangroves: DataFrame, locations: DataFrame, size: float) -> DataFrame:
     pairs = candidates(mangroves.select("geometry"), locations.select("location", "geometry"), size)
     return pairs.select("location", st_intersection("geometry", "geometry_r").alias("part")).where(st_area("part") > 0)

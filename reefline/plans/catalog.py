@@ -67,4 +67,4 @@ def region_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: (spark, sf_dir) -> rows, registered by the modules that follow.
-from reefline.plans import cleaning, geometry, rasters, reading, requests, rollups, sites, snapshots, spatial  # noqa: E402, F401
+from reefline.plans import cleaning, geometry, locations, rasters, reading, requests, rollups, sites, snapshots, spatial  # noqa: E402, F401
