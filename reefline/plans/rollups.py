@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reefline.functions.numbers import percent, safe_sum
 from reefline.operators import coverage, habitats, history, levels
-from reefline.operators.groups import bridge, members, membership, rollup, total
+from reefline.operators.groups import bridge, bridge_of, members, membership, rollup, total
 from reefline.plans.catalog import COUNTRY_SQL, country_areas, query, r6, region_bridge, table
 
 def _sums() -> list[Column]:
@@ -51,18 +51,29 @@ def coverage_with_empty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup(country_areas(spark, sf_dir), bridge(spark, GROUPS), "location", _sums(), keep_empty=True)
 
 
+_PAIRS = "SELECT DISTINCT 'P' || p_partkey AS grp, 'S' || l_suppkey AS member FROM part LEFT JOIN lineitem ON l_partkey = p_partkey"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as groups of the suppliers that deliver them, some without any, from a column of lists."""
+    p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    lists = l.groupBy("l_partkey").agg(F.collect_list(F.concat(F.lit("S"), "l_suppkey")).alias("m"))
+    known = p.join(lists, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return bridge_of(known.select(F.create_map(F.concat(F.lit("P"), "p_partkey"), F.coalesce("m", F.array().cast("array<string>"))).alias("groups")), "groups")
+
+
 @query(f"""
-SELECT member, string_agg(grp, ',' ORDER BY grp) AS grps FROM {_BRIDGE} WHERE member IS NOT NULL GROUP BY member
+SELECT member, string_agg(grp, ',' ORDER BY grp) AS grps FROM ({_PAIRS}) WHERE member IS NOT NULL GROUP BY member
 """)
 def group_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership(bridge(spark, GROUPS)).select("member", F.array_join("groups", ",").alias("grps"))
+    return membership(_pairs(spark, sf_dir)).select("member", F.array_join("groups", ",").alias("grps"))
 
 
 @query(f"""
-SELECT grp, COALESCE(string_agg(member, ',' ORDER BY member), '') AS list FROM {_BRIDGE} GROUP BY grp
+SELECT grp, COALESCE(string_agg(member, ',' ORDER BY member), '') AS list FROM ({_PAIRS}) GROUP BY grp
 """)
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members(bridge(spark, GROUPS)).select("grp", F.array_join("members", ",").alias("list"))
+    return members(_pairs(spark, sf_dir)).select("grp", F.array_join("members", ",").alias("list"))
 
 
 def _statistics(countries: DataFrame) -> DataFrame:
@@ -110,25 +121,36 @@ WORLD = (("total_ocean_area_oecms_pas", "100"), ("total_ocean_area_oecms", "20")
 _WORLD = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in WORLD) + ") w(type, value)"
 
 
+#: The world's statistics by their keys: (in Spark, in DuckDB) over line items.
+_HELD, _OTHER = "l_returnflag <> 'N'", "l_returnflag = 'A'"
+_WORLD_VALUES = {
+    "total_ocean_area_oecms_pas": f"SUM(CASE WHEN {_HELD} THEN l_quantity END)",
+    "total_ocean_area_oecms": f"SUM(CASE WHEN {_OTHER} THEN l_quantity END)",
+    "total_ocean_oecms_pas_coverage_percentage": f"100 * SUM(CASE WHEN {_HELD} THEN l_quantity END) / SUM(l_quantity)",
+    "total_marine_oecms_pas": f"COUNT(CASE WHEN {_HELD} THEN 1 END)",
+    "high_seas_pa_coverage_area": "SUM(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN l_quantity END)",
+    "high_seas_pa_coverage_percentage": "100 * SUM(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN l_quantity END) / SUM(l_quantity)",
+    "national_waters_oecms_coverage_area": f"SUM(CASE WHEN {_OTHER} AND l_linenumber <> 1 THEN l_quantity END)",
+    "national_waters_oecms_pas_coverage_area": f"SUM(CASE WHEN {_HELD} AND l_linenumber <> 1 THEN l_quantity END)",
+    "global_ocean_percentage": "100 * SUM(CASE WHEN l_linenumber = 1 THEN l_quantity END) / SUM(l_quantity)",
+}
+_AS_WRITTEN = {k: f"CAST(ROUND(CAST({v} AS DOUBLE), 2) AS DECIMAL(20, 2))" for k, v in _WORLD_VALUES.items()}
+_SHORT = dict(zip(_WORLD_VALUES, ("both_", "other", "pct", "n", "hs", "hspct", "nw_other", "nw_both", "ocean"), strict=True))
+
+
 @query(f"""
-WITH k AS (SELECT MAX(CASE WHEN type = 'total_ocean_area_oecms_pas' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS both_,
-  MAX(CASE WHEN type = 'total_ocean_area_oecms' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS other,
-  MAX(CASE WHEN type = 'total_ocean_oecms_pas_coverage_percentage' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS pct,
-  MAX(CASE WHEN type = 'high_seas_pa_coverage_area' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS hs,
-  MAX(CASE WHEN type = 'high_seas_pa_coverage_percentage' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS hspct,
-  MAX(CASE WHEN type = 'national_waters_oecms_coverage_area' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS nw_other,
-  MAX(CASE WHEN type = 'national_waters_oecms_pas_coverage_area' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS nw_both,
-  MAX(CASE WHEN type = 'global_ocean_percentage' THEN CAST(NULLIF(value, '') AS DOUBLE) END) AS ocean FROM {_WORLD})
-SELECT 'GLOB' AS location, both_ AS protected_area, CAST(7 AS BIGINT) AS protected_areas_count, pct AS coverage, ROUND(100 * (both_ - other) / both_, 6) AS pas, ROUND(100 * other / both_, 6) AS oecms,
+WITH k AS (SELECT {', '.join(f'CAST({v} AS DOUBLE) AS {_SHORT[k]}' for k, v in _AS_WRITTEN.items())} FROM lineitem)
+SELECT 'GLOB' AS location, both_ AS protected_area, CAST(n AS BIGINT) AS protected_areas_count, pct AS coverage, ROUND(100 * (both_ - other) / both_, 6) AS pas, ROUND(100 * other / both_, 6) AS oecms,
        ROUND(pct, 6) AS global_contribution, ROUND(both_ / (pct / 100), 6) AS total_area FROM k
 UNION ALL
 SELECT 'ABNJ', hs, CAST(-9999 AS BIGINT), hspct, ROUND(100 * ((both_ - nw_both) - (other - nw_other)) / (both_ - nw_both), 6), ROUND(100 * (other - nw_other) / (both_ - nw_both), 6),
        ROUND(100 * hs / (both_ / (pct / 100)), 6), ROUND(both_ / (pct / 100) * ocean / 100, 6) FROM k
 """)
 def coverage_world_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global and high-seas rows from key/value statistics."""
-    world = coverage.key_values(spark.createDataFrame(list(WORLD), "type string, value string"), coverage.WORLD_KEYS)
-    rows = coverage.world_rows(world, "marine")
+    """Global and high-seas rows from key/value statistics, which are sums over line items as text."""
+    sums = table(spark, sf_dir, "lineitem").agg(*[F.expr(v).cast("string").alias(k) for k, v in _AS_WRITTEN.items()])
+    lines = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("type"), F.col(k).alias("value")) for k in _AS_WRITTEN])).alias("l")).select("l.*")
+    rows = coverage.world_rows(coverage.key_values(lines, coverage.WORLD_KEYS), "marine")
     return rows.select("location", "protected_area", "protected_areas_count", "coverage", *[r6(c).alias(c) for c in ("pas", "oecms", "global_contribution", "total_area")])
 
 
@@ -174,15 +196,18 @@ def marine_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 1000.0::DOUBLE AS total_km2, 10.0::DOUBLE AS if_km2, 1.0::DOUBLE AS if_percent, 20.0::DOUBLE AS ih_km2, CAST(NULL AS DOUBLE) AS ih_percent
+WITH l AS (SELECT l_returnflag AS f, SUM(l_quantity) AS q FROM lineitem GROUP BY 1), t AS (SELECT SUM(q) AS total FROM l)
+SELECT total AS total_km2, MAX(CASE WHEN f = 'A' THEN q END) AS a_km2, ROUND(MAX(CASE WHEN f = 'A' THEN 100 * q / total END), 4) AS a_percent, MAX(CASE WHEN f = 'R' THEN q END) AS r_km2, CAST(NULL AS DOUBLE) AS r_percent FROM l, t GROUP BY total
 """)
 def world_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nested record to columns."""
-    record = '{"total_km2": 1000, "mpaguide_status": {"total": [{"key": "if", "km2": 10, "percent": 1}, {"key": "ih", "km2": 20}]}}'
+    """A nested record to columns; the record is made of the line items by flag, one of which has no percentage."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.lower("l_returnflag").alias("key")).agg(F.sum("l_quantity").alias("km2"))  # noqa: E741
+    total = l.agg(F.sum("km2").alias("total_km2"))
+    entries = l.crossJoin(F.broadcast(total)).withColumn("percent", F.when(F.col("key") != "r", F.round(100 * F.col("km2") / F.col("total_km2"), 4)))  # one row
+    record = entries.groupBy("total_km2").agg(F.struct(F.collect_list(F.struct("key", "km2", "percent")).alias("total")).alias("mpaguide_status"))
     schema = "total_km2 double, mpaguide_status struct<total: array<struct<key: string, km2: double, percent: double>>>"
-    df = spark.createDataFrame([(record,)], "v string").select(F.from_json("v", schema).alias("r")).select("r.*")
-    out = levels.world_levels(df)
-    return out.select("total_km2", *[F.col(f"mpaguide_total_{c}").alias(c) for c in ("if_km2", "if_percent", "ih_km2", "ih_percent")])
+    read = record.select(F.from_json(F.to_json(F.struct("total_km2", "mpaguide_status")), schema).alias("r")).select("r.*")
+    return levels.world_levels(read).select("total_km2", *[F.col(f"mpaguide_total_{c}").alias(c) for c in ("a_km2", "a_percent", "r_km2", "r_percent")])
 
 
 _PEAKS = "SELECT DISTINCT l_partkey AS peak, CAST(p_size AS DOUBLE) AS area, r_name AS grp, l_returnflag = 'R' AS pa FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
