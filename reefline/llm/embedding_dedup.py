@@ -1,7 +1,8 @@
 """Embedding near-duplicates as an exact metric range join.
 
 Unit vectors with cosine c lie sqrt(2 - 2c) apart, so a cosine threshold is a distance r. Pivots part the
-vectors into cells (each vector's home is its nearest pivot). A vector within r of one whose home is
+vectors into cells (each vector's home is its nearest pivot), in two levels: near the first pivots, each has some of its
+own, and a vector looks only at those of the first ones it visits. On either level a vector within r of one whose home is
 another cell lies, by the triangle inequality, at most 2r farther from that cell's pivot than from its
 own, and at most r from the plane between the two pivots; where both bounds allow it, it is replicated
 into that cell. Cells then join on their own: each vector meets every possible partner exactly once, in
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from reefline.llm.common import kept, workspace, written
 from reefline.llm.graph import components
 
-#: Pivots at most, the rows drawn to choose one, and numbers in either at most: what the driver and the
-#: tasks hold. There is about one pivot for ``cell_rows`` rows, so cells grow only beyond this many of them.
-PIVOTS = 2048
+#: Pivots of both levels at most, the rows drawn to choose one, and numbers in either at most: what the driver
+#: and the tasks hold. There is about one pivot for ``cell_rows`` rows, so cells grow only beyond this many.
+PIVOTS = 1 << 14
 SAMPLE = 8
 NUMBERS = 1 << 23
 #: Visitors that are compared at once.
@@ -68,7 +70,45 @@ def spread(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def pivots_for(classes: DataFrame, cell_rows: int) -> dict[int, np.ndarray]:
+@dataclass(frozen=True)
+class Pivots:
+    """First pivots and, for each, those below it."""
+
+    first: np.ndarray
+    below: list[np.ndarray]
+
+    @staticmethod
+    def of(sample: np.ndarray, n: int) -> Pivots:
+        """About n pivots from a sample: as many first ones as each has below it."""
+        first = spread(sample, int(np.ceil(np.sqrt(n))))
+        home = (sample @ first.T).argmax(1)
+        own = [sample[home == k] for k in range(len(first))]  # none where first pivots are equal
+        return Pivots(first, [spread(o, max(1, round(n * len(o) / len(sample)))) if len(o) else first[k : k + 1] for k, o in enumerate(own)])
+
+    def cells(self, x: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, numbers of cells, whether one is the row's home), by first pivot: the cells that unit vectors
+        within r of those of x may have for a home."""
+        near, visits = visited(x, self.first, r)
+        for k, below in enumerate(self.below):
+            rows = np.flatnonzero(visits[:, k])
+            if len(rows):
+                own, inner = visited(x[rows], below, r)
+                i, cell = np.nonzero(inner)
+                yield rows[i], cell + (k << 32), (near[rows[i]] == k) & (own[i] == cell)
+
+
+def visited(x: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest pivot, which pivots' cells may hold a vector within r) of unit vectors."""
+    d2 = np.maximum(2 - 2 * x @ pivots.T, 0)
+    home = d2.argmin(1)
+    own = d2[np.arange(len(x)), home][:, None]
+    apart = np.sqrt(np.maximum(2 - 2 * pivots[home] @ pivots.T, 1e-12))
+    visits = (np.sqrt(d2) <= np.sqrt(own) + 2 * r) & ((d2 - own) / (2 * apart) <= r)
+    visits[np.arange(len(x)), home] = True
+    return home, visits
+
+
+def pivots_for(classes: DataFrame, cell_rows: int) -> dict[int, Pivots]:
     """Pivots for each length of vectors, from a bounded sample; about one for ``cell_rows`` rows."""
     size = F.octet_length("unit")
     sizes = {r[0]: r[1] for r in classes.groupBy(size.alias("s")).count().collect()}
@@ -79,7 +119,7 @@ def pivots_for(classes: DataFrame, cell_rows: int) -> dict[int, np.ndarray]:
         rows = max(SAMPLE * pivots, min(2048, most))
         drawn = classes.where((size == s) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1, rows / n) * (1 << 30)))).select("unit").limit(2 * rows)
         sample = np.array([np.frombuffer(r[0], "<f8") for r in drawn.collect()] or [np.eye(1, s // 8)[0]])
-        out[s] = spread(sample, pivots)
+        out[s] = Pivots.of(sample, pivots)
     return out
 
 
@@ -168,21 +208,16 @@ def _linked(source: DataFrame, cosine: float, cell_rows: int, block_rows: int) -
             by_size: dict[int, list[int]] = {}
             for i, u in enumerate(units):
                 by_size.setdefault(len(u), []).append(i)
-            # So many vectors at once that their distances to all pivots take 16 MB.
-            strips = [(s, at[k : k + step]) for s, at in by_size.items() for step in [max(1, (1 << 21) // len(pivots[s]))] for k in range(0, len(at), step)]
+            # So many vectors at once that their distances to all pivots of a level take 16 MB.
+            strips = [(s, at[k : k + step]) for s, at in by_size.items() for step in [max(1, (1 << 21) // max(map(len, (pivots[s].first, *pivots[s].below))))] for k in range(0, len(at), step)]
             for s, at in strips:
-                x, p = np.frombuffer(b"".join(units[i] for i in at), "<f8").reshape(len(at), -1), pivots[s]
-                d2 = np.maximum(2 - 2 * x @ p.T, 0)
-                home = d2.argmin(1)
-                own = d2[np.arange(len(at)), home][:, None]
-                apart = np.sqrt(np.maximum(2 - 2 * p[home] @ p.T, 1e-12))
-                visits = (np.sqrt(d2) <= np.sqrt(own) + 2 * r) & ((d2 - own) / (2 * apart) <= r)
-                visits[np.arange(len(at)), home] = True
-                i, cell = np.nonzero(visits)
-                rows_of = np.array(at)
-                for picked, cells, is_home in ((np.arange(len(at)), home, True), (i, cell, False)):
-                    sub = batch.take(pa.array(rows_of[picked]))
-                    yield pa.RecordBatch.from_arrays([*sub.columns, pa.array([f"{s}:{c}" for c in cells], pa.string()), pa.array(np.full(len(cells), is_home))], ["rep", "weight", "label", "unit", "cell", "home"])
+                x, rows_of = np.frombuffer(b"".join(units[i] for i in at), "<f8").reshape(len(at), -1), np.array(at)
+                for i, cell, is_home in pivots[s].cells(x, r):
+                    # A home is there twice: its vector is a visitor in it too.
+                    for picked, home in ((is_home, True), (np.ones(len(i), dtype=bool), False)):
+                        sub = batch.take(pa.array(rows_of[i[picked]]))
+                        names = pa.array([f"{s}:{c >> 32}:{c & 0xFFFFFFFF}" for c in cell[picked].tolist()], pa.string())
+                        yield pa.RecordBatch.from_arrays([*sub.columns, names, pa.array(np.full(len(names), home))], ["rep", "weight", "label", "unit", "cell", "home"])
 
     dealt = written(classes.select("rep", "weight", "label", "unit").mapInArrow(deal, "rep long, weight long, label string, unit binary, cell string, home boolean"), "cells")
     sizes = written(dealt.groupBy("label", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visitors")), "cell-sizes")
