@@ -4,8 +4,8 @@ Unit vectors with cosine c lie sqrt(2 - 2c) apart, so a cosine threshold is a di
 vectors into cells (each vector's home is its nearest pivot), in two levels: near the first pivots, each has some of its
 own, and a vector looks only at those of the first ones it visits. On either level a vector within r of one whose home is
 another cell lies, by the triangle inequality, at most 2r farther from that cell's pivot than from its
-own, and at most r from the plane between the two pivots; where both bounds allow it, it is replicated
-into that cell. Cells then join on their own: each vector meets every possible partner exactly once, in
+own, and at most r from the plane between the two pivots; and it lies at most r farther from that pivot than
+the farthest vector of its cell does. Where these bounds allow it, it is replicated into that cell. Cells then join on their own: each vector meets every possible partner exactly once, in
 the partner's home cell.
 
 A cell that holds very many vectors is cut into blocks of homes times blocks of visitors, so no task gets
@@ -32,6 +32,8 @@ from reefline.llm.graph import components
 #: and the tasks hold. There is about one pivot for ``cell_rows`` rows, so cells grow only beyond this many.
 PIVOTS = 1 << 14
 SAMPLE = 8
+#: Pivots below a first one, about: what a vector is compared with at once.
+LEVEL = 2048
 NUMBERS = 1 << 23
 #: Visitors that are compared at once.
 STRIP = 256
@@ -72,42 +74,106 @@ def spread(sample: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Pivots:
-    """First pivots and, for each, those below it."""
+    """First pivots and, for each, those below it; the radii of their cells (how far their vectors lie from
+    them, -1 where there are none) once they are known."""
 
     first: np.ndarray
     below: list[np.ndarray]
+    first_radius: np.ndarray | None = None
+    radius: list[np.ndarray] | None = None
 
     @staticmethod
-    def of(sample: np.ndarray, n: int) -> Pivots:
-        """About n pivots from a sample: as many first ones as each has below it."""
-        first = spread(sample, int(np.ceil(np.sqrt(n))))
+    def of(sample: np.ndarray, n: int, level: int = LEVEL) -> Pivots:
+        """About n pivots from a sample, about ``level`` of them below each first one: as few first ones as
+        that takes, as a vector between two of those visits many cells."""
+        first = spread(sample, -(-n // level))
         home = (sample @ first.T).argmax(1)
         own = [sample[home == k] for k in range(len(first))]  # none where first pivots are equal
         return Pivots(first, [spread(o, max(1, round(n * len(o) / len(sample)))) if len(o) else first[k : k + 1] for k, o in enumerate(own)])
 
+    @property
+    def strip(self) -> int:
+        """So many vectors at once that their distances to all pivots of a level take 16 MB."""
+        return max(1, (1 << 21) // max(map(len, (self.first, *self.below))))
+
+    def radii(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The cells' radii over the vectors x alone."""
+        d = apart(x, self.first)
+        home = d.argmin(1)
+        first, below = np.full(len(self.first), -1.0), [np.full(len(p), -1.0) for p in self.below]
+        np.maximum.at(first, home, d[np.arange(len(x)), home])
+        for k in np.unique(home).tolist():
+            own = apart(x[home == k], self.below[k])
+            at = own.argmin(1)
+            np.maximum.at(below[k], at, own[np.arange(len(own)), at])
+        return first, below
+
     def cells(self, x: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, numbers of cells, whether one is the row's home), by first pivot: the cells that unit vectors
         within r of those of x may have for a home."""
-        near, visits = visited(x, self.first, r)
+        near, visits = visited(x, self.first, r, self.first_radius)
         for k, below in enumerate(self.below):
             rows = np.flatnonzero(visits[:, k])
             if len(rows):
-                own, inner = visited(x[rows], below, r)
+                own, inner = visited(x[rows], below, r, None if self.radius is None else self.radius[k])
+                own = np.where(near[rows] == k, own, -1)
+                at = np.flatnonzero(own >= 0)
+                inner[at, own[at]] = True
                 i, cell = np.nonzero(inner)
-                yield rows[i], cell + (k << 32), (near[rows[i]] == k) & (own[i] == cell)
+                yield rows[i], cell + (k << 32), own[i] == cell
+
 
+def apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
 
-def visited(x: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest pivot, which pivots' cells may hold a vector within r) of unit vectors."""
-    d2 = np.maximum(2 - 2 * x @ pivots.T, 0)
-    home = d2.argmin(1)
-    own = d2[np.arange(len(x)), home][:, None]
-    apart = np.sqrt(np.maximum(2 - 2 * pivots[home] @ pivots.T, 1e-12))
-    visits = (np.sqrt(d2) <= np.sqrt(own) + 2 * r) & ((d2 - own) / (2 * apart) <= r)
-    visits[np.arange(len(x)), home] = True
+
+def visited(x: np.ndarray, pivots: np.ndarray, r: float, radius: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest pivot, which pivots' cells may hold a vector within r) of unit vectors: such a vector lies
+    nearer to its pivot than to any other, and no farther from it than the cell's radius."""
+    d = apart(x, pivots)
+    home = d.argmin(1)
+    own = d[np.arange(len(x)), home][:, None]
+    between = np.maximum(apart(pivots[home], pivots), 1e-6)
+    visits = (d <= own + 2 * r) & ((d - own) * (d + own) / (2 * between) <= r)
+    if radius is not None:
+        visits &= d <= radius + r
     return home, visits
 
 
+def with_radii(classes: DataFrame, pivots: dict[int, Pivots]) -> dict[int, Pivots]:
+    """The pivots with their cells' radii over all vectors: a task returns a row for each cell it has met."""
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: dict[tuple[int, int, int], float] = {}
+        for batch in batches:
+            by_size: dict[int, list[bytes]] = {}
+            for u in batch.column(0).to_pylist():
+                by_size.setdefault(len(u), []).append(u)
+            for s, units in by_size.items():
+                step = pivots[s].strip
+                for k in range(0, len(units), step):
+                    part = units[k : k + step]
+                    first, below = pivots[s].radii(np.frombuffer(b"".join(part), "<f8").reshape(len(part), -1))
+                    for i in np.flatnonzero(first >= 0).tolist():
+                        most[s, i, -1] = max(most.get((s, i, -1), -1.0), float(first[i]))
+                        for j in np.flatnonzero(below[i] >= 0).tolist():
+                            most[s, i, j] = max(most.get((s, i, j), -1.0), float(below[i][j]))
+        if most:
+            keys = np.array(list(most))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(keys[:, 2]), pa.array(list(most.values()))], ["s", "i", "j", "d"])
+
+    found = classes.select("unit").mapInArrow(measure, "s long, i long, j long, d double").groupBy("s", "i", "j").agg(F.max("d").alias("d"))
+    first = {s: np.full(len(p.first), -1.0) for s, p in pivots.items()}
+    below = {s: [np.full(len(q), -1.0) for q in p.below] for s, p in pivots.items()}
+    for row in found.collect():  # a row a pivot
+        if row.j < 0:
+            first[row.s][row.i] = row.d
+        else:
+            below[row.s][row.i][row.j] = row.d
+    return {s: Pivots(p.first, p.below, first[s], below[s]) for s, p in pivots.items()}
+
+
 def pivots_for(classes: DataFrame, cell_rows: int) -> dict[int, Pivots]:
     """Pivots for each length of vectors, from a bounded sample; about one for ``cell_rows`` rows."""
     size = F.octet_length("unit")
@@ -199,8 +265,8 @@ def _linked(source: DataFrame, cosine: float, cell_rows: int, block_rows: int) -
     # A class has a number of its own: ids may repeat with other vectors.
     classes = valid.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("unit").alias("unit"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
-    pivots = pivots_for(classes, cell_rows)
-    r = float(np.sqrt(2 - 2 * cosine)) + 1e-9
+    pivots = with_radii(classes, pivots_for(classes, cell_rows))
+    r = float(np.sqrt(2 - 2 * cosine)) + 1e-7  # a root of a rounded difference
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +274,7 @@ def _linked(source: DataFrame, cosine: float, cell_rows: int, block_rows: int) -
             by_size: dict[int, list[int]] = {}
             for i, u in enumerate(units):
                 by_size.setdefault(len(u), []).append(i)
-            # So many vectors at once that their distances to all pivots of a level take 16 MB.
-            strips = [(s, at[k : k + step]) for s, at in by_size.items() for step in [max(1, (1 << 21) // max(map(len, (pivots[s].first, *pivots[s].below))))] for k in range(0, len(at), step)]
+            strips = [(s, at[k : k + pivots[s].strip]) for s, at in by_size.items() for k in range(0, len(at), pivots[s].strip)]
             for s, at in strips:
                 x, rows_of = np.frombuffer(b"".join(units[i] for i in at), "<f8").reshape(len(at), -1), np.array(at)
                 for i, cell, is_home in pivots[s].cells(x, r):
