@@ -86,7 +86,7 @@ def dissolved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("k").agg(r6(F.sum(G.st_area("geometry"))).alias("area"), r6(F.sum(G.st_perimeter("geometry"))).alias("perimeter"))
 
 
-_DRAWN = (12.25, 11.75, 47.5, 33.25)
+_DRAWN = (2.25, 1.75, 47.5, 33.25)
 _SHARE = "RADIANS(LEAST(x1, {2}) - GREATEST(x0, {0}))".format(*_DRAWN)
 
 
