@@ -134,7 +134,7 @@ def tile_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", x.alias("x"), y.alias("y"))
 
 
-@query("SELECT n_nationkey, ROUND(5.0 * (n_nationkey + 1), 2) AS km2 FROM nation")
+@query("SELECT n_nationkey, ROUND(5.0 * (n_nationkey + 1), 2)::DOUBLE AS km2 FROM nation")
 def point_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points as circles of areas of their own: the equal-area measure gives each back."""
     k = F.col("n_nationkey")
