@@ -16,11 +16,21 @@ from reefline.llm.common import ascii_lower, table, without, written
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: no letters, or no language that holds half of them. A null
-    lang gets the predicted one; labels that are there stay."""
+    lang gets the predicted one; labels that are there stay.
+
+    Python gets ids and texts in small batches and gives back the verdicts alone, which are written; rows are told
+    apart by them as in the next stages. Only rows without a label are joined with theirs."""
     model = language_id.train(docs)
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))
-    found = language_id.identify(whole, model, "_doc", with_spans=False, lazy=True).where("lang_pred <> 'und' and score >= 0.5")
-    return found.select(*[F.coalesce("_doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_doc.`{c}`") for c in docs.columns])
+    keys = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash"), F.col("lang").isNull().alias("unlabelled")).alias("_key"), "text")
+    found = language_id.identify(keys, model, "_key", with_spans=False).withColumn("_fits", F.expr("lang_pred <> 'und' and score >= 0.5"))
+    rejected = written(found.where("not _fits").select("_key.doc_id", "_key.text_hash"), "no-language")
+    predicted = written(found.where("_fits and _key.unlabelled").select("_key.doc_id", "_key.text_hash", "lang_pred").distinct(), "languages")
+    labelled = without(docs.where("lang is not null"), rejected, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"))
+    if predicted.isEmpty():
+        return labelled
+    rest = docs.where("lang is null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    rest = rest.join(predicted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
+    return labelled.union(rest.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"_doc.`{c}`") for c in docs.columns]))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits of an id filter at most: what is broadcast is a bit for each, 32 MB.
@@ -78,6 +80,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         _FOLDERS.reset(token)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table. They go as Arrow: a list of rows would pass through Python workers
+    of another kind, for which each executor keeps a second set of processes."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    kinds = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], kinds.names), kinds)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of few rows for what runs inside: texts of many lengths keep a worker's memory small."""

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reefline.llm.common import kept, small_batches, workspace, written
+from reefline.llm.common import kept, small_batches, small_table, workspace, written
 
 MAX_CELLS = 200_000
 ROUNDS = 60
@@ -208,7 +208,7 @@ def cell_probabilities(cells: DataFrame, margins: dict[str, Target], share: floa
         ratio = np.divide(raked, tokens, out=np.zeros_like(raked), where=tokens > 0)
         chance = bounded(tokens, ratio, members, targets, share) if raked.sum() else ratio
         data = [(*(r[m] for m in names), float(w), float(p)) for r, w, p in zip(rows, ratio, chance, strict=True)]
-        return spark.createDataFrame(data, ", ".join(f"`{m}` string" for m in names) + ", weight double, probability double")
+        return small_table(spark, data, ", ".join(f"`{m}` string" for m in names) + ", weight double, probability double")
     work = cells.withColumn("w", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     goals = {}
@@ -216,10 +216,10 @@ def cell_probabilities(cells: DataFrame, margins: dict[str, Target], share: floa
         sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have"))
         goal = margins[m]
         if isinstance(goal, Weights):
-            given = spark.createDataFrame(list(goal.by.items()) or [("", goal.other)], f"`{m}` string, want double")
+            given = small_table(spark, list(goal.by.items()) or [("", goal.other)], f"`{m}` string, want double")
             sums = sums.join(given, m, "left").select(m, (F.col("have") * F.coalesce("want", F.lit(goal.other))).alias("want"))
         elif isinstance(goal, dict):
-            given = spark.createDataFrame(list(goal.items()) or [("", 0.0)], f"`{m}` string, want double")
+            given = small_table(spark, list(goal.items()) or [("", 0.0)], f"`{m}` string, want double")
             sums = sums.join(given, m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0))).otherwise(0.0).alias("want"))
         else:
             sums = sums.select(m, F.when(F.col("have") > 0, F.pow("have", F.lit(goal))).otherwise(0.0).alias("want"))

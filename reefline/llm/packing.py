@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reefline.llm.common import kept, small_batches, workspace, written
+from reefline.llm.common import kept, small_batches, small_table, workspace, written
 from reefline.llm.tokenizing import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -125,8 +125,8 @@ def pack(pieces: DataFrame, capacity: int, rows_per_salt: int = 50_000) -> DataF
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     places = places_of(best_two_fit(counts, capacity))
-    plan = spark.createDataFrame(places or [(0, 0, 0, 0, 0, 1)], "_len long, _from long, _ranks long, _seq long, _offset long, _each long")
-    salts = spark.createDataFrame([(n, 8 + count // rows_per_salt) for n, count in counts.items()] or [(0, 1)], "length long, _salts long")
+    plan = small_table(spark, places or [(0, 0, 0, 0, 0, 1)], "_len long, _from long, _ranks long, _seq long, _offset long, _each long")
+    salts = small_table(spark, [(n, 8 + count // rows_per_salt) for n, count in counts.items()] or [(0, 1)], "length long, _salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts"))).drop("_salts")
     before = (
         salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
