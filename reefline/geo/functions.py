@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reefline.geo import kernel as K
+from reefline.geo import slabs
 
 PROJECTIONS = {
     "6933": K.equal_area,
@@ -72,38 +73,58 @@ def rectangles(b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unary(kind: str, f, of_flat=None):
-    """``of_flat``: (bounds, is rectangle) -> values for all points and rectangles of a batch."""
+#: Bytes of WKB that are worked on at once.
+_AT_ONCE = 1 << 20
+
+
+def _lots(at: np.ndarray, *columns: pd.Series):
+    """Rows ``at`` in lots of bounded size, each with its values, read."""
+    values = [c.to_numpy()[at] for c in columns]
+    sizes = np.array([sum(map(len, v)) for v in zip(*values, strict=True)], dtype=np.int64)
+    for part in slabs.ranges(sizes, _AT_ONCE):
+        yield at[part], [K.read(v[part]) for v in values]
+
+
+def _unary(kind: str, f=None, of_flat=None, of_many=None):
+    """``f``: one geometry to a value, or ``of_many``: a list of geometries to their values; ``of_flat``:
+    (bounds, is rectangle) -> values for all points and rectangles of a batch."""
 
     @_arrow(kind)
     def run(w: pd.Series) -> pd.Series:
-        if of_flat is None:
-            return pd.Series([None if x is None else f(K.from_wkb(x)) for x in w], dtype=object)
-        b, is_box = flat(w)
         out = np.full(len(w), None, dtype=object)
-        done = ~np.isnan(b[:, 0])
-        out[done] = of_flat(b[done], is_box[done])
-        for i in np.flatnonzero(~done):
-            out[i] = None if w.iloc[i] is None else f(K.from_wkb(w.iloc[i]))
+        left = w.notna().to_numpy()
+        if of_flat is not None:
+            b, is_box = flat(w)
+            done = ~np.isnan(b[:, 0])
+            out[done] = of_flat(b[done], is_box[done])
+            left &= ~done
+        for at, (gs,) in _lots(np.flatnonzero(left), w):
+            values = of_many(gs) if of_many else [f(g) for g in gs]
+            for i, v in zip(at.tolist(), values, strict=True):
+                out[i] = v
         return pd.Series(out, dtype=object)
 
     return run
 
 
-def _binary(kind: str, f, of_flat=None):
-    """``of_flat``: (bounds a, bounds b) -> values where both are points or rectangles, the second a rectangle."""
+def _binary(kind: str, f=None, of_flat=None, of_many=None):
+    """``f``: two geometries to a value, or ``of_many``: a list of pairs to their values; ``of_flat``: (bounds a,
+    bounds b) -> values where both are points or rectangles, the second a rectangle."""
 
     @_arrow(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.full(len(a), None, dtype=object)
-        done = np.zeros(len(a), dtype=bool)
+        left = (a.notna() & b.notna()).to_numpy()
         if of_flat is not None:
             (x, _), (y, is_box) = flat(a), flat(b)
             done = ~np.isnan(x[:, 0]) & is_box
             out[done] = of_flat(x[done], y[done])
-        for i in np.flatnonzero(~done):
-            v, u = a.iloc[i], b.iloc[i]
-            out[i] = None if v is None or u is None else f(K.from_wkb(v), K.from_wkb(u))
+            left &= ~done
+        for at, (gs, hs) in _lots(np.flatnonzero(left), a, b):
+            pairs = list(zip(gs, hs, strict=True))
+            values = of_many(pairs) if of_many else [f(g, h) for g, h in pairs]
+            for i, v in zip(at.tolist(), values, strict=True):
+                out[i] = v
         return pd.Series(out, dtype=object)
 
     return run
@@ -133,28 +154,39 @@ def _lies_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(point, inside, _size(a) - _size(_shared(a, b)) <= 1e-9 * _size(a))
 
 
-st_area = _unary("double", K.area, lambda b, _: _size(b))
+def _written(gs) -> list[bytes]:
+    return [K.to_wkb(g) for g in gs]
+
+
+st_area = _unary("double", of_flat=lambda b, _: _size(b), of_many=K.areas)
 st_points = _unary("long", lambda g: sum(len(r) for p in g for r in p))
 st_perimeter = _unary("double", K.perimeter)
-st_make_valid = _unary("binary", lambda g: K.to_wkb(K.make_valid(g)))
-st_is_valid = _unary("boolean", K.is_valid)
+st_make_valid = _unary("binary", of_many=lambda gs: _written(K.made_valid(gs)))
+st_is_valid = _unary("boolean", of_many=K.are_valid)
+def _repaired(gs) -> list[list[bytes]]:
+    """The valid shape of each, or nothing. Exploded, it drops what can't be repaired; a filter on st_is_valid would
+    be pushed below the repair and do it twice."""
+    made = K.made_valid(gs)
+    return [[K.to_wkb(g)] if ok else [] for g, ok in zip(made, K.are_valid(made), strict=True)]
+
+
+st_repaired = _unary("array<binary>", of_many=_repaired)
 st_geometry_type = _unary("string", K.kind)
 st_polygons = _unary("binary", lambda g: K.to_wkb(K.polygons(g)))
 st_fill_holes = _unary("binary", lambda g: K.to_wkb(K.fill_holes(g)))
 st_intersects = _binary("boolean", K.intersects, lambda a, b: (lambda s: (s[:, :2] <= s[:, 2:]).all(1))(_shared(a, b)))
 st_within = _binary("boolean", K.within, _lies_in)
 PREDICATES = {"intersects": st_intersects, "within": st_within}
-st_intersection = _binary("binary", lambda a, b: K.to_wkb(K.intersection(a, b)), _shared_wkb)
-st_difference = _binary("binary", lambda a, b: K.to_wkb(K.difference(a, b)))
-st_intersection_area = _binary("double", K.intersection_area, lambda a, b: _size(_shared(a, b)))
+st_intersection = _binary("binary", of_flat=_shared_wkb, of_many=lambda pairs: _written(slabs.combined(pairs, lambda w: w[:, 0] & w[:, 1])))
+st_difference = _binary("binary", of_many=lambda pairs: _written(slabs.combined(pairs, lambda w: w[:, 0] & ~w[:, 1])))
+st_intersection_area = _binary("double", of_flat=lambda a, b: _size(_shared(a, b)), of_many=lambda pairs: slabs.combined_areas(pairs, lambda w: w[:, 0] & w[:, 1]))
 
 
 @_arrow("minx double, miny double, maxx double, maxy double")
 def st_bounds(w: pd.Series) -> pd.DataFrame:
     out, _ = flat(w)
-    for i in np.flatnonzero(np.isnan(out[:, 0])):
-        if w.iloc[i] is not None and (b := K.bounds(K.from_wkb(w.iloc[i]))) is not None:
-            out[i] = b
+    for at, (gs,) in _lots(np.flatnonzero(np.isnan(out[:, 0]) & w.notna().to_numpy()), w):
+        out[at] = K.bounds_of(gs)
     return pd.DataFrame(out, columns=["minx", "miny", "maxx", "maxy"]).astype("Float64").where(~np.isnan(out), pd.NA)
 
 
@@ -189,7 +221,10 @@ def st_point(x: pd.Series, y: pd.Series) -> pd.Series:
 @_arrow("binary")
 def st_buffer_km2(w: pd.Series, km2: pd.Series) -> pd.Series:
     """Points as circles of an area; other geometries stay."""
-    return pd.Series([None if x is None else K.to_wkb(K.buffer_points(K.from_wkb(x), a)) for x, a in zip(w, km2, strict=True)], dtype=object)
+    out = np.full(len(w), None, dtype=object)
+    for at, (gs,) in _lots(np.flatnonzero(w.notna()), w):
+        out[at] = _written(K.buffered(gs, km2.to_numpy()[at]))
+    return pd.Series(out, dtype=object)
 
 
 def st_simplify(c: Column | str, tolerance: float) -> Column:
@@ -199,12 +234,12 @@ def st_simplify(c: Column | str, tolerance: float) -> Column:
 def st_transform(c: Column | str, to: str, *, inverse: bool = False) -> Column:
     """From longitude and latitude to a projection ("6933", "3857", "mollweide", "mollweide_wgs84") or back."""
     f = (_INVERSES if inverse else PROJECTIONS)[to]
-    return _unary("binary", lambda g: K.to_wkb(K.transform(g, f)))(c)
+    return _unary("binary", of_many=lambda gs: _written(K.transformed(gs, f)))(c)
 
 
 def st_area_km2(c: Column | str, projection: str = "6933") -> Column:
     f = PROJECTIONS[projection]
-    return _unary("double", lambda g: K.area(K.transform(g, f)) / 1e6)(c)
+    return _unary("double", of_many=lambda gs: K.areas(K.transformed(gs, f)) / 1e6)(c)
 
 
 def st_cells(c: Column | str, size: float) -> Column:
@@ -213,7 +248,7 @@ def st_cells(c: Column | str, size: float) -> Column:
 
 
 def st_subdivide(c: Column | str, most: int = 10_000) -> Column:
-    return _unary("array<binary>", lambda g: [K.to_wkb(p) for p in K.subdivide(g, most)])(c)
+    return _unary("array<binary>", of_many=lambda gs: [_written(parts) for parts in K.subdivided(gs, most)])(c)
 
 
 def st_tiles(c: Column | str, size: float) -> Column:

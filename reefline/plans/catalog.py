@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Rows dealt over the cluster: a small file may hold many, and each costs geometry work."""
+    return df.repartition(key)
+
+
 def r6(c):
     """Six decimals; adding 0 takes away the sign of a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
