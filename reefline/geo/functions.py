@@ -182,6 +182,17 @@ st_difference = _binary("binary", of_many=lambda pairs: _written(slabs.combined(
 st_intersection_area = _binary("double", of_flat=lambda a, b: _size(_shared(a, b)), of_many=lambda pairs: slabs.combined_areas(pairs, lambda w: w[:, 0] & w[:, 1]))
 
 
+def _solid_boxes(b: np.ndarray, _) -> np.ndarray:
+    out = np.empty(len(b), dtype=object)
+    out[:] = [[x] if some else [] for x, some in zip(rectangles(b), _size(b) > 0, strict=True)]
+    return out
+
+
+#: Array of the geometry, empty if it has no area. Exploded, it drops such rows; a filter on st_area would make the
+#: optimizer work out the geometry twice.
+st_solid = _unary("array<binary>", of_flat=_solid_boxes, of_many=lambda gs: [[K.to_wkb(g)] if a > 0 else [] for g, a in zip(gs, K.areas(gs), strict=True)])
+
+
 @_arrow("minx double, miny double, maxx double, maxy double")
 def st_bounds(w: pd.Series) -> pd.DataFrame:
     out, _ = flat(w)

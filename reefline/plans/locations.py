@@ -9,7 +9,7 @@ from reefline.geo import functions as G
 from reefline.geo import joins as J
 from reefline.operators import diff
 from reefline.operators import zones as O
-from reefline.plans.catalog import query, r6, table
+from reefline.plans.catalog import query, r6, spread, table
 from reefline.plans.geometry import _PARTS, _SUPPLIERS, _boxes, _parts, _suppliers, _zone
 from reefline.plans.rasters import _CLASSES, _GRID, _KM2, _PIXELS, _UNDER, _ZONES, _raster, _zones
 from reefline.raster import spans as S
@@ -37,7 +37,7 @@ SELECT c_custkey AS id, CASE WHEN FLOOR(c_acctbal / 100) > 0 THEN FLOOR(c_acctba
 def site_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites that are points get the shape of their own area: mapped if positive, else reported."""
     k = F.col("c_custkey")
-    sites = table(spark, sf_dir, "customer").select(
+    sites = spread(table(spark, sf_dir, "customer"), "c_custkey").select(
         k.alias("id"), F.floor(F.col("c_acctbal") / 100).cast("string").alias("GIS_AREA"), (10 + k % 5).cast("string").alias("REP_AREA"), G.st_point((k % 170).cast("double"), (k % 60 - 30).cast("double")).alias("geometry")
     )
     return O.site_geometries(sites).select("id", F.round(G.st_area_km2("geometry"), 1).alias("km2"))

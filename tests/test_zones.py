@@ -1,5 +1,6 @@
 """Zone preparation and the rules of earlier pipelines."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,12 @@ def test_formatting(spark):
     assert sorted((r.location, r.pct) for r in R.fishing_totals(level, bridge(spark, {"EU": ["FRA"]})).collect()) == [("EU", 50.0), ("FRA", 50.0), ("GLOB", 50.0)]
     s = spark.createDataFrame([("T", "A", 1), ("T", "B", 2)], "t string, s string, n int")
     assert [tuple(r) for r in R.sovereign_of(s, "t", "s", "n").collect()] == [("T", "B")]
+
+
+def test_sites_are_repaired_once(spark):
+    """A filter on validity was pushed below the repair, which then ran twice and before rows were dealt out."""
+    rows = [("a", "12", "3", K.to_wkb([[np.array([[10.0, 20.0]])]])), ("b", "0", "5", K.to_wkb([[np.array([[1.0, 2.0]])]])), ("c", "0", "0", K.to_wkb([[np.array([[0, 0], [1, 1], [2, 2], [0, 0]], float)]])), ("d", "1", "1", None)]
+    sites = spark.createDataFrame(rows, "id string, GIS_AREA string, REP_AREA string, geometry binary")
+    out = Z.site_geometries(sites)
+    assert {r.id: round(r.km2, 6) for r in out.select("id", G.st_area_km2("geometry").alias("km2")).collect() if r.id in "ab"} == {"a": 12.0, "b": 5.0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("st_buffer_km2(") == 1
