@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.functions.numbers import number, whole
-from reefline.geo.functions import st_area, st_area_km2, st_bounds, st_buffer_km2, st_intersection, st_is_valid, st_make_valid, st_simplify, st_transform, st_union_agg
-from reefline.geo.joins import candidates, dissolve, spatial_join, union_area, united
+from reefline.geo.functions import st_area_km2, st_bounds, st_buffer_km2, st_intersection, st_repaired, st_simplify, st_union_agg
+from reefline.geo.joins import covered, dissolve, spatial_join, united, united_cells
 from reefline.operators.clean import choose_area, claimants
 from reefline.operators.groups import members, membership
 
@@ -78,31 +78,22 @@ def site_geometries(sites: DataFrame, tolerance: float | None = None) -> DataFra
     rows = choose_area(sites)
     reserve = F.coalesce(F.col("DESIG_ENG") == "UNESCO-MAB Biosphere Reserve", F.lit(False)) if "DESIG_ENG" in sites.columns else F.lit(False)
     rows = rows.withColumn("geometry", F.when(reserve, F.col("geometry")).otherwise(st_buffer_km2("geometry", "calculated_area_km2")))
-    rows = rows.withColumn("geometry", st_make_valid("geometry")).where(st_is_valid("geometry"))
+    rows = rows.withColumn("geometry", F.explode(st_repaired("geometry")))
     rows = rows.withColumn("bbox", bounds_list())
     return rows.withColumn("geometry", st_simplify("geometry", tolerance)) if tolerance else rows
 
 
 def mangroves_by_location(mangroves: DataFrame, locations: DataFrame, areas: DataFrame, size: float = 1.0) -> DataFrame:
     """(location, total_mangrove_area_km2, protected_mangrove_area_km2): overlaps count once in both."""
-    inside = _parts(mangroves, locations, size)
-    total = _km2(inside, "part", "total_mangrove_area_km2")
-    guarded = candidates(inside.select("location", F.col("part").alias("geometry")), areas.select("geometry"), size).withColumn("both", st_intersection("geometry", "geometry_r")).where(st_area("both") > 0)
-    protected = _km2(guarded, "both", "protected_mangrove_area_km2")
+    km2 = lambda shape, cell: st_area_km2(st_intersection(shape, cell))
+    woods = united_cells(mangroves, size)
+    guarded = united_cells(areas, size).withColumnRenamed("_u", "_v")
+    both = woods.join(guarded, ["_i", "_j"]).select("_i", "_j", st_intersection("_u", "_v").alias("_u"))
+    total = covered(locations, woods, ["location"], size, "total_mangrove_area_km2", km2)
+    protected = covered(locations, both, ["location"], size, "protected_mangrove_area_km2", km2)
     return total.join(protected, "location", "left").na.fill(0.0, ["protected_mangrove_area_km2"])
 
 
-def _km2(parts: DataFrame, geometry: str, name: str) -> DataFrame:
-    """(location, name): area of the union of each location's parts, by cells of 100 km: no task holds a location."""
-    projected = parts.select("location", st_transform(geometry, "6933").alias("_p"))
-    return union_area(projected, ["location"], "_p", 1e5, name).withColumn(name, F.col(name) / 1e6)
-
-
-def _parts(mangroves: DataFrame, locations: DataFrame, size: float) -> DataFrame:
-    pairs = candidates(mangroves.select("geometry"), locations.select("location", "geometry"), size)
-    return pairs.select("location", st_intersection("geometry", "geometry_r").alias("part")).where(st_area("part") > 0)
-
-
 def peaks_in(peaks: DataFrame, zones: DataFrame, size: float = 1.0) -> DataFrame:
     """(PEAKID, AREA2D, location) of peaks that touch zones."""
     return spatial_join(peaks, zones.select("location", "geometry"), "intersects", size).select("PEAKID", "AREA2D", "location")

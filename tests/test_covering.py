@@ -46,3 +46,14 @@ def test_several_shapes_of_a_key(spark):
     left = rows.select("k", G.st_box("x0", F.lit(0.0), "x1", F.lit(2.0)).alias("geometry"))
     cells = J.united_cells(spark.range(1).select(G.st_box(F.lit(1.0), F.lit(1.0), F.lit(6.0), F.lit(7.0)).alias("geometry")), 2.0)
     assert {r.k: round(r.area, 9) for r in J.covered(left, cells, ["k"], 2.0).collect()} == {"a": 4.0, "b": 3.0, None: 2.0}
+
+
+def test_mangroves(crowd):
+    from reefline.operators import zones as Z
+
+    woods, zones = crowd(1.0)
+    got = Z.mangroves_by_location(woods, zones.withColumn("location", F.col("id").cast("string")), woods.where("id < 100"), 0.5).collect()
+    full = max(r.total_mangrove_area_km2 for r in got)
+    assert len(got) == N and {round(r.total_mangrove_area_km2 / full, 6) for r in got} == {1.0}
+    held = {int(r.location): r.protected_mangrove_area_km2 / full for r in got}
+    assert all(v == pytest.approx(min(1.0, max(0.0, 1.99 - k * 0.01)), abs=1e-6) for k, v in held.items())
