@@ -57,3 +57,12 @@ def test_mangroves(crowd):
     assert len(got) == N and {round(r.total_mangrove_area_km2 / full, 6) for r in got} == {1.0}
     held = {int(r.location): r.protected_mangrove_area_km2 / full for r in got}
     assert all(v == pytest.approx(min(1.0, max(0.0, 1.99 - k * 0.01)), abs=1e-6) for k, v in held.items())
+
+
+def test_sea_coverage(crowd):
+    sites, seas = crowd(1000.0)
+    areas = sites.select((F.col("id") % 2).alias("PA_DEF"), "geometry")
+    got = {int(r.location): r for r in J.sea_coverage(seas.select(F.col("id").alias("MRGID"), "geometry"), areas.unionByName(areas), projected=True, size=400.0).collect()}
+    assert len(got) == N and {(r.protected_area, r.coverage) for r in got.values()} == {(1.0, 50.0)}
+    assert all(got[k].protected_areas_count == 2 * sum(abs(i - k) < 100 for i in range(N)) for k in (0, 150, 299))
+    assert (got[150].pas, got[0].pas, got[0].oecms) == (100.0, 99.0, 1.0)
