@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.geo import functions as G
@@ -15,10 +15,10 @@ _PARTS = "SELECT p_partkey AS id, (p_partkey % 97)::DOUBLE AS x0, (p_partkey % 8
 _SUPPLIERS = "SELECT s_suppkey AS id, (s_suppkey % 83) + 0.5::DOUBLE AS x0, (s_suppkey % 79) + 0.5::DOUBLE AS y0, (s_suppkey % 83) + 3.5::DOUBLE AS x1, (s_suppkey % 79) + 2.5::DOUBLE AS y1 FROM supplier"
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parts(spark: SparkSession, sf_dir: str, *others: Column) -> DataFrame:
     k = F.col("p_partkey")
     x, y = (k % 97).cast("double"), (k % 89).cast("double")
-    return table(spark, sf_dir, "part").select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + 1 + F.col("p_size") % 5).alias("x1"), (y + 2).alias("y1"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + 1 + F.col("p_size") % 5).alias("x1"), (y + 2).alias("y1"), *others)
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def rectangle_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT b.id AS id_r, COUNT(*) AS n, ROUND(SUM({_SHARED}), 6) AS shared {_OVERLAP} GROUP BY b.id")
 def spatial_join_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through WKB, the cell join and the geometry kernel."""
-    pairs = J.spatial_join(_boxes(_parts(spark, sf_dir)), _boxes(_suppliers(spark, sf_dir)), "intersects", 8.0)
-    areas = pairs.select("id_r", G.st_intersection_area("geometry", "geometry_r").alias("shared")).where("shared > 0")
-    return areas.groupBy("id_r").agg(F.count("*").alias("n"), r6(F.sum("shared")).alias("shared"))
+    left, right = _boxes(_parts(spark, sf_dir)), _boxes(_suppliers(spark, sf_dir))
+    pairs = J.spatial_join(J.different(left, "id"), J.different(right, "id"), "intersects", 8.0)
+    return J.shared_by_right(pairs, right).select(F.col("id").alias("id_r"), "n", r6("shared").alias("shared"))
 
 
 @query(f"SELECT a.id AS id, b.id AS id_r FROM ({_PARTS}) a JOIN ({_SUPPLIERS}) b ON a.x0 + 1 BETWEEN b.x0 AND b.x1 AND a.y0 + 1 BETWEEN b.y0 AND b.y1")

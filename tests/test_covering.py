@@ -66,3 +66,14 @@ def test_sea_coverage(crowd):
     assert len(got) == N and {(r.protected_area, r.coverage) for r in got.values()} == {(1.0, 50.0)}
     assert all(got[k].protected_areas_count == 2 * sum(abs(i - k) < 100 for i in range(N)) for k in (0, 150, 299))
     assert (got[150].pas, got[0].pas, got[0].oecms) == (100.0, 99.0, 1.0)
+
+
+def test_equal_shapes_are_measured_once(crowd):
+    sites, shapes = crowd(1.0)
+    many = sites.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("id", F.col("id") + N * F.col("c")).drop("c")
+    pairs = J.spatial_join(J.different(many, "id"), J.different(shapes, "id"), "intersects", 0.5)
+    want = sum(abs(a - b) <= 100 for a in range(N) for b in range(N))
+    assert want - 2 * N <= pairs.count() <= want  # shapes that only touch may miss by rounding
+    got = {r.id: (r.n, round(r.shared, 6)) for r in J.shared_by_right(pairs, shapes.unionByName(shapes.where("id = 3").withColumn("id", F.lit(-3).cast("long")))).collect()}
+    assert got[-3] == got[3] and len(got) == N + 1
+    assert got[150][1] == pytest.approx(40 * (1 + 2 * sum(1 - d / 100 for d in range(1, 100))), abs=1e-4)
