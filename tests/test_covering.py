@@ -77,3 +77,10 @@ def test_equal_shapes_are_measured_once(crowd):
     got = {r.id: (r.n, round(r.shared, 6)) for r in J.shared_by_right(pairs, shapes.unionByName(shapes.where("id = 3").withColumn("id", F.lit(-3).cast("long")))).collect()}
     assert got[-3] == got[3] and len(got) == N + 1
     assert got[150][1] == pytest.approx(40 * (1 + 2 * sum(1 - d / 100 for d in range(1, 100))), abs=1e-4)
+
+
+def test_subtracted(crowd):
+    cutters, shapes = crowd(1.0)
+    out = J.subtract(shapes.unionByName(shapes.where("id = 5")), cutters, "id", 0.5)
+    got = out.select("id", G.st_area("geometry").alias("a")).collect()
+    assert len(got) == N + 1 and {round(r.a, 6) for r in got} == {1.0}
