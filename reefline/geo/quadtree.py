@@ -4,6 +4,9 @@ The tree is made on the driver from a bounded sample of boxes' centres, whose co
 bounded number of leaves, so it is a small value that tasks carry. Shapes go to the leaves their boxes meet:
 many small ones where shapes crowd, few large ones elsewhere, so a shape over all of the world has no more
 copies than there are leaves. The sample decides how even the work is, never which pairs are found.
+
+What was dealt out is joined by sorting (hint merge): Spark takes a table for as small as its compressed file,
+however many leaves its rows go to, and would gather it on the driver to broadcast it.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reefline.geo.functions import PREDICATES, st_area, st_bounds, st_box, st_difference, st_intersection, st_union_agg
+from reefline.geo.functions import PREDICATES, st_area, st_bounds, st_box, st_difference, st_intersection, st_solid, st_union_agg
 
 #: Rows sampled, leaves and depth at most.
 SAMPLE = 1 << 16
@@ -120,7 +123,7 @@ def box_pairs(left: DataFrame, right: DataFrame, tree: Quadtree) -> DataFrame:
     x, y = F.greatest("_ba.minx", "_bb.minx"), F.greatest("_ba.miny", "_bb.miny")
     touch = (x <= F.least("_ba.maxx", "_bb.maxx")) & (y <= F.least("_ba.maxy", "_bb.maxy"))
     once = (x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1"))
-    return a.join(b, "leaf").where(touch & once).select("a", "b")
+    return a.join(b.hint("merge"), "leaf").where(touch & once).select("a", "b")
 
 
 def tree_of(left: DataFrame, right: DataFrame, capacity: int) -> Quadtree:
@@ -140,8 +143,8 @@ def adaptive_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     pairs = box_pairs(a, b, tree_of(a, b, capacity))
     renamed = right.select(*[F.col(c).alias(f"{c}_r" if c in left.columns else c) for c in right.columns])
     right_name = f"{right_id}_r" if right_id in left.columns else right_id
-    with_left = left.join(pairs, F.col(left_id) == F.col("a")).drop("a")
-    both = with_left.join(renamed, F.col(right_name) == F.col("b")).drop("b")
+    with_left = left.join(pairs.hint("merge"), F.col(left_id) == F.col("a")).drop("a")
+    both = with_left.join(renamed.hint("merge"), F.col(right_name) == F.col("b")).drop("b")
     return both.where(PREDICATES[predicate]("geometry", "geometry_r" if "geometry" in left.columns else "geometry"))
 
 
@@ -149,32 +152,32 @@ def first_cover(shapes: DataFrame, keys: Sequence[str], year: str = "year", geom
     """(keys, year, geometry): pieces of ground with the first year in which a shape of the key covers them;
     pieces of a key don't overlap.
 
-    Shapes are cut to leaves and united by leaf and year. Within a leaf years are swept in order, and each
-    year keeps what no earlier one covers, so a shape is looked at once however many years follow, and a
-    leaf's sweep holds one shape for each year. Rows without a year or shape are left out.
+    Equal shapes of a key count from the earliest year. Shapes are cut to leaves; one sweep of a leaf gives each
+    place the first year of those that cover it, however many years follow. Rows without a year or shape are left
+    out.
     """
-    rows = shapes.where(F.col(year).isNotNull()).select(*keys, F.col(year).alias("_year"), F.col(geometry).alias("_g"), st_bounds(geometry).alias("_b")).where("_b.minx is not null")
+    rows = shapes.where(F.col(year).isNotNull() & F.col(geometry).isNotNull()).groupBy(*keys, F.col(geometry).alias("_g")).agg(F.min(year).alias("_year"))
+    rows = rows.select(*keys, "_year", "_g", st_bounds("_g").alias("_b")).where("_b.minx is not null")
     tree = tree or quadtree(_bounded(rows), capacity)
     corner = [F.col(f"_leaf.{c}") for c in ("x0", "y0", "x1", "y1")]
-    cut = dealt(rows, tree).select(*keys, "_year", F.col("_leaf.leaf").alias("_leaf"), st_intersection("_g", st_box(*corner)).alias("_g")).where(st_area("_g") > 0)
-    by_year = cut.groupBy(*keys, "_leaf", "_year").agg(st_union_agg("_g").alias("_g"))
-    kinds = {f.name: f.dataType.simpleString() for f in by_year.schema}
+    cut = dealt(rows, tree).select(*keys, "_year", F.col("_leaf.leaf").alias("_leaf"), F.explode(st_solid(st_intersection("_g", st_box(*corner)))).alias("_g"))
+    first = cut.groupBy(*keys, "_leaf", "_g").agg(F.min("_year").alias("_year"))
+    kinds = {f.name: f.dataType.simpleString() for f in first.schema}
     names = [*keys, "_year"]
     schema = ", ".join([*[f"`{n}` {kinds[n]}" for n in names], "_g binary"])
 
     def sweep(group: pd.DataFrame) -> pd.DataFrame:
         from reefline.geo import kernel as K
+        from reefline.geo import slabs
 
-        group = group.sort_values("_year")
-        covered, new = [], []
-        for w in group["_g"]:
-            g = K.from_wkb(w)
-            piece = K.difference(g, covered) if covered else g
-            covered = K.union([covered, g]) if covered else g
-            new.append(K.to_wkb(piece))
-        return group[names].assign(_g=new)
+        found = group.sort_values("_year").groupby("_year", sort=True)
+        years = [[p for g in K.read(part["_g"].tolist()) for p in g] for _, part in found]
+        _, label, t = slabs.trapezoids(*slabs.edges([years]), len(years), lambda within: np.where(within.any(1), within.argmax(1) + 1, 0))
+        order = np.argsort(label, kind="stable")
+        new = slabs.shapes(label[order] - 1, t[order], len(years))
+        return found.head(1)[names].assign(_g=[K.to_wkb(g) for g in new])
 
-    pieces = by_year.groupBy(*keys, "_leaf").applyInPandas(sweep, schema)
+    pieces = first.groupBy(*keys, "_leaf").applyInPandas(sweep, schema)
     return pieces.where(st_area("_g") > 0).select(*keys, F.col("_year").alias(year), F.col("_g").alias("geometry"))
 
 
@@ -193,15 +196,14 @@ def covered_by_year(shapes: DataFrame, keys: Sequence[str], years: DataFrame, ye
 def split_difference(left: DataFrame, right: DataFrame, key: str, capacity: int = 5_000) -> DataFrame:
     """(key, geometry): each left shape without the right ones, in pieces by leaf; only the cutters that lie
     in a leaf meet there, so no task holds all cutters of a large shape."""
-    a = left.select(F.col(key).alias("_k"), F.col("geometry").alias("_g"), st_bounds("geometry").alias("_b")).where("_b.minx is not null")
-    b = right.select(F.col("geometry").alias("_g"), st_bounds("geometry").alias("_b")).where("_b.minx is not null")
+    a, b = (d.select(F.col("geometry").alias("_g")).where("_g is not null").distinct().withColumn("_b", st_bounds("_g")).where("_b.minx is not null") for d in (left, right))
     tree = tree_of(a, b, capacity)
     corner = [F.col(f"_leaf.{c}") for c in ("x0", "y0", "x1", "y1")]
 
     def cut(df: DataFrame, *columns: str) -> DataFrame:
-        return dealt(df, tree).select(*columns, F.col("_leaf.leaf").alias("leaf"), st_intersection("_g", st_box(*corner)).alias("_g")).where(st_area("_g") > 0)
+        return dealt(df, tree).select(*[F.col(c).alias("_shape") for c in columns], F.col("_leaf.leaf").alias("leaf"), F.explode(st_solid(st_intersection("_g", st_box(*corner)))).alias("_g"))
 
-    cutters = cut(b).groupBy("leaf").agg(st_union_agg("_g").alias("_cut"))
-    pieces = cut(a, "_k").join(cutters, "leaf", "left")
-    rest = pieces.select(F.col("_k").alias(key), F.when(F.col("_cut").isNull(), F.col("_g")).otherwise(st_difference("_g", F.coalesce("_cut", "_g"))).alias("geometry"))
-    return rest.where(st_area("geometry") > 0)
+    cutters = cut(b).distinct().groupBy("leaf").agg(st_union_agg("_g").alias("_cut"))
+    met = cut(a, "_g").join(cutters.hint("merge"), "leaf", "left")
+    rest = met.select("_shape", F.explode(st_solid(F.when(F.col("_cut").isNull(), F.col("_g")).otherwise(st_difference("_g", F.coalesce("_cut", "_g"))))).alias("_rest"))
+    return left.select(key, "geometry").join(rest.hint("merge"), F.col("geometry") == F.col("_shape")).select(key, F.col("_rest").alias("geometry"))
