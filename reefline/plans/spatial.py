@@ -45,9 +45,9 @@ FROM ({_CROWDED}) a JOIN ({_WITH_WORLD}) b ON a.x0 < b.x1 AND b.x0 < a.x0 + w AN
 def crowded_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join of boxes half of which crowd in one square degree with boxes one of which is the world: leaves
     of a quadtree in place of cells."""
-    pairs = Q.adaptive_join(_crowded(spark, sf_dir), _with_world(spark, sf_dir), "id", "id", "intersects", capacity=500)
-    areas = pairs.select("id_r", G.st_intersection_area("geometry", "geometry_r").alias("shared")).where("shared > 0")
-    return areas.groupBy("id_r").agg(F.count("*").alias("n"), r6(F.sum("shared")).alias("shared"))
+    right = _with_world(spark, sf_dir)
+    pairs = Q.adaptive_join(J.different(_crowded(spark, sf_dir), "id"), J.different(right, "id"), "id", "id", "intersects", capacity=500)
+    return J.shared_by_right(pairs, right).select(F.col("id").alias("id_r"), "n", r6("shared").alias("shared"))
 
 
 @query(f"""
@@ -57,9 +57,9 @@ SELECT k, year, CAST(SUM(c) AS DOUBLE) AS area FROM y JOIN n ON f <= year GROUP
 """)
 def coverage_by_shape_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the union of each group's boxes up to each year: ground counts from its first covering year."""
-    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("year"))
-    shapes = _boxes(_parts(spark, sf_dir)).join(sizes, "id").withColumn("k", F.col("id") % 5)
-    return Q.covered_by_year(shapes, ["k"], sizes.select("year"), capacity=200).select("k", "year", r6("area").alias("area"))
+    years = table(spark, sf_dir, "part").select(F.col("p_size").alias("year"))
+    shapes = _parts(spark, sf_dir, F.col("p_size").alias("year")).select((F.col("id") % 5).alias("k"), "year", G.st_box("x0", "y0", "x1", "y1").alias("geometry"))
+    return Q.covered_by_year(shapes, ["k"], years, capacity=200).select("k", "year", r6("area").alias("area"))
 
 
 @query(f"""

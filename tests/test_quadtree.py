@@ -136,3 +136,11 @@ def test_split_difference_of_a_crowd(spark):
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
     got = {r.id: round(r.a, 6) for r in out.groupBy("id").agg(F.sum(G.st_area("geometry")).alias("a")).collect()}
     assert len(got) == 900 and set(got.values()) == {1.0}
+
+
+def test_dealt_tables_are_not_gathered(spark):
+    """Rows of a small file go to many leaves: the driver broadcasts none of them, and equal shapes meet once."""
+    from reefline.plans.catalog import QUERIES
+
+    out = QUERIES["crowded_overlaps"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
