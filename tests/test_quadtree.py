@@ -144,3 +144,15 @@ def test_dealt_tables_are_not_gathered(spark):
 
     out = QUERIES["crowded_overlaps"](spark, "/root/testdata/sf0.001")
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_years_are_read_with_their_shapes(spark):
+    """No join of a table with itself, which was broadcast; equal shapes count from their earliest year."""
+    from reefline.plans.catalog import QUERIES
+
+    out = QUERIES["coverage_by_shape_year"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    rows = [(1, 5, 0.0, 4.0), (1, 3, 0.0, 4.0), (1, 4, 2.0, 6.0), (2, 9, 2.0, 6.0), (1, None, 0.0, 99.0)]
+    df = spark.createDataFrame(rows, "k int, year int, x0 double, x1 double").select("k", "year", G.st_box("x0", F.lit(0.0), "x1", F.lit(1.0)).alias("geometry"))
+    got = Q.first_cover(df, ["k"], capacity=1).groupBy("k", "year").agg(F.sum(G.st_area("geometry")).alias("a")).collect()
+    assert {(r.k, r.year): round(r.a, 9) for r in got} == {(1, 3): 4.0, (1, 4): 2.0, (2, 9): 4.0}
